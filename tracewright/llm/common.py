@@ -13,6 +13,8 @@ import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import to_arrow_type
+from pyspark.sql.types import StructType
 
 #: Rows that one Arrow batch carries to Python: texts may be long, so few.
 ARROW_ROWS = 512
@@ -82,30 +84,57 @@ def slices(batches: Iterable[pa.RecordBatch], text: str, most: int = SLICE_BYTES
 def map_texts(df: DataFrame, make: Callable[[], Callable[[list[str]], dict[str, list]]], keep: list[str], schema: str, text: str = "text") -> DataFrame:
     """df[keep] and, for each row, what a per-worker function makes of the texts (null: empty), a slice at a time."""
     session(df)
+    types = {f.name: to_arrow_type(f.dataType) for f in StructType.fromDDL(schema)}
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         work = make()
         for part in slices(batches, text):
             made = work([x or "" for x in part.column(part.schema.get_field_index(text)).to_pylist()])
-            columns = {k: part.column(part.schema.get_field_index(k)) for k in keep} | made
-            yield pa.RecordBatch.from_pydict(columns)
+            columns = {k: part.column(part.schema.get_field_index(k)) for k in keep}
+            yield pa.RecordBatch.from_pydict(columns | {k: pa.array(v, types[k]) for k, v in made.items()})
 
     kept = [f"`{k}` {df.schema[k].dataType.simpleString()}" for k in keep]
     return df.select(*keep, text).mapInArrow(run, ", ".join([*kept, schema]))
 
 
-class Memo(dict):
-    """A bounded memo: emptied when full, so memory stays bounded however many distinct keys there are."""
+_NONE = object()
 
-    def __init__(self, make: Callable[[Any], Any], most: int):
+
+class Recent(dict):
+    """A bounded memo of two generations: when the young one is full, it becomes the old one, and what the old one held and
+    nobody asked for meanwhile is forgotten. A key that it doesn't know gives None."""
+
+    def __init__(self, most: int):
         super().__init__()
-        self.make, self.most = make, most
+        self.most, self.old = most, {}
+
+    def room(self, n: int) -> None:
+        """Make room for n more keys."""
+        if len(self) + n > self.most:
+            self.old = dict(self)
+            self.clear()
+
+    def __missing__(self, key: Any) -> Any:
+        if (known := self.old.get(key, _NONE)) is not _NONE:
+            self[key] = known
+            return known
+        return None
+
+
+class Memo(Recent):
+    """A bounded memo of a function."""
+
+    def __init__(self, make: Callable[[Any], Any], most: int):
+        super().__init__(most)
+        self.make = make
 
     def __missing__(self, key: Any) -> Any:
+        if (known := self.old.get(key, _NONE)) is _NONE:
+            known = self.make(key)
         if len(self) >= self.most:
-            self.clear()
-        made = self[key] = self.make(key)
-        return made
+            self.room(1)
+        self[key] = known
+        return known
 
 
 #: White_Space of Unicode, which the tokenizers' \s takes. str.split() takes \x1c-\x1f besides.
