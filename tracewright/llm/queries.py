@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe_codec, decontaminate, exact_dedup, line_dedup, quality, token_counts, token_shards, toxicity, url_filter
+from . import bpe_codec, decontaminate, exact_dedup, line_dedup, near_dup, quality, token_counts, token_shards, toxicity, url_filter
 from .common import new_dir, table
 
 WORD_BPE, BYTE_BPE = "word_bpe_49k.json", "byte_bpe_50k.json"
@@ -91,8 +91,26 @@ def op9_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return toxicity.toxicity(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels")).drop("passages")
 
 
+def op10_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return near_dup.jaccard_classes(table(spark, sf_dir, "documents"))
+
+
+OP10_SQL = r"""
+WITH RECURSIVE doc AS (SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+') AS w FROM documents),
+sized AS (SELECT doc_id, w, least(len(w), 4) AS n FROM doc WHERE len(w) > 0),
+shingle AS (SELECT DISTINCT doc_id, array_to_string(w[i : i + n - 1], ' ') AS g FROM (SELECT doc_id, w, n, unnest(range(1, len(w) - n + 2)) AS i FROM sized)),
+total AS (SELECT doc_id, count(*) AS n FROM shingle GROUP BY doc_id),
+pair AS (SELECT a.doc_id AS a, b.doc_id AS b, count(*) AS c FROM shingle a JOIN shingle b USING (g) WHERE a.doc_id < b.doc_id GROUP BY ALL),
+link AS (SELECT a, b FROM pair JOIN total x ON x.doc_id = a JOIN total y ON y.doc_id = b WHERE 100 * c >= 85 * (x.n + y.n - c)),
+edge AS (SELECT a, b FROM link UNION ALL SELECT b, a FROM link),
+reach(doc_id, node) AS (SELECT doc_id, doc_id FROM documents UNION SELECT r.doc_id, e.b FROM reach r JOIN edge e ON r.node = e.a)
+SELECT r.doc_id, coalesce(any_value(t.n), 0) AS n_shingles, min(r.node) AS component_id
+FROM reach r LEFT JOIN total t ON t.doc_id = r.doc_id GROUP BY r.doc_id
+"""
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f
-    for f in (op1_token_counts, op2_url_filter, op3_exact_dedup, op4_line_dedup, op5_quality, op6_bpe_codec, op7_token_shards, op8_decontaminate, op9_toxicity)
+    for f in (op1_token_counts, op2_url_filter, op3_exact_dedup, op4_line_dedup, op5_quality, op6_bpe_codec, op7_token_shards, op8_decontaminate, op9_toxicity, op10_jaccard_join)
 }
-SQL: dict[str, str] = {"op3_exact_dedup": OP3_SQL, "op4_line_dedup": OP4_SQL, "op8_decontaminate": OP8_SQL}
+SQL: dict[str, str] = {"op3_exact_dedup": OP3_SQL, "op4_line_dedup": OP4_SQL, "op8_decontaminate": OP8_SQL, "op10_jaccard_join": OP10_SQL}
