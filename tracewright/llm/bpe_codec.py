@@ -10,15 +10,18 @@ from __future__ import annotations
 import hashlib
 import heapq
 from collections import defaultdict
+from functools import lru_cache
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import map_texts, units
+from .common import Recent, map_texts, units
 from .wordbpe import BITS, MASK, NONE, WordBPE, load
 
 #: Runs and words that a worker keeps; beyond, it starts anew.
-MOST_RUNS, MOST_WORDS = 200_000, 300_000
+MOST_RUNS, MOST_WORDS = 350_000, 300_000
 
 
 def index_encode(bpe: WordBPE, words: list[str]) -> list[list[int]]:
@@ -76,24 +79,26 @@ class Codec:
 
     def __init__(self, path: str):
         self.bpe = load(path)
-        self.words: dict[str, list[int]] = {}
-        self.runs: dict[str, tuple[int, str, str]] = {}
-
-    def learn(self, runs: set[str]) -> None:
-        """Encode the runs that are new, all their new words in one index."""
-        new = [r for r in runs if r not in self.runs]
-        if len(self.runs) + len(new) > MOST_RUNS:
-            self.runs.clear()
-            new = list(runs)
+        self.words = Recent(MOST_WORDS)
+        self.runs = Recent(MOST_RUNS)
+
+    def learn(self, new: list[str]) -> dict[str, tuple[int, str, str]]:
+        """Encode runs that are new, all their new words in one index."""
         parts = [self.bpe.parts(r) for r in new]
-        if len(self.words) > MOST_WORDS:
-            self.words.clear()
-        words = list({w for p in parts for special, w in p if not special and w not in self.words})
-        self.words.update(zip(words, index_encode(self.bpe, words), strict=True))
-        tokens, special = self.bpe.tokens, self.bpe.special
+        known = self.words
+        words = list({w for p in parts for special, w in p if not special and known[w] is None})
+        got = dict(zip(words, index_encode(self.bpe, words), strict=True))
+        tokens, special, made = self.bpe.tokens, self.bpe.special, {}
         for r, p in zip(new, parts, strict=True):
-            ids = [i for is_special, w in p for i in ([special[w]] if is_special else self.words[w])]
-            self.runs[r] = (len(ids), " ".join(map(str, ids)), self.decode(ids, tokens))
+            ids = []
+            for is_special, w in p:
+                ids += [special[w]] if is_special else known[w] or got[w]
+            made[r] = (len(ids), " ".join(map(str, ids)), self.decode(ids, tokens))
+        known.room(len(got))
+        known.update(got)
+        self.runs.room(len(made))
+        self.runs.update(made)
+        return made
 
     @staticmethod
     def decode(ids: list[int], tokens: dict[int, str]) -> str:
@@ -103,23 +108,39 @@ class Codec:
     def texts(self, texts: list[str]) -> list[tuple[int, str, str]]:
         """Number of tokens, ids as decimals joined by a space, and the decoded text, of each text."""
         split = [units(x) for x in texts]
-        self.learn({u for us in split for u in us})
+        met = [list(map(self.runs.__getitem__, us)) for us in split]
+        new = {u for us, got in zip(split, met, strict=True) if None in got for u, g in zip(us, got, strict=True) if g is None}
+        made = self.learn(list(new)) if new else {}
         found = []
-        for us in split:
-            got = [self.runs[u] for u in us]
+        for us, got in zip(split, met, strict=True):
+            if None in got:
+                got = [made[u] if g is None else g for u, g in zip(us, got, strict=True)]
             found.append((sum(g[0] for g in got), " ".join(g[1] for g in got if g[0]), " ".join(g[2] for g in got if g[0])))
         return found
 
 
+@lru_cache(maxsize=1)
+def codec_of(path: str) -> Codec:
+    """One per worker process: what it has met serves its later tasks too."""
+    return Codec(path)
+
+
+def _lists(got: list[tuple[int, str, str]]) -> pa.Array:
+    """The ids of each text, from their decimals."""
+    ends = np.cumsum([0, *(g[0] for g in got)])
+    flat = np.array(" ".join(g[1] for g in got if g[0]).split(" ") if ends[-1] else [], dtype=np.int32)
+    return pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(flat, pa.int32()))
+
+
 def encode(docs: DataFrame, path: str, text: str = "text", key: str = "doc_id") -> DataFrame:
     """key, ids (array of int) and decoded (string) of each row; a null text counts as empty: no ids, ''."""
 
     def make():
-        codec = Codec(path)
+        codec = codec_of(path)
 
         def work(texts: list[str]) -> dict[str, list]:
             got = codec.texts(texts)
-            return {"ids": [list(map(int, g[1].split())) for g in got], "decoded": [g[2] for g in got]}
+            return {"ids": _lists(got), "decoded": [g[2] for g in got]}
 
         return work
 
@@ -137,21 +158,23 @@ def decode(encoded: DataFrame, path: str) -> DataFrame:
     return encoded.withColumn("decoded", text_of("ids"))
 
 
-def codec_digests(docs: DataFrame, path: str, text: str = "text", keep: list[str] | None = None) -> DataFrame:
-    """n_tokens, ids_sha256 and decoded_sha256 of each row, after the columns in keep (doc_id).
+def codec_digests(docs: DataFrame, path: str, text: str = "text", keep: list[str] | None = None, ids: bool = False) -> DataFrame:
+    """n_tokens, ids_sha256 and decoded_sha256 of each row, after the columns in keep (doc_id); ids: the ids themselves too.
 
     A null text counts as empty: 0 tokens and the digests of ''. Repeated rows give repeated rows; an empty table gives
     an empty one; columns of docs not in keep are left out. Needs no shuffle.
     """
 
     def make():
-        codec = Codec(path)
+        codec = codec_of(path)
         digest = lambda x: hashlib.sha256(x.encode("utf-8", "surrogatepass")).hexdigest()
 
         def work(texts: list[str]) -> dict[str, list]:
             got = codec.texts(texts)
-            return {"n_tokens": [g[0] for g in got], "ids_sha256": [digest(g[1]) for g in got], "decoded_sha256": [digest(g[2]) for g in got]}
+            made = {"n_tokens": [g[0] for g in got], "ids_sha256": [digest(g[1]) for g in got], "decoded_sha256": [digest(g[2]) for g in got]}
+            return made | ({"ids": _lists(got)} if ids else {})
 
         return work
 
-    return map_texts(docs, make, keep or ["doc_id"], "n_tokens bigint, ids_sha256 string, decoded_sha256 string", text)
+    schema = "n_tokens bigint, ids_sha256 string, decoded_sha256 string"
+    return map_texts(docs, make, keep or ["doc_id"], f"{schema}, ids array<int>" if ids else schema, text)

@@ -91,7 +91,7 @@ def map_texts(df: DataFrame, make: Callable[[], Callable[[list[str]], dict[str,
         for part in slices(batches, text):
             made = work([x or "" for x in part.column(part.schema.get_field_index(text)).to_pylist()])
             columns = {k: part.column(part.schema.get_field_index(k)) for k in keep}
-            yield pa.RecordBatch.from_pydict(columns | {k: pa.array(v, types[k]) for k, v in made.items()})
+            yield pa.RecordBatch.from_pydict(columns | {k: v if isinstance(v, pa.Array) else pa.array(v, types[k]) for k, v in made.items()})
 
     kept = [f"`{k}` {df.schema[k].dataType.simpleString()}" for k in keep]
     return df.select(*keep, text).mapInArrow(run, ", ".join([*kept, schema]))

@@ -11,7 +11,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import session
+from .common import cut, session
 
 #: Digests that the summary returns, and counters that it keeps: any digest with over 1/HEAVY of all rows is among them.
 HEAVY, COUNTERS = 512, 8192
@@ -50,10 +50,12 @@ def exact_groups(docs: DataFrame, text: str = "text", key: str = "doc_id", norma
 
 
 def drop_exact(docs: DataFrame, text: str = "text", key: str = "doc_id") -> DataFrame:
-    """docs without the rows that exact_groups does not keep; of rows that tie on the kept key, one stays."""
-    kept = exact_groups(docs, text, key).where("kept").select(F.col(key).alias("_key"), F.col("text_sha256").alias("_digest")).dropDuplicates()
-    once = docs.dropDuplicates([key, text]) if docs.columns == [key, text] else docs.withColumn("_digest", F.sha2(F.coalesce(F.col(text), F.lit("")), 256))
-    if "_digest" not in once.columns:
-        once = once.withColumn("_digest", F.sha2(F.coalesce(F.col(text), F.lit("")), 256))
-    joined = once.join(kept.withColumnRenamed("_digest", "_kept"), F.col(key).eqNullSafe(F.col("_key")) & (F.col("_digest") == F.col("_kept")))
-    return joined.dropDuplicates(["_key", "_digest"]).select(*docs.columns)
+    """docs without the rows that exact_groups does not keep, all columns kept; of rows that tie on the kept key, one stays."""
+    groups = cut(exact_groups(docs, text, key).select(F.col(key).alias("_key"), F.col("text_sha256").alias("_digest"), "kept"))
+    gone = groups.where("not kept").select("_key", "_digest").distinct()
+    tied = groups.where("kept").groupBy("_key", "_digest").agg(F.count(F.lit(1)).alias("_n")).where("_n > 1").select("_key", "_digest")
+    digest = F.sha2(F.coalesce(F.col(text), F.lit("")), 256)
+    same = F.col(key).eqNullSafe(F.col("_key")) & (digest == F.col("_digest"))
+    once = docs.join(gone, same, "left_anti")
+    again = once.join(tied, same).dropDuplicates(["_key", "_digest"]).select(docs.columns)
+    return once.join(tied, same, "left_anti").unionByName(again)

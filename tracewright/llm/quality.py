@@ -10,14 +10,16 @@ from __future__ import annotations
 
 import re
 import zlib
+from collections.abc import Iterator
 from dataclasses import dataclass
 from functools import lru_cache
 
 import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import Memo, map_texts, session
+from .common import Memo, map_texts, session, slices
 
 BITS = 18
 DIM = 1 << BITS
@@ -198,6 +200,21 @@ def score(docs: DataFrame, model: Model, keep: list[str], text: str = "text") ->
     return map_texts(docs, make, keep, "score double", text)
 
 
+def accepted(docs: DataFrame, model: Model, threshold: float = 0.5, text: str = "text") -> DataFrame:
+    """The rows of docs, all columns kept, whose score is at least the threshold."""
+    session(docs)
+    sent = docs.sparkSession.sparkContext.broadcast(model)
+    at = docs.columns.index(text)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        memo = codes()
+        for part in slices(batches, text):
+            scores = sent.value.scores([x or "" for x in part.column(at).to_pylist()], memo)
+            yield part.filter(pa.array(scores >= threshold))
+
+    return docs.mapInArrow(run, docs.schema)
+
+
 def fold(key: str, of: int) -> Column:
     """crc32 of the key as text, modulo `of`; null for a null key."""
     return F.crc32(F.col(key).cast("string")) % of
