@@ -275,7 +275,7 @@ def _prefixes(rows: DataFrame, percent: int) -> DataFrame:
         name, h = name[order], h[order]
         out: tuple[list, ...] = ([], [], [], [], [])
         start = np.flatnonzero(np.concatenate(([True], name[1:] != name[:-1]))) if len(name) else np.empty(0, np.int64)
-        spans = {int(name[a]): (int(a), int(b)) for a, b in zip(start, [*start[1:], len(name)], strict=True)}
+        spans = {int(name[a]): (int(a), int(b)) for a, b in zip(start, np.append(start[1:], len(name)), strict=False)}
         for s1 in spans.keys() | held.keys():
             if s1 not in size:
                 continue
