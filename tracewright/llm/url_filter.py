@@ -88,22 +88,22 @@ def values(rows: DataFrame, model: DataFrame) -> DataFrame:
 
 
 def threshold(valued: DataFrame) -> float:
-    """The value that parts labelled rows best (mean of the two classes' shares); 0 without both classes. valued: value, allowed."""
+    """The value that parts labelled rows best (mean of the two classes' shares), 0 if it does; 0 without both classes."""
     at = F.floor(F.least(F.greatest("value", F.lit(-10.0)), F.lit(10.0)) * (BINS / 20))
     rows = valued.groupBy(at.alias("bin")).agg(F.count_if("allowed").alias("a"), F.count_if(~F.col("allowed")).alias("b")).orderBy("bin").collect()  # BINS rows at most
     a, b = sum(r["a"] for r in rows), sum(r["b"] for r in rows)
     if not a or not b:
         return 0.0
-    best, found, below_a, below_b = 0.0, [], 0, 0
-    for r in rows:
-        gain = below_b / b + 1 - below_a / a
+    best, found, below_a, below_b, edge = 0.0, [], 0, 0, -10.0
+    for r in rows:  # thresholds between the rows so far and this one all part them alike
+        gain, start = below_b / b + 1 - below_a / a, r["bin"] * 20 / BINS
         if gain > best + 1e-12:
             best, found = gain, []
         if gain > best - 1e-12:
-            found.append(r["bin"])
-        below_a, below_b = below_a + r["a"], below_b + r["b"]
-    edges = [x * 20 / BINS for x in found]
-    return min(edges, key=abs) if edges else 0.0
+            found.append((edge, start))
+        below_a, below_b, edge = below_a + r["a"], below_b + r["b"], (r["bin"] + 1) * 20 / BINS
+    low, high = max(found, key=lambda x: (x[0] <= 0 <= x[1], x[1] - x[0]))
+    return 0.0 if low <= 0 <= high else (low + high) / 2
 
 
 def filter_urls(pages: DataFrame, rules: list[tuple[str, str]], key: str = "page_id", url: str = "url") -> DataFrame:
