@@ -167,7 +167,7 @@ def fit(docs: DataFrame, labels: DataFrame, label: str, trains: Column, most: in
 
         return work
 
-    got = map_texts(docs.join(chosen, key).select(key, "_label", text), make, [key, "_label"], "x binary", text).collect()
+    got = map_texts(docs.select(key, text).join(chosen, key).select(key, "_label", text), make, [key, "_label"], "x binary", text).collect()
     got = sorted({(r[key], r["_label"], r["x"]) for r in got})
     y = np.array([r[1] for r in got], bool)
     if not len(got) or y.all() or not y.any():

@@ -179,7 +179,7 @@ def fit(docs: DataFrame, labels: DataFrame, label: str, trains: Column, most: in
 
         return work
 
-    judged = map_texts(docs.join(F.broadcast(chosen.where(aside)), key).select(key, "_label", text), make, [key, "_label"], "n bigint, s array<double>", text).collect()
+    judged = map_texts(docs.select(key, text).join(F.broadcast(chosen.where(aside)), key).select(key, "_label", text), make, [key, "_label"], "n bigint, s array<double>", text).collect()
     if not judged or len({r["_label"] for r in judged}) < 2:
         model.slope, model.offset = 2.0, -2.0
         return model
