@@ -16,7 +16,8 @@ def strip(c: Column) -> Column:
 
 def int_or(c: Column, default: int | None = 0) -> Column:
     """A whole number, or the default: '7.0' and '' give the default, ' 7 ' gives 7, true gives 1."""
-    text = F.when(c.cast("string").isin("true", "false"), (c.cast("string") == "true").cast("string")).otherwise(strip(c))
+    flag = c.cast("string").isin("true", "false")
+    text = F.when(flag, (c.cast("string") == "true").cast("int").cast("string")).otherwise(strip(c))
     return F.coalesce(text.try_cast("bigint"), F.lit(default).cast("bigint"))
 
 

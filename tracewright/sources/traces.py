@@ -36,12 +36,13 @@ def is_branch_file(path: Column) -> Column:
     return path.rlike(r"/_dtc[^/]*/") | F.element_at(F.split(path, "/"), -1).contains("__dtc_")
 
 
-def traces(spark: SparkSession, folder: str, branches: bool = False) -> DataFrame:
-    """All trace files below a folder, one row an episode; base episodes alone unless branches are wanted too.
+def traces(spark: SparkSession, folder: str, branches: list[str] | None = None) -> DataFrame:
+    """All trace files below a folder, one row an episode: base episodes alone, or those of branches in the folders given
+    besides (Spark's listing passes over folders that begin with an underscore, so these are named one by one).
 
     episode_id is the file's name without its suffix where the file names none. Files that don't parse have _corrupt.
     """
-    rows = spark.read.schema(TRACE).option("multiLine", True).option("columnNameOfCorruptRecord", "_corrupt").option("recursiveFileLookup", True).option("pathGlobFilter", f"*{TRACE_SUFFIX}").json(folder)
+    rows = spark.read.schema(TRACE).option("multiLine", True).option("columnNameOfCorruptRecord", "_corrupt").option("recursiveFileLookup", True).option("pathGlobFilter", f"*{TRACE_SUFFIX}").json([folder, *(branches or [])])
     rows = rows.select("*", _path().alias("trace_path")).withColumn("episode_id", F.coalesce(F.nullif(strip(F.col("episode_id")), F.lit("")), F.regexp_extract("trace_path", rf"([^/]*){TRACE_SUFFIX}$", 1)))
     return rows if branches else rows.where(~is_branch_file(F.col("trace_path")))
 
