@@ -191,20 +191,19 @@ def decontaminate(docs: DataFrame, benchmark: DataFrame, remove: str = "spans",
         scanner = make()
         for part in slices(batches, text):
             texts = part.column(i).to_pylist()
-            spans = [[(m.start(), m.end()) for m in _words.finditer(lowered(x or ""))] for x in texts]
-            split = [[lowered(x or "")[a:b] for a, b in s] for x, s in zip(texts, spans, strict=True)]
-            got = scanner.scan(split)
+            got = scanner.scan([_words.findall(lowered(x or "")) for x in texts])
             if remove == "documents":
                 yield part.filter(pa.array([g[0] == 0 for g in got]))
                 continue
-            clean = [x if not g[0] else without(x, s, g[2].tolist()) for x, s, g in zip(texts, spans, got, strict=True)]
+            clean = [without(x, g[2].tolist()) if g[0] else x for x, g in zip(texts, got, strict=True)]
             yield part.set_column(i, part.schema.field(i), pa.array(clean, part.schema.field(i).type))
 
     return docs.mapInArrow(run, docs.schema)
 
 
-def without(text: str, spans: list[tuple[int, int]], hit: list[int]) -> str:
-    """text less each stretch of consecutive hit words."""
+def without(text: str, hit: list[int]) -> str:
+    """text less each stretch of consecutive hit words; lower-casing A-Z moves no position."""
+    spans = [m.span() for m in _words.finditer(lowered(text))]
     kept, at, k = [], 0, 0
     while k < len(hit):
         first = k
