@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import gc
 import os
 import re
 import uuid
@@ -44,7 +45,12 @@ def shared_dir(spark: SparkSession) -> str:
 
 
 def new_dir(spark: SparkSession, what: str) -> str:
-    return f"{shared_dir(spark)}/tracewright/{what}-{uuid.uuid4().hex}"
+    """The name of a new folder in the shared one, which goes when the driver's JVM ends."""
+    base = spark._jvm.org.apache.hadoop.fs.Path(f"{shared_dir(spark)}/tracewright/{what}-{uuid.uuid4().hex}")
+    store = base.getFileSystem(spark._jsc.hadoopConfiguration())
+    store.mkdirs(base)
+    store.deleteOnExit(base)
+    return f"{base.toString()}/rows"
 
 
 def cut(df: DataFrame) -> DataFrame:
@@ -87,6 +93,7 @@ def map_texts(df: DataFrame, make: Callable[[], Callable[[list[str]], dict[str,
     types = {f.name: to_arrow_type(f.dataType) for f in StructType.fromDDL(schema)}
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        calm()
         work = make()
         for part in slices(batches, text):
             made = work([x or "" for x in part.column(part.schema.get_field_index(text)).to_pylist()])
@@ -148,5 +155,10 @@ def units(text: str) -> list[str]:
     return _units.findall(text) if _odd.search(text) else text.split()
 
 
+def calm() -> None:
+    """Make garbage collections rare in this worker: its memos hold many objects, and none of them in cycles."""
+    gc.set_threshold(500_000, 20, 100)
+
+
 def union(frames: Iterable[DataFrame]) -> DataFrame:
     return reduce(DataFrame.unionByName, frames)
