@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from tracewright.functions import casts, outcomes, text
 from tracewright.functions import python_text as pt
-from tracewright.operators import branching, candidates, checks, diversity, pairs, resume, sft, targets
+from tracewright.operators import branching, candidates, checks, diversity, episodes, pairs, resume, sft, targets
 from tracewright.operators.zip import balanced_zip, replicate
 from tracewright.plans.stages import ConfigError, PairConfig, Registry, scored, stages_between
 from tracewright.sources import traces
@@ -211,6 +211,10 @@ def test_traces_round_trip(spark, tmp_path):
     assert traces.traces(spark, str(tmp_path), branches=[str(tmp_path / "run" / "_dtc")]).count() == 2
     got = traces.steps_of(traces.with_calls(base)).select(text.messages(F.col("extras.balrog_raw.messages")).alias("m")).collect()
     assert len(got) == 2 and [tuple(m) for m in got[0]["m"]] == [("user", "hi")]
+    whole = episodes.typed(base).first()
+    assert whole["won"] is False and [x["action"] for x in whole["steps"]] == ["go", "go"]
+    found = base.select(episodes.outcome(F.col("calls")).alias("o"), episodes.is_aborted(F.col("calls")).alias("x")).first()
+    assert found["o"]["num_steps"] == 2 and not found["o"]["success"] and found["x"] is False
     rows = spark.createDataFrame([("a", 'say "x"\nnow'), ("b", None)], "k string, v string")
     traces.write_json_lines(rows, str(tmp_path / "out"))
     assert {tuple(r) for r in traces.json_lines(spark, str(tmp_path / "out"), "k string, v string", non_empty=True).collect()} == {tuple(r) for r in rows.collect()}

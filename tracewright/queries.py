@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from .functions import casts, outcomes, text
 from .functions import python_text as pt
-from .operators import artifacts, branching, checks, divpo, diversity, pairs, resume, sft, targets
+from .operators import artifacts, branching, checks, divpo, diversity, episodes, pairs, resume, sft, targets
 from .operators import candidates as cand
 from .operators.zip import balanced_zip as zip_rows
 from .plans import pair_datasets
@@ -422,6 +422,41 @@ def loss_terms(spark, d):
     return rows.select("event_id", *(F.round(c, 7).alias(k) for k, c in targets.loss_terms().items()))
 
 
+@query("SELECT trajectory_id, string_agg(action || '=' || n, ',' ORDER BY action) AS frequency FROM (SELECT trajectory_id, action, count(*) AS n FROM step GROUP BY ALL) GROUP BY trajectory_id")
+def action_histogram(spark, d):
+    found = episodes.action_histogram(_steps(spark, d))
+    items = F.transform(F.map_entries("action_frequency"), lambda e: F.concat(e["key"], F.lit("="), e["value"].cast("string")))
+    return found.select("trajectory_id", F.array_join(F.array_sort(items), ",").alias("frequency"))
+
+
+@query("SELECT trajectory_id, CAST(sum(event_id % 100) AS BIGINT) AS input_tokens, CAST(sum(event_id % 10) AS BIGINT) AS output_tokens, count(*) AS request_count, round(count(*) * 60 / sum(1 + step), 9) AS rpm, round((sum(event_id % 100) + sum(event_id % 10)) * 60 / sum(1 + step), 7) AS tpm FROM step GROUP BY trajectory_id")
+def episode_rates(spark, d):
+    found = episodes.rates(_steps(spark, d), "trajectory_id", F.col("event_id") % 100, F.col("event_id") % 10, (F.col("step") + 1).cast("double"), F.lit(1))
+    return found.select("trajectory_id", "input_tokens", "output_tokens", "request_count", F.round("rpm", 9).alias("rpm"), F.round("tpm", 7).alias("tpm"))
+
+
+@query("SELECT action AS reason, count(*) AS occurrences FROM step WHERE done GROUP BY action")
+def abort_reasons(spark, d):
+    return episodes.abort_reasons(_steps(spark, d).where("done"), "action")
+
+
+@query("""+x AS (SELECT 0.1 * (value - 25) AS dd, event_id % 2 = 0 AS tie, (event_id % 10) / 10.0 AS t, (1 + event_id % 3) * 1.0 AS w FROM events),
+y AS (SELECT avg(w * ln(1 + exp(-dd))) FILTER (NOT tie) AS p, avg(w * (t * ln(1 + exp(-dd)) + (1 - t) * ln(1 + exp(dd)))) FILTER (tie) AS v FROM x) SELECT round(p, 9) AS pref_loss, round(v, 9) AS div_loss, round(p + v, 9) AS loss FROM y""")
+def balanced_loss(spark, d):
+    n = F.col("event_id")
+    rows = _table(spark, d, "events").select((F.col("value") - 25).alias("gap"), (n % 2 == 0).alias("is_tie"), ((n % 10) / 10.0).alias("target"), (1.0 + n % 3).alias("weight"))
+    return targets.balanced_loss(rows).select(*(F.round(c, 9).alias(c) for c in ("pref_loss", "div_loss", "loss")))
+
+
+@query("""+x AS (SELECT value AS c, 25.0 AS r, value - 25 AS g, event_id % 2 = 0 AS tie FROM events), aim AS (SELECT avg(c) FILTER (NOT tie) AS a FROM x),
+y AS (SELECT avg(ln(1 + exp(-0.1 * g))) FILTER (NOT tie) AS p, avg(g * g) FILTER (tie) AS m, 0.5 * avg(greatest(a - c, 0) ** 2 + greatest(a - r, 0) ** 2) FILTER (tie) AS f FROM x, aim) SELECT round(p, 8) AS pref_loss, round(m + f, 6) AS div_loss, round(p + m + f, 6) AS loss FROM y""")
+def floor_loss(spark, d):
+    n = F.col("event_id")
+    rows = _table(spark, d, "events").select(F.col("value").alias("chosen_reward"), F.lit(25.0).alias("rejected_reward"), (F.col("value") - 25).alias("gap"), (n % 2 == 0).alias("is_tie"))
+    found = targets.gap_loss(rows, floor=True)
+    return found.select(F.round("pref_loss", 8).alias("pref_loss"), F.round("div_loss", 6).alias("div_loss"), F.round("loss", 6).alias("loss"))
+
+
 @query("SELECT l_orderkey, count(*) AS occurrences FROM lineitem GROUP BY l_orderkey HAVING count(*) > 1", with_steps=False)
 def duplicates(spark, d):
     return checks.duplicates(_table(spark, d, "lineitem"), "l_orderkey")
