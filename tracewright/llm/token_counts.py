@@ -10,6 +10,7 @@ prefix scan over the maps of its chunks. Runs between two white spaces that recu
 from __future__ import annotations
 
 from collections.abc import Iterator
+from functools import lru_cache
 from typing import NamedTuple
 from unicodedata import category
 
@@ -18,13 +19,13 @@ import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import Memo, session, slices, units
+from .common import Memo, calm, session, slices, units
 from .wordbpe import load, normal
 
 #: Code points of a chunk.
 CHUNK = 1 << 16
 #: Transitions and recurring runs that a worker keeps; beyond, it starts anew.
-MOST_EDGES, MOST_RUNS = 1_000_000, 400_000
+MOST_EDGES, MOST_RUNS = 700_000, 400_000
 
 _white = regex.compile(r"\p{White_Space}")
 
@@ -160,6 +161,12 @@ class Transducer:
         return self.close(self.scan([self.map(text[i : i + chunk]) for i in range(0, len(text), chunk)]))
 
 
+@lru_cache(maxsize=1)
+def transducer_of(path: str) -> Transducer:
+    """One per worker process: what it has compiled serves its later tasks too."""
+    return Transducer(path)
+
+
 def token_counts(docs: DataFrame, path: str, limit: int = 2048, text: str = "text", chunk: int = CHUNK) -> DataFrame:
     """docs with n_bytes (UTF-8), n_tokens and over_limit (n_tokens > limit) instead of the text.
 
@@ -173,7 +180,8 @@ def token_counts(docs: DataFrame, path: str, limit: int = 2048, text: str = "tex
     schema = docs.select(*(F.col(f"`{c}`") for c in keep)).withColumn("n_tokens", F.lit(0).cast("long")).withColumn("n_bytes", F.lit(0).cast("long")).schema
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        transducer = Transducer(path)
+        calm()
+        transducer = transducer_of(path)
         for part in slices(batches, text):
             n = [transducer.count(x, chunk) if x else 0 for x in part.column(part.num_columns - 2).to_pylist()]
             yield pa.RecordBatch.from_arrays([*part.columns[:-2], pa.array(n, pa.int64()), part.columns[-1]], names=schema.names)
