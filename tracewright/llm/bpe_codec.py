@@ -21,7 +21,7 @@ from .common import Recent, map_texts, units
 from .wordbpe import BITS, MASK, NONE, WordBPE, load
 
 #: Runs and words that a worker keeps; beyond, it starts anew.
-MOST_RUNS, MOST_WORDS = 350_000, 300_000
+MOST_RUNS, MOST_WORDS = 150_000, 120_000
 
 
 def index_encode(bpe: WordBPE, words: list[str]) -> list[list[int]]:

@@ -25,7 +25,7 @@ BITS = 18
 DIM = 1 << BITS
 #: Labelled rows of each class that a model is fitted on, at most. The only bound on what is learnt from.
 SAMPLE = 8_000
-MOST_WORDS = 300_000
+MOST_WORDS = 150_000
 
 _upper, _lower, _digits, _marks = re.compile(r"[^\W\d_a-zß-öø-ÿ]+"), re.compile(r"[a-zß-öø-ÿ]+"), re.compile(r"\d+"), re.compile(r"([^\w])\1+")
 
