@@ -13,26 +13,34 @@ a null identifier has the empty key and comes first.
 
 from __future__ import annotations
 
+import os
+import string
 import struct
 import zlib
+from array import array
 from collections.abc import Iterator
+from functools import lru_cache
 from pathlib import PurePosixPath
 
 import numpy as np
 import pyarrow as pa
+import regex
 import zstandard
 from pyarrow import fs
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from tokenizers import Tokenizer
 
-from .common import fit_partitions, session, slices
+from .common import Recent, calm, fit_partitions, session, slices
 
 MAGIC = b"TOKSST01"
 FOOTER = struct.Struct("<QQQQQQB8s")
 BLOCK_BYTES = 1 << 18
 BITS_PER_KEY, PROBES = 10, 7
-MOST_PIECES = 250_000
+MOST_PIECES = 500_000
+#: Marks that a piece may end with.
+MARKS = string.punctuation
 
 
 def key_of(doc_id: int | None) -> bytes:
@@ -156,40 +164,74 @@ class Pieces:
     texts with longer runs of white space go to the library as they are.
     """
 
-    def __init__(self, path: str, width: int):
-        import os
+    #: A space after one of these may belong to a longer run.
+    WHITE = [chr(c) + " " for c in (*range(9, 14), *range(0x1C, 0x21), 0x85, 0xA0, 0x1680, *range(0x2000, 0x200B), 0x2028, 0x2029, 0x202F, 0x205F, 0x3000)]
 
+    def __init__(self, path: str, width: int):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
-        import regex
-        from tokenizers import Tokenizer
-
         self.lib = Tokenizer.from_file(path)
         self.lib.no_truncation()
         self.lib.no_padding()
-        self.kind = f"<u{width}"
-        self.known: dict[str, bytes] = {}
-        self.odd = regex.compile(r"[\p{White_Space}\x1c-\x1f] (?!\P{White_Space})").search
+        self.kind = "H" if width == 2 else "I"
+        self.first, self.later = Recent(MOST_PIECES // 8), Recent(MOST_PIECES)
+        self.longer = regex.compile(r"[\p{White_Space}\x1c-\x1f] (?!\P{White_Space})").search
 
     def _encode(self, texts: list[str]) -> list[bytes]:
-        return [np.array(e.ids, self.kind).tobytes() for e in self.lib.encode_batch(texts, add_special_tokens=False)]
+        return [array(self.kind, e.ids).tobytes() for e in self.lib.encode_batch_fast(texts, add_special_tokens=False)]
+
+    def odd(self, text: str) -> bool:
+        return any(w in text for w in self.WHITE) and bool(self.longer(text)) or text.endswith(" ")
+
+    def _learn(self, memo: Recent, new: set[str], before: str) -> dict[str, bytes]:
+        """Ids of new pieces. The marks after a last letter or digit never join it, so they are encoded by themselves."""
+        made, parts, cores, tails = {}, [], {}, {}
+        for p in new:
+            core = p.rstrip(MARKS)
+            if len(core) < len(p) and core and core[-1].isalnum() and "<|" not in p:
+                tail = p[len(core) :]
+                parts.append((p, core, tail))
+                cores[core], tails[tail] = memo[core], self.first[tail]
+            else:
+                cores[p] = None
+        for known, store, lead in ((cores, memo, before), (tails, self.first, "")):
+            unknown = [k for k, v in known.items() if v is None]
+            found = dict(zip(unknown, self._encode([lead + k for k in unknown]), strict=True))
+            known.update(found)
+            made.update(found if known is cores else {})
+            store.room(len(found))
+            store.update(found)
+        both = {p: cores[core] + tails[tail] for p, core, tail in parts}
+        memo.room(len(both))
+        memo.update(both)
+        return made | both
+
+    def _fill(self, memo: Recent, split: list[list[str]], before: str) -> list[list[bytes]]:
+        met = [list(map(memo.__getitem__, s)) for s in split]
+        new = {p for s, got in zip(split, met, strict=True) if None in got for p, g in zip(s, got, strict=True) if g is None}
+        if not new:
+            return met
+        made = self._learn(memo, new, before)
+        return [[made[p] if g is None else g for p, g in zip(s, got, strict=True)] if None in got else got for s, got in zip(split, met, strict=True)]
 
     def texts(self, texts: list[str]) -> list[bytes]:
+        found: list[bytes] = [b""] * len(texts)
         whole = [i for i, x in enumerate(texts) if self.odd(x)]
-        direct = dict(zip(whole, self._encode([texts[i] for i in whole]), strict=True))
-        split = [[] if i in direct else self.split(x) for i, x in enumerate(texts)]
-        met = {p for s in split for p in s}
-        new = [p for p in met if p not in self.known]
-        if len(self.known) + len(new) > MOST_PIECES:
-            self.known.clear()
-            new = list(met)
-        self.known.update(zip(new, self._encode(new), strict=True))
-        get = self.known.__getitem__
-        return [direct[i] if i in direct else b"".join(map(get, s)) for i, s in enumerate(split)]
-
-    @staticmethod
-    def split(text: str) -> list[str]:
-        first, *rest = text.split(" ")
-        return [*([first] if first else []), *(" " + r for r in rest)]
+        for i, ids in zip(whole, self._encode([texts[i] for i in whole]), strict=True):
+            found[i] = ids
+        skip = set(whole)
+        at = [i for i in range(len(texts)) if i not in skip]
+        split = [texts[i].split(" ") for i in at]
+        first = self._fill(self.first, [s[:1] for s in split], "")
+        later = self._fill(self.later, [s[1:] for s in split], " ")
+        for i, a, b in zip(at, first, later, strict=True):
+            found[i] = b"".join((*a, *b))
+        return found
+
+
+@lru_cache(maxsize=1)
+def pieces_of(path: str, width: int) -> Pieces:
+    """One per worker process: what it has met serves its later tasks too."""
+    return Pieces(path, width)
 
 
 def write_shards(docs: DataFrame, path: str, out: str, end_id: int | None = 0, key: str = "doc_id", text: str = "text", shards: int | None = None, width: int = 2) -> DataFrame:
@@ -205,13 +247,14 @@ def write_shards(docs: DataFrame, path: str, out: str, end_id: int | None = 0, k
     rows = rows.repartitionByRange(n, "doc_id").sortWithinPartitions("doc_id", "text")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        calm()
         task = TaskContext.get()
         store, base = place(out)
         store.create_dir(base, recursive=True)
         name = f"shard-{task.partitionId():06d}"
         trial = f"{base}/.{name}.{task.taskAttemptId()}"
         end = np.array([] if end_id is None else [end_id], f"<u{width}").tobytes()
-        pieces = Pieces(path, width)
+        pieces = pieces_of(path, width)
         with store.open_output_stream(trial) as f:
             w = Writer(f, width)
             for part in slices(batches, "text"):
