@@ -5,6 +5,10 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..functions.casts import strip
+from ..functions.text import messages, task_slug
+from ..sources.traces import resolved
+
 STATE = ["family_id", "divergence_step", "state_key"]
 
 
@@ -37,9 +41,83 @@ def longest_repeat(steps: DataFrame, trajectory: str = "trajectory_id", observat
 
 
 def candidates(trajectories: DataFrame, repeats: DataFrame, is_win: Column) -> DataFrame:
-    """The candidate relation; trajectories carry the step where they part (0 without one)."""
+    """The candidate relation of trajectories without a branch index: all of a family part at its first step, in one state.
+
+    at_states() has the candidates of branches that part later.
+    """
     rows = trajectories.join(repeats, "trajectory_id", "left")
     return rows.select(
         "family_id", "trajectory_id", "trajectory_kind", F.lit(0).alias("divergence_step"), F.col("family_id").cast("string").alias("state_key"), "task_slug", "action_text",
         "terminal_progression", "terminal_reward", F.coalesce("max_run", F.lit(0)).alias("quality_score"), is_win.alias("is_win"), F.col("n_steps").alias("post_divergence_call_count"), "ref_logprob",
     )
+
+
+def prompt_of(call: Column) -> Column:
+    """A call's messages; without any, its instruction and observation, and no messages where one of the two is empty."""
+    own = F.coalesce(messages(call["extras"]["balrog_raw"]["messages"]), F.array().cast("array<struct<role:string,content:string>>"))
+    asked, seen = strip(call["instruction"]), strip(call["observation"])
+    shown = F.concat(F.lit("Current Observation:\n"), seen, F.lit("\n\nYour response should use the following format:\n\nThought: <your thoughts>\nAction: <your next action>"))
+    user = lambda text: F.struct(F.lit("user").alias("role"), text.alias("content"))
+    return F.when(F.size(own) > 0, own).when((asked != "") & (seen != ""), F.array(user(asked), user(shown))).otherwise(own)
+
+
+def response_of(call: Column) -> Column:
+    """A call's raw completion unless it is the action alone; else thought and action, or the action, or ''."""
+    raw = strip(F.coalesce(F.nullif(call["extras"]["balrog_raw"]["response"]["raw_completion"], F.lit("")), call["raw_output"]))
+    action, thought = strip(call["action"]), strip(call["thought"])
+    return (
+        F.when((raw != "") & (raw != action), raw)
+        .when(thought != "", F.concat(F.lit("Thought: "), thought, F.lit("\n\nAction: "), action))
+        .when(action != "", F.concat(F.lit("Action: "), action))
+        .otherwise(raw)
+    )
+
+
+def repeats_in(calls: Column) -> Column:
+    """The most consecutive calls with one observation and action; longest_repeat() for an array."""
+    start = F.struct(F.lit(None).cast("struct<o:string,a:string>").alias("k"), F.lit(0).alias("run"), F.lit(0).alias("best"))
+
+    def step(s: Column, c: Column) -> Column:
+        k = F.when(c.isNotNull(), F.struct(F.coalesce(c["observation"], F.lit("")).alias("o"), F.coalesce(c["action"], F.lit("")).alias("a")))
+        run = F.when(c.isNull(), 0).when(k == s["k"], s["run"] + 1).otherwise(1)
+        return F.struct(k.alias("k"), run.alias("run"), F.greatest(s["best"], run).alias("best"))
+
+    return F.aggregate(calls, start, step)["best"]
+
+
+def _judged(rows: DataFrame, kind: str, is_win: Column) -> DataFrame:
+    """Candidates from STATE, trajectory_id, a trace's columns and, for alternatives, the base's prompt; or an error."""
+    size, d = F.coalesce(F.size("calls"), F.lit(0)), F.col("divergence_step")
+    call, last = F.try_element_at("calls", d + 1), F.try_element_at("calls", F.lit(-1))
+    rows = rows.withColumns({"prompt": prompt_of(call) if kind == "base" else F.col("prompt"), "response_text": response_of(call)})
+    fail = lambda what: F.raise_error(F.concat(F.lit(what), F.col("trace_path"))).cast("boolean")
+    sound = (
+        F.when(size == 0, fail("no calls in ")).when((d < 0) | (d >= size), fail("divergence_step is out of range for "))
+        .when(F.size("prompt") <= 0, fail("no prompt at divergence step of ")).when(F.col("response_text") == "", fail("no response at divergence step of ")).otherwise(True)
+    )
+    number = lambda name: F.coalesce(last[name], F.lit(0.0)).alias(name)
+    found = rows.where(sound).select(
+        *STATE, "trajectory_id", F.lit(kind).alias("trajectory_kind"), F.col("task_or_env_params").alias("task_id"), task_slug(F.col("task_or_env_params")).alias("task_slug"), F.coalesce("seed", F.lit(-1)).cast("long").alias("seed"),
+        "prompt", "response_text", strip(call["action"]).alias("action_text"), number("progression"), number("reward"), F.coalesce(last["done"], F.lit(False)).alias("terminal_done"),
+        repeats_in(F.col("calls")).alias("quality_score"), (size - d).alias("post_divergence_call_count"), F.col("trace_path").alias("source_trace"),
+    ).withColumnsRenamed({"progression": "terminal_progression", "reward": "terminal_reward"})
+    return found.withColumn("is_win", is_win)
+
+
+def at_states(branches: DataFrame, bases: DataFrame, alternatives: DataFrame, is_win: Column, families: DataFrame | None = None) -> DataFrame:
+    """The candidates of each state (family, step, state key) of the eligible branches: its base once, and each branch.
+
+    Both stand at calls[divergence_step] of their own trace, on the base's prompt. branches: alt_traj_id, base_traj_id,
+    divergence_step, state_key, status, replay_success, output_trace; bases and alternatives: traces. Of base traces with
+    one id the last by path counts; branches without a base trace are left out. A trace without calls, a step out of range
+    and an empty prompt or response are errors, and so is a branch without a single trace. is_win: over the columns made here.
+    """
+    named = branches.withColumns({"family_id": strip(F.col("base_traj_id")), "state_key": strip(F.col("state_key")), "alt_traj_id": strip(F.col("alt_traj_id"))})
+    held = ["trace_path", "task_or_env_params", "seed", "calls"]
+    base = bases.groupBy(F.col("episode_id").alias("family_id")).agg(F.max_by(F.struct(*held), F.col("trace_path")).alias("_t")).select("family_id", "_t.*")
+    rows = eligible_branches(named, families).join(base.select("family_id"), "family_id", "left_semi").select(*STATE, "alt_traj_id", "output_trace")
+    at_base = _judged(rows.select(STATE).distinct().join(base, "family_id").withColumn("trajectory_id", F.col("family_id")), "base", is_win)
+    # branches without an id have no trace, but their state has its base
+    met = resolved(rows.where("alt_traj_id <> ''"), alternatives.select("trace_path", "episode_id")).join(alternatives.select(*held), "trace_path")
+    met = met.join(at_base.select(*STATE, "prompt"), STATE).withColumnRenamed("alt_traj_id", "trajectory_id")
+    return at_base.unionByName(_judged(met, "alt", is_win))

@@ -122,6 +122,48 @@ def candidates(spark, d):
     return _candidates(spark, d).drop("terminal_progression", "ref_logprob")
 
 
+STATES = BRANCH + """, st AS (SELECT alt_traj_id, base_traj_id, least(divergence_step, b.n_steps - 1, ord - 1) AS d, state_key || '/' || (alt_index % 2) AS state_key
+  FROM br JOIN traj b ON b.trajectory_id = base_traj_id WHERE status = 'generated' AND replay_success AND state_key <> ''),
+placed AS (SELECT DISTINCT base_traj_id AS family_id, d, state_key, base_traj_id AS trajectory_id, 'base' AS trajectory_kind FROM st UNION ALL SELECT base_traj_id, d, state_key, alt_traj_id, 'alt' FROM st),
+sc AS (SELECT p.family_id, p.d AS divergence_step, p.state_key, p.trajectory_id, p.trajectory_kind, t.task_slug, s.action AS action_text, t.terminal_reward, max_run AS quality_score, t.terminal_progression >= 1 AS is_win, t.n_steps - p.d AS post_divergence_call_count
+  FROM placed p JOIN traj t ON t.trajectory_id = p.trajectory_id JOIN run ON run.trajectory_id = p.trajectory_id JOIN step s ON s.trajectory_id = p.trajectory_id AND s.step = p.d),
+sg AS (SELECT * FROM sc WHERE is_win AND quality_score <= 1)"""
+
+
+def _at_states(spark, d):
+    steps = _steps(spark, d)
+    size = ev.trajectories(steps).where("trajectory_kind = 'base'").select(F.col("trajectory_id").alias("base_traj_id"), F.col("n_steps").alias("base_steps"))
+    index = _branches(spark, d).join(size, "base_traj_id").withColumns({
+        "divergence_step": F.least("divergence_step", F.col("base_steps") - 1, F.col("ord") - 1).cast("int"), "output_trace": F.col("alt_traj_id"),
+        "state_key": F.when(F.col("state_key") != "", F.concat("state_key", F.lit("/"), (F.col("alt_index") % 2).cast("string"))).otherwise(""),
+    })
+    traces = ev.traces(steps)
+    return cand.at_states(index, traces.where("trajectory_kind = 'base'"), traces.where("trajectory_kind = 'alt'"), outcomes.by_progression(F.col("terminal_progression")))
+
+
+@query(f"+{STATES} SELECT * FROM sc")
+def branch_candidates(spark, d):
+    return _at_states(spark, d).select(*cand.STATE, "trajectory_id", "trajectory_kind", "task_slug", "action_text", "terminal_reward", "quality_score", "is_win", "post_divergence_call_count")
+
+
+STATE_PAIR = "family_id, divergence_step, state_key, c.trajectory_id AS chosen_trajectory_id, r.trajectory_id AS rejected_trajectory_id, c.action_text AS chosen_action_text, r.action_text AS rejected_action_text"
+
+
+def _state_pair(rows, kind):
+    return pairs.pair_rows(rows, kind).select(*cand.STATE, "chosen_trajectory_id", "rejected_trajectory_id", "chosen_action_text", "rejected_action_text")
+
+
+@query(f"+{STATES} SELECT {STATE_PAIR} FROM sg c JOIN sc r USING (family_id, divergence_step, state_key) WHERE NOT r.is_win AND NOT (c.trajectory_kind = 'base' AND r.trajectory_kind = 'base')")
+def branch_pairs_win_lose(spark, d):
+    rows = _at_states(spark, d)
+    return _state_pair(pairs.win_lose(pairs.good_wins(rows, MOST_REPEATS), rows.where("not is_win")), "win_lose")
+
+
+@query(f"+{STATES} SELECT {STATE_PAIR} FROM sg c JOIN sg r USING (family_id, divergence_step, state_key) WHERE (CASE WHEN c.trajectory_kind = 'base' THEN 0 ELSE 1 END, c.trajectory_id) < (CASE WHEN r.trajectory_kind = 'base' THEN 0 ELSE 1 END, r.trajectory_id)")
+def branch_pairs_win_win(spark, d):
+    return _state_pair(pairs.win_win(pairs.good_wins(_at_states(spark, d), MOST_REPEATS)), "win_win")
+
+
 PAIR_OUT = "c.task_slug, c.family_id, c.state_key, CASE WHEN 'base' IN (c.trajectory_kind, r.trajectory_kind) THEN 'base-alt' ELSE 'alt-alt' END AS pair_origin, c.trajectory_id AS chosen_trajectory_id, r.trajectory_id AS rejected_trajectory_id, c.action_text AS chosen_action_text, r.action_text AS rejected_action_text"
 
 

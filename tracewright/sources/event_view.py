@@ -51,3 +51,16 @@ def trajectories(steps_of: DataFrame) -> DataFrame:
         F.col("last.progression").alias("terminal_progression"),
         (-(F.col("first.event_id") % 97) / 10.0).alias("ref_logprob"),
     )
+
+
+def traces(steps_of: DataFrame) -> DataFrame:
+    """One row a trajectory, as sources.traces has them, with the fields of a call that candidates look at."""
+    extras = "struct<balrog_raw: struct<messages: array<struct<role: string, content: string>>, response: struct<raw_completion: string>>>"
+    none = F.lit(None).cast("string")
+    call = F.struct(
+        F.lit("go on").alias("instruction"), F.col("obs_pre").cast("string").alias("observation"), none.alias("thought"), "action", none.alias("raw_output"),
+        "reward", "progression", "done", F.lit(None).cast(extras).alias("extras"),
+    )
+    packed = F.array_sort(F.collect_list(F.struct("step", "event_id", call.alias("call"))), lambda a, b: a["step"] - b["step"])
+    found = steps_of.groupBy("trajectory_id", "trajectory_kind", "task_slug").agg(packed.alias("s"))
+    return found.select(F.col("trajectory_id").alias("episode_id"), F.col("trajectory_id").alias("trace_path"), "trajectory_kind", F.col("task_slug").alias("task_or_env_params"), F.lit(0).cast("long").alias("seed"), F.transform("s", lambda x: x["call"]).alias("calls"))
