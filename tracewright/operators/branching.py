@@ -29,6 +29,11 @@ def spread_steps(candidates: Column, count: int) -> Column:
     return F.when(n <= count, candidates).otherwise(F.array_sort(F.array_distinct(F.array(*(at(k) for k in range(count))))))
 
 
+def prefix(actions: Column, step: Column) -> Column:
+    """All actions before a step."""
+    return F.slice(actions, F.lit(1), step.cast("int"))
+
+
 def step_cap(*caps: Column) -> Column:
     """The least cap that is there."""
     return F.least(*caps)

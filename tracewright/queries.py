@@ -396,8 +396,11 @@ def stable_seed(spark, d):
 
 @query()
 def state_key(spark, d):
-    rows = diversity.sequences(_steps(spark, d))
-    return rows.select("trajectory_id", pt.state_key(F.lit("task"), F.lit(0), F.slice("actions", 1, 3)).alias("state_key"))
+    """Each trajectory at each of its divergence steps: all actions before the step, its task and, as its seed, its week."""
+    steps = _steps(spark, d)
+    rows = ev.trajectories(steps).join(diversity.sequences(steps), "trajectory_id")
+    rows = rows.select("trajectory_id", "task_slug", "week", "actions", F.explode(branching.uniform_steps(F.col("n_steps"), 5)).alias("divergence_step"))
+    return rows.select("trajectory_id", "divergence_step", pt.state_key("task_slug", "week", branching.prefix(F.col("actions"), F.col("divergence_step"))).alias("state_key"))
 
 
 @query("SELECT page_id, CASE WHEN url LIKE '%/en/%' THEN 'search' WHEN url LIKE '%/fr/%' THEN 'product_click' WHEN url LIKE '%/de/%' THEN 'buy_now' WHEN url LIKE '%/es/%' THEN 'navigation' ELSE 'other' END AS kind FROM pages", with_steps=False)
