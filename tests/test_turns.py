@@ -24,3 +24,14 @@ def test_state_keys_take_all_actions_before_each_step(spark):
         assert r["state_key"] == hashlib.sha1("\n<SEP>\n".join((task, str(seed), json.dumps(before))).encode()).hexdigest()
     assert {r["trajectory_id"] for r in got} == {t for t, a in actions.items() if len(a) > 1}
     assert max(r["divergence_step"] for r in got) > 3
+
+
+def talk(spark, n):
+    return spark.createDataFrame([(1, i, "assistant" if i % 2 else "user", f"t{i}") for i in range(n)], "conv_id long, turn int, role string, text string")
+
+
+def test_prompts_are_the_whole_conversation(spark):
+    rows = {r["turn"]: [m["content"] for m in r["prompt"]] for r in sft.rows_from_turns(talk(spark, 40)).collect()}
+    assert rows == {i: [f"t{k}" for k in range(i)] for i in range(1, 40, 2)}
+    cut = {r["turn"]: [m["content"] for m in r["prompt"]] for r in sft.rows_from_turns(talk(spark, 40), most=4).collect()}
+    assert cut[39] == ["t35", "t36", "t37", "t38"]

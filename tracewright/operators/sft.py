@@ -8,13 +8,13 @@ from pyspark.sql import functions as F
 from ..functions.casts import strip
 
 
-def rows_from_turns(turns: DataFrame, group: str = "conv_id", order: str = "turn", speaker: str = "assistant", most: int = 16) -> DataFrame:
-    """One row for each of the speaker's turns: the turn as completion, up to `most` turns before it as prompt.
+def rows_from_turns(turns: DataFrame, group: str = "conv_id", order: str = "turn", speaker: str = "assistant", most: int | None = None) -> DataFrame:
+    """One row for each of the speaker's turns: the turn as completion, all turns before it (the last `most`, if given) as prompt.
 
     Turns without a role or text don't count; rows without a prompt or completion are left out.
     """
     said = turns.select(group, order, strip(F.col("role")).alias("role"), strip(F.col("text")).alias("content")).where("role <> '' and content <> ''")
-    before = Window.partitionBy(group).orderBy(order).rowsBetween(-most, -1)
+    before = Window.partitionBy(group).orderBy(order).rowsBetween(Window.unboundedPreceding if most is None else -most, -1)
     rows = said.withColumn("prompt", F.collect_list(F.struct("role", "content")).over(before))
     return rows.where((F.col("role") == speaker) & (F.size("prompt") > 0)).select(group, order, "prompt", F.array(F.struct("role", "content")).alias("completion"))
 
