@@ -35,3 +35,9 @@ def test_prompts_are_the_whole_conversation(spark):
     assert rows == {i: [f"t{k}" for k in range(i)] for i in range(1, 40, 2)}
     cut = {r["turn"]: [m["content"] for m in r["prompt"]] for r in sft.rows_from_turns(talk(spark, 40), most=4).collect()}
     assert cut[39] == ["t35", "t36", "t37", "t38"]
+
+
+def test_default_history_has_sixteen_turns(spark, tmp_path):
+    talk(spark, 40).write.parquet(f"{tmp_path}/conversations.parquet")
+    got = {r["turn"]: r["history_sha256"] for r in QUERIES["history_window_default"](spark, str(tmp_path)).collect()}
+    assert got == {i: hashlib.sha256("\n".join(f"t{k}" for k in range(max(0, i - 15), i + 1)).encode()).hexdigest() for i in range(40)}

@@ -374,6 +374,12 @@ def history_window(spark, d):
     return rows.select("conv_id", "turn", F.sha2("history", 256).alias("history_sha256"))
 
 
+@query("SELECT conv_id, turn, sha256(string_agg(coalesce(text, ''), chr(10)) OVER (PARTITION BY conv_id ORDER BY turn ROWS BETWEEN 15 PRECEDING AND CURRENT ROW)) AS history_sha256 FROM conversations", with_steps=False)
+def history_window_default(spark, d):
+    rows = sft.history(_table(spark, d, "conversations"))
+    return rows.select("conv_id", "turn", F.sha2("history", 256).alias("history_sha256"))
+
+
 @query("""SELECT trajectory_id, array_to_string(CASE WHEN n_steps < 2 THEN [] WHEN n_steps - 1 <= 5 THEN range(1, n_steps)
   ELSE list_sort(list_distinct([1, n_steps - 1, CAST(round_even((n_steps - 2) / 4.0, 0) AS BIGINT) + 1, CAST(round_even(2 * (n_steps - 2) / 4.0, 0) AS BIGINT) + 1, CAST(round_even(3 * (n_steps - 2) / 4.0, 0) AS BIGINT) + 1])) END, ',') AS steps FROM traj""")
 def divergence_steps_uniform(spark, d):
