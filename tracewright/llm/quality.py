@@ -26,17 +26,27 @@ DIM = 1 << BITS
 #: Labelled rows of each class that a model is fitted on, at most. The only bound on what is learnt from.
 SAMPLE = 8_000
 MOST_WORDS = 150_000
+#: Longer words, as in texts without white space, count as consecutive pieces of so many characters.
+PIECE = 64
 
 _upper, _lower, _digits, _marks = re.compile(r"[^\W\d_a-zß-öø-ÿ]+"), re.compile(r"[a-zß-öø-ÿ]+"), re.compile(r"\d+"), re.compile(r"([^\w])\1+")
 
 
 def shape(word: str) -> str:
-    """Letters as A or a, digits as 0, runs of one mark as two of it, and the length in classes."""
+    """Letters as A or a, digits as 0, runs of one mark as two of it, and the length in classes; of the whole piece."""
     s = _marks.sub(r"\1\1", word)
-    s = "".join("A" if c.isupper() else "a" if c.isalpha() else "0" if c.isdigit() else c for c in s[:64])
+    s = "".join("A" if c.isupper() else "a" if c.isalpha() else "0" if c.isdigit() else c for c in s)
     s = re.sub(r"([Aa0])\1+", r"\1", s)
     n = len(word)
-    return f"{s[:16]}:{0 if n < 4 else 1 if n < 9 else 2 if n < 17 else 3}"
+    return f"{s}:{0 if n < 4 else 1 if n < 9 else 2 if n < 17 else 3}"
+
+
+def pieces(text: str) -> list[str]:
+    """The words of a text, long ones in consecutive pieces; nothing is left out."""
+    words = text.split()
+    if words and len(max(words, key=len)) > PIECE:
+        return [w[i : i + PIECE] for w in words for i in range(0, len(w), PIECE)]
+    return words
 
 
 def code(word: str) -> int:
@@ -57,7 +67,7 @@ def codes() -> Memo:
 
 def features(texts: list[str], memo: Memo) -> tuple[np.ndarray, np.ndarray]:
     """Pairs of text number and feature, each once, ordered by both."""
-    split = [x.split() for x in texts]
+    split = [pieces(x) for x in texts]
     n = [len(s) for s in split]
     total = sum(n)
     codes = np.fromiter((memo[w] for s in split for w in s), np.uint64, total)
