@@ -22,6 +22,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import LongType, StructField, StructType
 
 from .common import cut, fit_partitions, session, slices
 from .components import components
@@ -447,14 +448,8 @@ def _links(met: DataFrame, words: int, percent: int) -> DataFrame:
     return met.mapInArrow(run, "a bigint, b bigint")
 
 
-def jaccard_classes(docs: DataFrame, words: int = WORDS, percent: int = PERCENT, key: str = "doc_id", text: str = "text") -> DataFrame:
-    """Per row of docs: key, n_shingles, component_id (the least key that links reach, its own included).
-
-    Two texts link when 100 * (size of the intersection) >= percent * (size of the union) of their sets of distinct word
-    n-grams; fewer words than n are one n-gram. Null or empty texts have no n-grams and link with nothing: their component
-    is their own key. A null key counts in a class but names none unless no other key is there. Rows with one key are told
-    apart by their texts. Repeated rows give repeated rows; an empty table an empty one; other columns are left out.
-    """
+def _classed(docs: DataFrame, words: int, percent: int, key: str, text: str) -> DataFrame:
+    """Per row of docs: doc_id, n, the signature s1 and s2 of its set, component, and root, which names the class alone."""
     spark = session(docs)
     rows = docs.select(F.col(key).cast("long").alias("doc_id"), F.col(text).alias("text"))
     parts = fit_partitions(spark)
@@ -462,6 +457,9 @@ def jaccard_classes(docs: DataFrame, words: int = WORDS, percent: int = PERCENT,
     every = seen.where("kind = 0").select("doc_id", "n", "s1", "s2")
     classes = cut(every.where("n > 0").groupBy("s1", "s2", "n").agg(F.min("doc_id").alias("rep"), F.count(F.lit(1)).alias("k")))
     total = classes.count()
+    # a key with several texts may be the least of several classes; only then do signatures name the classes in links
+    shared = not classes.where("rep is not null").groupBy("rep").count().where("count > 1").isEmpty()
+    node = "s1" if shared else "rep"
     hot = seen.where("kind = 1").groupBy("s1").agg(F.sum("n").alias("t")).where(F.col("t") >= max(LEAST_HEAVY, HEAVY * total))
     heavy = np.sort(np.array([r["s1"] for r in hot.select("s1").collect()], np.int64).astype(U))  # bounded by the mean set size / HEAVY
     sent = spark.sparkContext.broadcast(heavy)
@@ -479,18 +477,61 @@ def jaccard_classes(docs: DataFrame, words: int = WORDS, percent: int = PERCENT,
     wanted = places.select("doc_id").distinct()
     wanted = F.broadcast(wanted) if wanted.count() <= SMALL else wanted
     texts = rows.join(wanted, "doc_id", "left_semi")
-    met = places.join(texts, "doc_id").select("place", "tile_a", "tile_b", "doc_id", "s1", "tile", "text")
+    met = places.join(texts, "doc_id").select("place", "tile_a", "tile_b", F.col("s1" if shared else "doc_id").alias("doc_id"), "s1", "tile", "text")
     order = ["place", "tile_a", "tile_b"]
     links = _links(met.repartition(parts, *order).sortWithinPartitions(*order), words, percent)
     found = components(links)
-    named = classes.join(found, classes["rep"] == found["node"], "left").where("k > 1 or component is not null")
-    named = named.select(F.col("s1").alias("c1"), F.col("s2").alias("c2"), F.col("n").alias("cn"), F.coalesce("component", "rep").alias("component"))
+    named = classes.join(found, classes[node] == found["node"], "left").where("k > 1 or component is not null").withColumn("root", F.coalesce("component", node))
+    if shared:
+        least = named.groupBy("root").agg(F.min("rep").alias("least"))
+        named = named.drop("component").join(least, "root").withColumnRenamed("least", "component")
+    named = named.select(F.col("s1").alias("c1"), F.col("s2").alias("c2"), F.col("n").alias("cn"), F.coalesce("component", "rep").alias("component"), "root")
     joined = every.join(named, (every["s1"] == named["c1"]) & (every["s2"] == named["c2"]) & (every["n"] == named["cn"]), "left")
-    return joined.select(F.col("doc_id").alias(key), F.col("n").alias("n_shingles"), F.coalesce("component", "doc_id").alias("component_id"))
+    return joined.select("doc_id", "n", "s1", "s2", F.coalesce("component", "doc_id").alias("component"), F.coalesce("root", "s1" if shared else "doc_id").alias("root"))
+
+
+def jaccard_classes(docs: DataFrame, words: int = WORDS, percent: int = PERCENT, key: str = "doc_id", text: str = "text") -> DataFrame:
+    """Per row of docs: key, n_shingles, component_id (the least key that links reach, its own included).
+
+    Two texts link when 100 * (size of the intersection) >= percent * (size of the union) of their sets of distinct word
+    n-grams; fewer words than n are one n-gram. Null or empty texts have no n-grams and link with nothing: their component
+    is their own key. A null key counts in a class but names none unless no other key is there. Rows with one key are told
+    apart by their texts. Repeated rows give repeated rows; an empty table an empty one; other columns are left out.
+    """
+    found = _classed(docs, words, percent, key, text)
+    return found.select(F.col("doc_id").alias(key), F.col("n").alias("n_shingles"), F.col("component").alias("component_id"))
 
 
 def drop_near(docs: DataFrame, words: int = WORDS, percent: int = PERCENT, key: str = "doc_id", text: str = "text") -> DataFrame:
-    """docs with one row for each class: that with the least key. Rows without a key or without words all stay."""
-    classes = jaccard_classes(docs, words, percent, key, text)
-    gone = classes.where(~F.col(key).eqNullSafe(F.col("component_id")) & F.col(key).isNotNull()).select(F.col(key).alias("_gone")).distinct()
-    return docs.join(gone, F.col(key) == F.col("_gone"), "left_anti")
+    """docs with one row for each class: that with the least key. Rows without a key or without words all stay.
+
+    Where keys repeat, rows are told apart by their texts, and one of a class's rows of the least key stays.
+    """
+    found = _classed(docs, words, percent, key, text)
+    if docs.where(F.col(key).isNotNull()).groupBy(key).count().where("count > 1").isEmpty():
+        gone = found.where(F.col("doc_id").isNotNull() & (F.col("doc_id") != F.col("component"))).select(F.col("doc_id").alias("_gone"))
+        return docs.join(gone, F.col(key) == F.col("_gone"), "left_anti")
+    stays = found.where("doc_id is not null and n > 0").groupBy("root").agg(F.min(F.struct("doc_id", "s1", "s2")).alias("_m"))
+    stays = stays.select(F.col("_m.doc_id").alias("_k"), F.col("_m.s1").alias("_k1"), F.col("_m.s2").alias("_k2"))
+    signed = _signed(docs, words, text)
+    free = F.col(key).isNull() | (F.col("_n") == 0)
+    met = signed.where(~free).join(stays, (F.col(key) == F.col("_k")) & (F.col("_s1") == F.col("_k1")) & (F.col("_s2") == F.col("_k2")), "left_semi")
+    return signed.where(free).unionByName(met.dropDuplicates([key, "_s1", "_s2"])).select(*docs.columns)
+
+
+def _signed(docs: DataFrame, words: int, text: str) -> DataFrame:
+    """docs with _n, _s1 and _s2: the size and signature of each row's set."""
+    at = docs.columns.index(text)
+    names = [*docs.columns, "_n", "_s1", "_s2"]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for part in slices(batches, text, BYTES):
+            sets = shingle_sets([x or "" for x in part.column(at).to_pylist()], words)
+            both = [signature(s) for s in sets]
+            made = ([len(s) for s in sets], [b[0] for b in both], [b[1] for b in both])
+            yield pa.RecordBatch.from_arrays([*part.columns, *(pa.array(x, pa.int64()) for x in made)], names=names)
+
+    schema = docs.schema
+    for name in names[-3:]:
+        schema = StructType([*schema.fields, StructField(name, LongType())])
+    return docs.mapInArrow(run, schema)
