@@ -48,26 +48,69 @@ def test_token_counts(docs):
     assert token_counts.token_counts(docs.limit(0), WORD).count() == 0
 
 
-def test_state_maps_compose():
+def test_prefix_scan_counts_every_chunk():
+    t, lib = token_counts.Transducer(WORD), Tokenizer.from_file(WORD)
+    for text in ("don't stop  me now", LONG[:500], "x" * 300, "   ", "", "ab're 'l 'll r'v12"):
+        maps = t.maps(t.bpe.normal(text), 7)
+        scanned = token_counts.scan(maps)
+        state, n = t.start, 0
+        for k, m in enumerate(maps):
+            state, more = m.at(state)
+            n += more
+            assert scanned[k].at(t.start) == (state, n)
+            prefix = text[: 7 * (k + 1)]
+            assert n + state.end() == len(lib.encode(prefix, add_special_tokens=False).ids)
+            for entry in [t.start, *list(t.states.values())[::50]]:  # a map is of all entry states
+                assert scanned[k].at(entry) == t.walk(entry, prefix.lower())
+        assert t.count(text, 7) == t.count(text) == len(lib.encode(text, add_special_tokens=False).ids)
+
+
+def test_states_are_shared_and_look_back_a_bounded_stretch():
     t = token_counts.Transducer(WORD)
-    for text in ("don't stop  me now", LONG[:500], "x" * 300, "   ", ""):
-        maps = [t.map(text[i : i + 7]) for i in range(0, len(text), 7)]
-        left = token_counts.StateMap("", 0, "", True)
-        for m in maps:
-            left = t.compose(left, m)
-        assert t.close(t.scan(maps)) == t.close(left) == t.count(text)
+    longest = max(map(len, t.begins))
+    for i in range(400):
+        t.count("ab" * 40 + chr(97 + i % 26) + "re" * (i % 30))
+    assert all(len(s.tail) <= longest and len(s.window) == len(s.tail) + 1 for s in t.states.values() if s.kind in "LO")
+    before = len(t.states)
+    t.count("cd" * 5_000)
+    assert len(t.states) < before + 100
 
 
 def test_transducer_survives_its_bound():
     t = token_counts.Transducer(WORD)
-    t.run.most, old = 5, token_counts.MOST_EDGES
-    token_counts.MOST_EDGES = 20
+    old, token_counts.MOST_EDGES = token_counts.MOST_EDGES, 20
     try:
-        assert t.count(LONG[:3000]) == len(Tokenizer.from_file(WORD).encode(LONG[:3000], add_special_tokens=False).ids)
+        for text in (LONG[:3000], LONG[100:900]):
+            assert t.count(text) == len(Tokenizer.from_file(WORD).encode(text, add_special_tokens=False).ids)
     finally:
         token_counts.MOST_EDGES = old
 
 
+def odd_strings():
+    """Every code point beside a letter, a mark, a digit and a space, and random mixtures."""
+    rng = np.random.default_rng(11)
+    points = [chr(c) for c in (*range(0x2FFFF), *range(0xE0000, 0xE01F0)) if not 0xD800 <= c < 0xE000]
+    texts = ["".join(f"a{c}b!{c}1{c} {c}" for c in points[i : i + 64]) for i in range(0, len(points), 64)]
+    pool = [*"aaabcdeERT    \t\n..,!-0159éÜßΣσİıfiﬁ\u0301\u0308\u1c89\ua7cb\ua7dc\u088f\u13808中文字가각ᄀ\x1c\x85\u2003", "'", "'", "'re", "'ll", "<|endoftext|>", "<|startoftext|>", "<|"]
+    return texts + ["".join(rng.choice(pool, int(rng.integers(1, 40)))) for _ in range(3_000)]
+
+
+def test_counts_and_ids_are_the_librarys_on_every_code_point():
+    lib, t, texts = Tokenizer.from_file(WORD), token_counts.Transducer(WORD), odd_strings()
+    want = [e.ids for e in lib.encode_batch(texts, add_special_tokens=False)]
+    assert [t.count(x) for x in texts] == [len(w) for w in want]
+    codec = bpe_codec.Codec(t.bpe, [texts], arrays=True)
+    for x, w in zip(texts, want, strict=True):
+        n, ids, decoded, raw = codec.text(x)
+        assert (n, ids, decoded) == (len(w), " ".join(map(str, w)), lib.decode(w, skip_special_tokens=False)) and np.frombuffer(b"".join(raw), "<i4").tolist() == w
+
+
+def test_pair_index_on_runs_of_one_symbol():
+    bpe = token_counts.Transducer(WORD).bpe
+    words = ["a" * n for n in range(1, 80)] + ["ab" * n for n in range(1, 40)] + ["!" * n for n in range(1, 50)] + ["na" * 9 + "n" * 9]
+    assert bpe_codec.index_encode(bpe, words) == [bpe.merge(w) for w in words]
+
+
 def test_codec(docs):
     lib = Tokenizer.from_file(WORD)
     want = Counter()

@@ -1,154 +1,203 @@
 """BPE encoding and decoding by a pair occurrence index.
 
-The distinct new words of a partition's slice lie in one symbol array. An index maps each pair of adjacent symbols to
-all its positions; the active ranks are applied in ascending order, each at all positions of its pair, and the lists
-of the pairs that a merge makes are extended. What a run between two white spaces encodes to is kept for later slices.
+The distinct words of a partition lie in one symbol array. An index maps each pair of adjacent symbols to all its positions;
+the active ranks are applied in ascending order, each at all positions of its pair at once, and the lists of the pairs
+that a merge makes are extended. Partitions of more than SEGMENT bytes of text are taken in consecutive segments of that size.
 """
 
 from __future__ import annotations
 
 import hashlib
 import heapq
-from collections import defaultdict
-from functools import lru_cache
+from collections.abc import Iterable, Iterator
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import to_arrow_type
+from pyspark.sql.types import StructType
 
-from .common import Recent, map_texts, units
+from .common import calm, gathered, slices, units
 from .wordbpe import BITS, MASK, NONE, WordBPE, load
 
-#: Runs and words that a worker keeps; beyond, it starts anew.
-MOST_RUNS, MOST_WORDS = 150_000, 120_000
+#: Bytes of text over which one index reaches.
+SEGMENT = 32 << 20
+
+
+class PairIndex:
+    """All words in one array of symbols, linked both ways, and the positions of each pair that merges, by rank."""
+
+    def __init__(self, bpe: WordBPE, words: list[str]):
+        self.keys, self.ranks = bpe.sorted_ranks
+        raw = [w.encode("utf-8", "surrogatepass") for w in words]
+        size = np.fromiter(map(len, raw), np.int64, len(raw))
+        data = np.frombuffer(b"".join(raw), np.uint8)
+        end = np.cumsum(size) - 1
+        self.begin = end - size + 1
+        self.symbol = np.array(bpe.inner, np.int32)[data]
+        self.symbol[end] = np.array(bpe.last, np.int32)[data[end]]
+        self.after = np.arange(1, len(data) + 1, dtype=np.int32)
+        self.after[end] = -1
+        self.before = np.arange(-1, len(data) - 1, dtype=np.int32)
+        self.before[self.begin] = -1
+        self.where: dict[int, list[np.ndarray]] = {}
+        self.active: list[int] = []
+        self._extend(np.flatnonzero(self.after >= 0).astype(np.int32))
+
+    def _extend(self, left: np.ndarray) -> None:
+        """Add the pairs that begin at these positions to the lists of their ranks."""
+        if not len(left):
+            return
+        key = self.symbol[left].astype(np.int64) << BITS | self.symbol[self.after[left]]
+        at = np.minimum(np.searchsorted(self.keys, key), len(self.keys) - 1)
+        known = self.keys[at] == key
+        rank, left = self.ranks[at[known]], left[known]
+        if len(rank) == 1:
+            return self._add(int(rank[0]), left)
+        order = np.argsort(rank, kind="stable")
+        rank, left = rank[order], left[order]
+        cuts = np.flatnonzero(rank[1:] != rank[:-1]) + 1
+        for r, group in zip(rank[np.append(0, cuts)].tolist() if len(rank) else (), np.split(left, cuts), strict=False):
+            self._add(r, group)
+
+    def _add(self, rank: int, positions: np.ndarray) -> None:
+        if (known := self.where.get(rank)) is None:
+            self.where[rank] = known = []
+            heapq.heappush(self.active, rank)
+        known.append(positions)
+
+    def merge(self, pairs: dict[int, int]) -> None:
+        """Apply the active ranks in ascending order. pairs: of each rank and new id, the pair."""
+        symbol, after, before = self.symbol, self.after, self.before
+        while self.active:
+            r = heapq.heappop(self.active)
+            a, b, new = pairs[r] >> BITS, pairs[r] & MASK, r & MASK
+            lists = self.where.pop(r)
+            i = np.unique(np.concatenate(lists))
+            j = after[i]
+            right = (symbol[i] == a) & (j >= 0)
+            right &= symbol[j] == b  # earlier merges took some
+            i, j = i[right], j[right]
+            if a == b and len(i) > 1:  # of a run of one symbol, every second pair, from the left
+                fresh = np.ones(len(i), bool)
+                fresh[1:] = j[:-1] != i[1:]
+                start = np.flatnonzero(fresh)
+                place = np.arange(len(i)) - start[np.cumsum(fresh) - 1]
+                i, j = i[place % 2 == 0], j[place % 2 == 0]
+            if not len(i):
+                continue
+            k = after[j]
+            symbol[i], symbol[j], after[i] = new, -1, k
+            has = k >= 0
+            before[k[has]] = i[has]
+            left = before[i]
+            self._extend(np.concatenate((left[left >= 0], i[has])))
+
+    def ids(self) -> tuple[np.ndarray, np.ndarray]:
+        """All ids in order, and of each word how many."""
+        stay = self.symbol >= 0
+        total = np.concatenate(([0], np.cumsum(stay)))
+        ends = np.append(self.begin[1:], len(stay))
+        return self.symbol[stay], total[ends] - total[self.begin]
 
 
 def index_encode(bpe: WordBPE, words: list[str]) -> list[list[int]]:
     """Ids of each word, all words merged together through one pair occurrence index."""
-    symbol: list[int] = []
-    begin: list[int] = []
-    after: list[int] = []
-    before: list[int] = []
-    where: dict[int, list[int]] = defaultdict(list)  # rank and new id -> positions of its left symbol
-    get = bpe.rank.get
-    for w in words:
-        s, at = bpe.symbols(w), len(symbol)
-        begin.append(at)
-        symbol += s
-        n = len(s)
-        before += [-1, *range(at, at + n - 1)]
-        after += [*range(at + 1, at + n), -1]
-        for i in range(n - 1):
-            if (r := get(s[i] << BITS | s[i + 1], NONE)) is not NONE:
-                where[r].append(at + i)
-    pair = {r: k for k, r in bpe.rank.items() if r in where}
-    active = list(where)
-    heapq.heapify(active)
-    while active:
-        r = heapq.heappop(active)
-        key = pair[r]
-        a, b, new = key >> BITS, key & MASK, r & MASK
-        for i in sorted(where.pop(r)):
-            if symbol[i] != a or (j := after[i]) < 0 or symbol[j] != b:
-                continue  # an earlier merge took one of the two
-            symbol[i], symbol[j] = new, -1
-            k = after[i] = after[j]
-            if k >= 0:
-                before[k] = i
-            for left, right in ((before[i], i), (i, k)):
-                if left >= 0 and right >= 0:
-                    key = symbol[left] << BITS | symbol[right]
-                    if (made := get(key, NONE)) is not NONE:
-                        if made not in where:
-                            heapq.heappush(active, made)
-                            pair[made] = key
-                        where[made].append(left)
-    found = []
-    for at in begin:
-        ids = []
-        while at >= 0:
-            ids.append(symbol[at])
-            at = after[at]
-        found.append(ids)
+    if not words:
+        return []
+    index = PairIndex(bpe, words)
+    index.merge(bpe.pairs)
+    flat, n = index.ids()
+    flat, at, found = flat.tolist(), 0, []
+    for k in n.tolist():
+        found.append(flat[at : at + k])
+        at += k
     return found
 
 
 class Codec:
-    """Encodes and decodes whole texts; keeps what it has met, within bounds."""
-
-    def __init__(self, path: str):
-        self.bpe = load(path)
-        self.words = Recent(MOST_WORDS)
-        self.runs = Recent(MOST_RUNS)
-
-    def learn(self, new: list[str]) -> dict[str, tuple[int, str, str]]:
-        """Encode runs that are new, all their new words in one index."""
-        parts = [self.bpe.parts(r) for r in new]
-        known = self.words
-        words = list({w for p in parts for special, w in p if not special and known[w] is None})
-        got = dict(zip(words, index_encode(self.bpe, words), strict=True))
-        tokens, special, made = self.bpe.tokens, self.bpe.special, {}
-        for r, p in zip(new, parts, strict=True):
-            ids = []
-            for is_special, w in p:
-                ids += [special[w]] if is_special else known[w] or got[w]
-            made[r] = (len(ids), " ".join(map(str, ids)), self.decode(ids, tokens))
-        known.room(len(got))
-        known.update(got)
-        self.runs.room(len(made))
-        self.runs.update(made)
-        return made
+    """Encodes and decodes the texts of a segment."""
+
+    def __init__(self, bpe: WordBPE, texts: Iterable[list[str]], arrays: bool = False):
+        new: set[str] = set()
+        for some in texts:
+            for x in some:
+                new.update(units(x))
+        runs = list(new)
+        parts = [bpe.parts(r) for r in runs]
+        words = list({w for p in parts for special, w in p if not special})
+        tokens, special = bpe.tokens, bpe.special
+        known = {}
+        for w, ids in zip(words, index_encode(bpe, words), strict=True):
+            known[w] = self._coded(ids, tokens, arrays)
+        one = {s: self._coded([i], tokens, arrays) for s, i in special.items()}
+        #: Of each run between white spaces: number of tokens, ids as decimals, decoded text, and the ids' bytes.
+        self.runs: dict[str, tuple[int, str, str, bytes]] = {}
+        for r, p in zip(runs, parts, strict=True):
+            if len(p) == 1:
+                self.runs[r] = one[p[0][1]] if p[0][0] else known[p[0][1]]
+            else:
+                got = [one[w] if is_special else known[w] for is_special, w in p]
+                self.runs[r] = (sum(g[0] for g in got), " ".join(g[1] for g in got), " ".join(g[2] for g in got), b"".join(g[3] for g in got))
+
+    @classmethod
+    def _coded(cls, ids: list[int], tokens: dict[int, str], arrays: bool) -> tuple[int, str, str, bytes]:
+        return len(ids), " ".join(map(str, ids)), cls.decode(ids, tokens), np.array(ids, "<i4").tobytes() if arrays else b""
 
     @staticmethod
     def decode(ids: list[int], tokens: dict[int, str]) -> str:
         """The library's decode for a file without a decoder: the tokens' strings, a space between."""
-        return " ".join(tokens[i] for i in ids)
-
-    def texts(self, texts: list[str]) -> list[tuple[int, str, str]]:
-        """Number of tokens, ids as decimals joined by a space, and the decoded text, of each text."""
-        split = [units(x) for x in texts]
-        met = [list(map(self.runs.__getitem__, us)) for us in split]
-        new = {u for us, got in zip(split, met, strict=True) if None in got for u, g in zip(us, got, strict=True) if g is None}
-        made = self.learn(list(new)) if new else {}
-        found = []
-        for us, got in zip(split, met, strict=True):
-            if None in got:
-                got = [made[u] if g is None else g for u, g in zip(us, got, strict=True)]
-            found.append((sum(g[0] for g in got), " ".join(g[1] for g in got if g[0]), " ".join(g[2] for g in got if g[0])))
-        return found
-
-
-@lru_cache(maxsize=1)
-def codec_of(path: str) -> Codec:
-    """One per worker process: what it has met serves its later tasks too."""
-    return Codec(path)
-
-
-def _lists(got: list[tuple[int, str, str]]) -> pa.Array:
-    """The ids of each text, from their decimals."""
-    ends = np.cumsum([0, *(g[0] for g in got)])
-    flat = np.array(" ".join(g[1] for g in got if g[0]).split(" ") if ends[-1] else [], dtype=np.int32)
-    return pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(flat, pa.int32()))
+        return " ".join([tokens[i] for i in ids])
 
+    def text(self, text: str) -> tuple[int, str, str, list[bytes]]:
+        """Number of tokens, ids as decimals joined by a space, the decoded text, and the ids' bytes in pieces."""
+        got = [self.runs[u] for u in units(text)]
+        got = [g for g in got if g[0]]
+        return sum([g[0] for g in got]), " ".join([g[1] for g in got]), " ".join([g[2] for g in got]), [g[3] for g in got]
+
+
+def _map_coded(docs: DataFrame, path: str, text: str, keep: list[str], schema: str, make) -> DataFrame:
+    """docs[keep] and what make(list of coded texts) gives, a segment of a partition at a time."""
+    types = {f.name: to_arrow_type(f.dataType) for f in StructType.fromDDL(schema)}
+    arrays = "ids" in types
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        calm()
+        bpe = load(path)
+        strings = lambda part: [x or "" for x in part.column(part.schema.get_field_index(text)).to_pylist()]
+        for group in gathered(slices(batches, text), text, SEGMENT):
+            codec = Codec(bpe, map(strings, group), arrays)
+            for part in group:
+                made = make([codec.text(x) for x in strings(part)])
+                columns = {k: part.column(part.schema.get_field_index(k)) for k in keep}
+                yield pa.RecordBatch.from_pydict(columns | {k: v if isinstance(v, pa.Array) else pa.array(v, types[k]) for k, v in made.items()})
+
+    kept = [f"`{k}` {docs.schema[k].dataType.simpleString()}" for k in keep]
+    return docs.select(*(F.col(f"`{c}`") for c in [*keep, text])).mapInArrow(run, ", ".join([*kept, schema]))
 
-def encode(docs: DataFrame, path: str, text: str = "text", key: str = "doc_id") -> DataFrame:
-    """key, ids (array of int) and decoded (string) of each row; a null text counts as empty: no ids, ''."""
 
-    def make():
-        codec = codec_of(path)
+def _lists(got: list[tuple[int, str, str, list[bytes]]]) -> pa.Array:
+    """The ids of each text, from their bytes."""
+    ends = np.cumsum([0, *(g[0] for g in got)])
+    flat = np.frombuffer(b"".join([b for g in got for b in g[3]]), "<i4")
+    return pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(flat, pa.int32()))
 
-        def work(texts: list[str]) -> dict[str, list]:
-            got = codec.texts(texts)
-            return {"ids": _lists(got), "decoded": [g[2] for g in got]}
 
-        return work
+def encode(docs: DataFrame, path: str, text: str = "text", key: str = "doc_id") -> DataFrame:
+    """key, ids (array of int) and decoded (string) of each row.
 
-    return map_texts(docs, make, [key], "ids array<int>, decoded string", text)
+    A null text counts as empty: no ids, ''. Repeated rows give repeated rows; null keys stay; an empty table gives an empty
+    one; other columns are left out, whatever their names.
+    """
+    return _map_coded(docs, path, text, [key], "ids array<int>, decoded string", lambda got: {"ids": _lists(got), "decoded": [g[2] for g in got]})
 
 
 def decode(encoded: DataFrame, path: str) -> DataFrame:
-    """encoded (with a column ids) with `decoded`, the library's decode of the ids; null ids give a null."""
+    """encoded (with a column ids) with `decoded`, the library's decode of the ids; null ids give a null, empty ones ''.
+
+    A column named decoded gives way to the new one; other columns and repeated rows stay; an empty table gives an empty one.
+    """
 
     @F.pandas_udf("string")
     def text_of(ids):
@@ -165,16 +214,11 @@ def codec_digests(docs: DataFrame, path: str, text: str = "text", keep: list[str
     an empty one; columns of docs not in keep are left out. Needs no shuffle.
     """
 
-    def make():
-        codec = codec_of(path)
-        digest = lambda x: hashlib.sha256(x.encode("utf-8", "surrogatepass")).hexdigest()
-
-        def work(texts: list[str]) -> dict[str, list]:
-            got = codec.texts(texts)
-            made = {"n_tokens": [g[0] for g in got], "ids_sha256": [digest(g[1]) for g in got], "decoded_sha256": [digest(g[2]) for g in got]}
-            return made | ({"ids": _lists(got)} if ids else {})
+    digest = lambda x: hashlib.sha256(x.encode("utf-8", "surrogatepass")).hexdigest()
 
-        return work
+    def make(got: list[tuple[int, str, str, list[bytes]]]) -> dict[str, list]:
+        made = {"n_tokens": [g[0] for g in got], "ids_sha256": [digest(g[1]) for g in got], "decoded_sha256": [digest(g[2]) for g in got]}
+        return made | ({"ids": _lists(got)} if ids else {})
 
     schema = "n_tokens bigint, ids_sha256 string, decoded_sha256 string"
-    return map_texts(docs, make, keep or ["doc_id"], f"{schema}, ids array<int>" if ids else schema, text)
+    return _map_coded(docs, path, text, keep or ["doc_id"], f"{schema}, ids array<int>" if ids else schema, make)

@@ -87,6 +87,19 @@ def slices(batches: Iterable[pa.RecordBatch], text: str, most: int = SLICE_BYTES
             yield batch.slice(start)
 
 
+def gathered(parts: Iterable[pa.RecordBatch], text: str, most: int) -> Iterator[list[pa.RecordBatch]]:
+    """Consecutive parts in lists of at least `most` bytes of text; the last may have fewer."""
+    held, size = [], 0
+    for part in parts:
+        held.append(part)
+        size += part.column(part.schema.get_field_index(text)).nbytes
+        if size >= most:
+            yield held
+            held, size = [], 0
+    if held:
+        yield held
+
+
 def map_texts(df: DataFrame, make: Callable[[], Callable[[list[str]], dict[str, list]]], keep: list[str], schema: str, text: str = "text") -> DataFrame:
     """df[keep] and, for each row, what a per-worker function makes of the texts (null: empty), a slice at a time."""
     session(df)

@@ -1,164 +1,229 @@
 """Token counts by a compiled transducer.
 
-A tokenizer file is compiled, as texts need it, to a deterministic transducer over code points whose transitions carry
-the number of tokens they emit. White space leads from every state back to the start, so the map of a chunk of text
-from entry states to (exit state, tokens) has a short form: what the chunk holds before its first white space, the
-tokens between, and what follows its last white space. These maps compose associatively; a text's count is the
-prefix scan over the maps of its chunks. Runs between two white spaces that recur are kept as single transitions.
+A tokenizer file is compiled, as texts need it, to a deterministic finite-state transducer over code points, whose transitions
+carry the number of tokens by which the count changes. Within a word it tracks the last token of the encoding of each prefix
+that a later token may still begin at: a sequence of tokens is the encoding of its text exactly if each two neighbours are
+the encoding of their own text, so the last token of a longer prefix is the one that fits behind an earlier prefix's.
+No token is longer than the vocabulary's longest, so states look back a bounded stretch and are finitely many; equal ones are one.
+
+A chunk of a text is a map from entry states to (exit state, tokens). White space leads from every state to the start,
+so the maps need the transducer again only for what stands before their first white space. Maps compose associatively, and
+a prefix scan over the maps of a text's chunks gives its count at the end of every chunk.
 """
 
 from __future__ import annotations
 
 from collections.abc import Iterator
 from functools import lru_cache
-from typing import NamedTuple
-from unicodedata import category
 
 import pyarrow as pa
 import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import Memo, calm, session, slices, units
-from .wordbpe import load, normal
+from .common import WHITE, calm, slices
+from .wordbpe import BITS, byte_letters, load
 
 #: Code points of a chunk.
 CHUNK = 1 << 16
-#: Transitions and recurring runs that a worker keeps; beyond, it starts anew.
-MOST_EDGES, MOST_RUNS = 700_000, 400_000
+#: Transitions that a worker keeps; beyond, it compiles anew.
+MOST_EDGES = 1_500_000
 
-_white = regex.compile(r"\p{White_Space}")
+_white = regex.compile(f"[{WHITE}]")
 
 
-class StateMap(NamedTuple):
-    """A chunk's map: head before its first white space, tokens between, tail after its last; whole: it has none."""
+class State(dict):
+    """A state: from a code point to (next state, change of the count). Edges are compiled when first asked for.
 
-    head: str
-    tokens: int
-    tail: str
-    whole: bool
+    kind: S the start, L and O within a word of letters or of other marks, E within an ending such as 're. tail: the longest
+    end of the word's bytes that a token begins with (E: what of the ending is read); window: of each prefix of the word
+    from there on, its last token (-1: none, the word begins) and how many tokens it has less than the whole.
+    """
 
+    __slots__ = ("close", "kind", "machine", "tail", "window")
 
-class Transducer:
-    """Deterministic, built lazily: edge[state, code point] is (next state, tokens emitted).
+    def __init__(self, machine: Transducer, kind: str, tail: bytes | str = b"", window: tuple = ((-1, 0),)):
+        super().__init__()
+        self.machine, self.kind, self.tail, self.window, self.close = machine, kind, tail, window, None
+
+    def __missing__(self, c: str) -> tuple[State, int]:
+        edge = self[c] = self.machine.compile(self, c)
+        return edge
+
+    def end(self) -> int:
+        """The change of the count when the text or word ends here."""
+        if self.close is None:
+            self.close = self.machine.closing(self)
+        return self.close
 
-    A state is the word that is being read; the start state has none. An apostrophe that begins a word, alone or with
-    the r, v or l of an ending that is not finished yet, is a state of its own kind. `end` holds what a state emits
-    when its word ends. When MOST_EDGES are known, all are dropped but the start.
-    """
 
+class Transducer:
     ENDINGS = {"'": "stmd", "'r": "e", "'v": "e", "'l": "l"}
 
     def __init__(self, path: str):
-        self.bpe = load(path)
-        self.run = Memo(self._run, MOST_RUNS)
+        self.bpe = bpe = load(path)
+        value = {c: b for b, c in enumerate(byte_letters())}
+        self.inner: dict[bytes, int] = {}
+        self.final: dict[bytes, int] = {}
+        n = len(bpe.suffix)
+        for token, i in bpe.vocab.items():
+            ends = n and token.endswith(bpe.suffix)
+            if token not in bpe.special:
+                (self.final if ends else self.inner)[bytes(value[c] for c in (token[:-n] if ends else token))] = i
+        self.begins = {t[:k] for v in (self.inner, self.final) for t in v for k in range(1, len(t) + 1)}
+        self.symbols = {i: [bpe.inner[b] for b in t] for t, i in self.inner.items()}
+        self.symbols |= {i: [*(bpe.inner[b] for b in t[:-1]), bpe.last[t[-1]]] for t, i in self.final.items()}
         self._reset()
 
     def _reset(self) -> None:
-        self.edge: dict[int, tuple[int, int]] = {}
-        self.parent: list[tuple[int, str, str]] = [(0, "", "")]  # of a state: from which state, by what, its kind
-        self.end: dict[int, int] = {0: 0}
-
-    def _word(self, state: int) -> str:
-        letters = []
-        while state:
-            state, c, _ = self.parent[state]
-            letters.append(c)
-        return "".join(reversed(letters))
-
-    def _emits(self, state: int) -> int:
-        """Tokens of the word that ends in this state."""
-        if (n := self.end.get(state)) is None:
-            word = self._word(state)
-            parts = [word] if self.parent[state][2] != "ending" or len(word) == 1 else ["'", word[1:]]
-            n = self.end[state] = sum(len(self.bpe.merge(w)) for w in parts)
-        return n
-
-    def _new(self, state: int, c: str, kind: str) -> int:
-        self.parent.append((state, c, kind))
-        return len(self.parent) - 1
-
-    def _compile(self, state: int, c: str) -> tuple[int, int]:
-        """The edge of a state and a code point (never white space), made when first asked for."""
-        kind = self.parent[state][2]
-        letter, digit = c.isalpha(), category(c)[0] == "N"
-        if kind == "ending":
-            word = self._word(state)
-            if c in self.ENDINGS[word]:
-                return 0, len(self.bpe.merge(word + c))
-            if word == "'" and c in "rvl":
-                return self._new(state, c, "ending"), 0
-            if word == "'" and not letter and not digit:
-                return self._new(state, c, "other"), 0
-            if len(word) == 2:  # the apostrophe stood alone; its letter begins a word
-                begun, n = self.step(0, word[1])
-                to, more = self.step(begun, c)
-                return to, len(self.bpe.merge("'")) + n + more
-        elif kind == "letter" and letter or kind == "other" and not letter and not digit:
-            return self._new(state, c, kind), 0
-        n = self._emits(state)
-        if digit:
-            return 0, n + len(self.bpe.merge(c))
-        return self._new(0, c, "letter" if letter else "ending" if c == "'" else "other") if state == 0 else self.step(0, c)[0], n
-
-    def step(self, state: int, c: str) -> tuple[int, int]:
-        key = state << 21 | ord(c)
-        if (to := self.edge.get(key)) is None:
-            to = self.edge[key] = self._compile(state, c)
-        return to
-
-    def _walk(self, text: str) -> int:
-        state, total, edge = 0, 0, self.edge
+        self.start, self.states, self.edges = State(self, "S"), {}, 0
+        self.pairs: dict[int, bool] = {}
+
+    def fits(self, a: int, b: int) -> bool:
+        """Whether the tokens a (-1: none) and b are the encoding of their own text."""
+        key = (a + 1) << BITS | b
+        if (known := self.pairs.get(key)) is None:
+            left = self.symbols[a] if a >= 0 else []
+            known = self.pairs[key] = self.bpe.merged([*left, *self.symbols[b]]) == ([a, b] if a >= 0 else [b])
+        return known
+
+    def _last(self, tail: bytes, window: tuple, tokens: dict[bytes, int]) -> tuple[int, int]:
+        """The last token of a prefix that ends with `tail`, and the count behind the whole of the window."""
+        for k, (before, less) in enumerate(window):
+            if (t := tokens.get(tail[k:])) is not None and self.fits(before, t):
+                return t, 1 - less
+        raise ValueError(f"no token ends {tail!r}")
+
+    def _feed(self, state: State, c: str) -> tuple[State, int]:
+        """One more code point of the word."""
+        tail, window, change = state.tail, state.window, 0
+        for b in c.encode():
+            tail += bytes((b,))
+            last, more = self._last(tail, window, self.inner)
+            change += more
+            window = (*((t, less + more) for t, less in window), (last, 0))
+            k = 0
+            while k < len(tail) and tail[k:] not in self.begins:
+                k += 1
+            tail, window = tail[k:], window[k:]
+        return self._state(state.kind, tail, window), change
+
+    def _state(self, kind: str, tail: bytes | str, window: tuple = ()) -> State:
+        key = (kind, tail, window)
+        if (found := self.states.get(key)) is None:
+            found = self.states[key] = State(self, *key)
+        return found
+
+    def _word(self, kind: str, text: str) -> tuple[State, int]:
+        """The state and count within a word that begins with `text`."""
+        state, n = State(self, kind), 0
         for c in text:
-            to = edge.get(state << 21 | ord(c)) or self.step(state, c)
-            state = to[0]
-            total += to[1]
-        return total + self._emits(state)
-
-    def _run(self, unit: str) -> int:
-        """Tokens of a run without white space, begun and ended in the start state."""
-        if len(self.edge) >= MOST_EDGES:
-            self._reset()
-        if "<|" not in unit or self.bpe.cut is None:
-            return self._walk(normal(unit))
-        total, at = 0, 0
-        for m in self.bpe.cut.finditer(unit):
-            total += self._walk(normal(unit[at : m.start()])) + 1
-            at = m.end()
-        return total + self._walk(normal(unit[at:]))
-
-    def map(self, chunk: str) -> StateMap:
-        parts = units(chunk)
-        if not parts or len(parts) == 1 and len(parts[0]) == len(chunk):
-            return StateMap(chunk, 0, "", True) if parts or not chunk else StateMap("", 0, "", False)
-        first = 0 if _white.match(chunk[0]) else 1
-        last = len(parts) - (0 if _white.match(chunk[-1]) else 1)
-        total = sum(map(self.run.__getitem__, parts[first:last]))
-        return StateMap(parts[0] if first else "", total, parts[-1] if last < len(parts) else "", False)
-
-    def compose(self, a: StateMap, b: StateMap) -> StateMap:
-        """First a, then b."""
-        if a.whole:
-            return StateMap(a.head + b.head, b.tokens, b.tail, b.whole)
-        if b.whole:
-            return StateMap(a.head, a.tokens, a.tail + b.head, False)
-        seam = a.tail + b.head
-        return StateMap(a.head, a.tokens + (self.run[seam] if seam else 0) + b.tokens, b.tail, False)
-
-    def scan(self, maps: list[StateMap]) -> StateMap:
-        """All in order, by pairs: as deep as the logarithm of their number."""
-        while len(maps) > 1:
-            maps = [self.compose(*maps[i : i + 2]) if i + 1 < len(maps) else maps[i] for i in range(0, len(maps), 2)]
-        return maps[0] if maps else StateMap("", 0, "", True)
-
-    def close(self, m: StateMap) -> int:
-        """The tokens of a text whose map is m."""
-        return m.tokens + sum(self.run[x] for x in (m.head, m.tail) if x)
+            state, more = self._feed(state, c)
+            n += more
+        return state, n
+
+    def closing(self, state: State) -> int:
+        if state.kind == "S":
+            return 0
+        if state.kind == "E":
+            return sum(len(self.bpe.merge(c)) for c in state.tail)
+        return self._last(state.tail, state.window[:-1], self.final)[1]
+
+    def compile(self, state: State, c: str) -> tuple[State, int]:
+        self.edges += 1
+        kind, of = state.kind, self.bpe.kind(c)
+        if kind == of:  # L or O
+            return self._feed(state, c)
+        if kind == "E":
+            read = state.tail
+            if c in self.ENDINGS[read]:
+                return self.start, len(self.bpe.merge(read + c))
+            if read == "'" and c in "rvl":
+                return self._state("E", read + c), 0
+            if read == "'" and of == "O":
+                return self._word("O", read + c)
+            if of == "L" and len(read) == 2:  # the apostrophe stood alone; its letter begins a word
+                to, n = self._word("L", read[1] + c)
+                return to, len(self.bpe.merge("'")) + n
+        n = state.end()
+        if of == "W":
+            return self.start, n
+        if of == "N":
+            return self.start, n + len(self.bpe.merge(c))
+        if c == "'":
+            return self._state("E", c), n
+        to, more = self._word(of, c)
+        return to, n + more
+
+    def walk(self, state: State, text: str) -> tuple[State, int]:
+        n = 0
+        for c in text:
+            state, more = state[c]
+            n += more
+        return state, n
+
+    def maps(self, text: str, chunk: int = CHUNK) -> list[ChunkMap]:
+        return [ChunkMap(self, text[i : i + chunk]) for i in range(0, len(text), chunk)]
 
     def count(self, text: str, chunk: int = CHUNK) -> int:
-        if len(text) <= chunk:
-            return sum(map(self.run.__getitem__, units(text)))
-        return self.close(self.scan([self.map(text[i : i + chunk]) for i in range(0, len(text), chunk)]))
+        """Tokens of a whole text; special strings count as one each."""
+        if self.edges > MOST_EDGES:
+            self._reset()
+        n = at = 0
+        if self.bpe.cut is not None and "<|" in text:
+            for m in self.bpe.cut.finditer(text):
+                n += 1 + self.plain(text[at : m.start()], chunk)
+                at = m.end()
+        return n + self.plain(text[at:] if at else text, chunk)
+
+    def plain(self, text: str, chunk: int) -> int:
+        scanned = scan(self.maps(self.bpe.normal(text), chunk))
+        if not scanned:
+            return 0
+        state, n = scanned[-1].at(self.start)
+        return n + state.end()
+
+
+class ChunkMap:
+    """The map of a chunk of normalised text from entry states to (exit state, tokens)."""
+
+    def __init__(self, machine: Transducer, text: str):
+        white = _white.search(text)
+        self.machine, self.head = machine, text[: white.end()] if white else text
+        #: What follows the first white space, from the start state; None: there is no white space.
+        self.rest = machine.walk(machine.start, text[white.end() :]) if white else None
+        self.known: dict[int, tuple[State, int]] = {}
+
+    def at(self, state: State) -> tuple[State, int]:
+        if (found := self.known.get(id(state))) is None:
+            to, n = self.machine.walk(state, self.head)
+            found = (self.rest[0], n + self.rest[1]) if self.rest else (to, n)
+            self.known[id(state)] = found
+        return found
+
+
+class Composed:
+    """First a's map, then b's."""
+
+    def __init__(self, a: ChunkMap | Composed, b: ChunkMap | Composed):
+        self.a, self.b = a, b
+        self.known: dict[int, tuple[State, int]] = {}
+
+    def at(self, state: State) -> tuple[State, int]:
+        if (found := self.known.get(id(state))) is None:
+            between, n = self.a.at(state)
+            to, more = self.b.at(between)
+            found = self.known[id(state)] = to, n + more
+        return found
+
+
+def scan(maps: list) -> list:
+    """The inclusive prefix scan: the k-th is the map of the first k + 1 chunks, in as many rounds as the logarithm of their number."""
+    step = 1
+    while step < len(maps):
+        maps = [Composed(maps[i - step], m) if i >= step else m for i, m in enumerate(maps)]
+        step *= 2
+    return maps
 
 
 @lru_cache(maxsize=1)
@@ -174,7 +239,6 @@ def token_counts(docs: DataFrame, path: str, limit: int = 2048, text: str = "tex
     token. Repeated rows give repeated rows; other columns stay as they are, but a column of docs named n_bytes, n_tokens
     or over_limit gives way to the new one. An empty table gives an empty one. Needs no shuffle.
     """
-    session(docs)
     made = ["n_bytes", "n_tokens", "over_limit"]
     keep = [c for c in docs.columns if c not in [text, *made]]
     schema = docs.select(*(F.col(f"`{c}`") for c in keep)).withColumn("n_tokens", F.lit(0).cast("long")).withColumn("n_bytes", F.lit(0).cast("long")).schema
