@@ -5,6 +5,8 @@ import shutil
 import subprocess
 import sys
 
+import pytest
+
 ROOT = os.path.dirname(os.path.dirname(os.path.abspath(__file__)))
 SAY = "import __spark_entry__ as e; print(*sorted(e.queries())); assert set(e.oracle_sql()) <= set(e.queries())"
 
@@ -15,14 +17,25 @@ def names(folder):
     return set(done.stdout.split())
 
 
-def test_entry_without_corpus_operators(tmp_path):
-    shutil.copytree(os.path.join(ROOT, "tracewright"), tmp_path / "tracewright", ignore=shutil.ignore_patterns("llm", "__pycache__"))
-    shutil.copy(os.path.join(ROOT, "__spark_entry__.py"), tmp_path)
-    found = names(tmp_path)
+def whole(tmp_path, *left_out):
+    """A copy of the repository without the folders and files that are left out."""
+    shutil.copytree(ROOT, tmp_path / "copy", ignore=shutil.ignore_patterns("llm", "__pycache__", ".git", *left_out))
+    return tmp_path / "copy"
+
+
+@pytest.mark.parametrize("left_out", [[], ["corpus_pipeline.py"]])
+def test_entry_without_corpus_operators(tmp_path, left_out):
+    found = names(whole(tmp_path, *left_out))
     assert "effective_diversity" in found and not any(n.startswith("op") or n == "pipeline" for n in found)
     assert found <= names(ROOT)
 
 
+def test_other_tests_run_without_corpus_operators(tmp_path):
+    copy = whole(tmp_path)
+    done = subprocess.run([sys.executable, "-m", "pytest", "-q", "--collect-only", "tests"], cwd=copy, capture_output=True, text=True, env={k: v for k, v in os.environ.items() if k != "PYTHONPATH"})
+    assert done.returncode == 0 and "error" not in done.stdout, done.stdout
+
+
 def test_flagship_query(spark):
     import __spark_entry__
 
