@@ -15,35 +15,47 @@ import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.pandas.types import to_arrow_type
-from pyspark.sql.types import StructType
+from pyspark.sql.types import IntegralType, StructType
 
-#: Rows that one Arrow batch carries to Python: texts may be long, so few.
-ARROW_ROWS = 512
-#: Bytes of text that a Python worker handles at once.
-SLICE_BYTES = 8 << 20
+#: Bytes of text, and rows, that a Python worker handles at once.
+SLICE_BYTES, SLICE_ROWS = 8 << 20, 512
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def session(df: DataFrame) -> SparkSession:
-    """df's session, with Arrow batches small enough for very long texts."""
-    spark = df.sparkSession
-    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(ARROW_ROWS))
-    return spark
-
-
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share: spark.checkpoint.dir, or one of our own where that is unset."""
+    """The folder that driver and executors share: spark.checkpoint.dir. Where it is unset and all run in one local process,
+    a folder of our own; on a cluster that is an error."""
     found = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
     if not found:
+        if not re.match(r"local(\[|$)", spark.sparkContext.master):
+            raise ValueError("spark.checkpoint.dir must name a folder that the driver and all executors share")
         found = f"file://{os.path.abspath(os.environ.get('TMPDIR', '/tmp'))}/tracewright-shared"
     if spark.sparkContext.getCheckpointDir() is None:
         spark.sparkContext.setCheckpointDir(found)
     return found.rstrip("/")
 
 
+def fresh(taken: Iterable[str], *names: str) -> list[str]:
+    """The names, each with as many underscores behind it as keep it apart from the taken ones."""
+    taken, found = {t.lower() for t in taken}, []
+    for name in names:
+        while name.lower() in taken:
+            name += "_"
+        taken.add(name.lower())
+        found.append(name)
+    return found
+
+
+def whole_number(df: DataFrame, key: str) -> Column:
+    """The key column as a long; an error where it holds anything but whole numbers, which a cast would turn into nulls."""
+    if not isinstance(df.schema[key].dataType, IntegralType):
+        raise TypeError(f"{key} must be of whole numbers, not {df.schema[key].dataType.simpleString()}")
+    return F.col(f"`{key}`").cast("long")
+
+
 def new_dir(spark: SparkSession, what: str) -> str:
     """The name of a new folder in the shared one, which goes when the driver's JVM ends."""
     base = spark._jvm.org.apache.hadoop.fs.Path(f"{shared_dir(spark)}/tracewright/{what}-{uuid.uuid4().hex}")
@@ -74,12 +86,12 @@ def same(left: Column, right: Column) -> Column:
 
 
 def slices(batches: Iterable[pa.RecordBatch], text: str, most: int = SLICE_BYTES) -> Iterator[pa.RecordBatch]:
-    """Batches cut so that each slice has at most `most` bytes of text, one row at least."""
+    """Batches cut so that each slice has at most `most` bytes of text and SLICE_ROWS rows, one row at least."""
     for batch in batches:
         start = size = 0
         column = batch.column(batch.schema.get_field_index(text))
         for i, n in enumerate(pc.binary_length(column).to_pylist()):
-            if i > start and size + (n or 0) > most:
+            if i > start and (size + (n or 0) > most or i - start == SLICE_ROWS):
                 yield batch.slice(start, i - start)
                 start, size = i, 0
             size += n or 0
@@ -102,7 +114,6 @@ def gathered(parts: Iterable[pa.RecordBatch], text: str, most: int) -> Iterator[
 
 def map_texts(df: DataFrame, make: Callable[[], Callable[[list[str]], dict[str, list]]], keep: list[str], schema: str, text: str = "text") -> DataFrame:
     """df[keep] and, for each row, what a per-worker function makes of the texts (null: empty), a slice at a time."""
-    session(df)
     types = {f.name: to_arrow_type(f.dataType) for f in StructType.fromDDL(schema)}
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -114,7 +125,7 @@ def map_texts(df: DataFrame, make: Callable[[], Callable[[list[str]], dict[str,
             yield pa.RecordBatch.from_pydict(columns | {k: v if isinstance(v, pa.Array) else pa.array(v, types[k]) for k, v in made.items()})
 
     kept = [f"`{k}` {df.schema[k].dataType.simpleString()}" for k in keep]
-    return df.select(*keep, text).mapInArrow(run, ", ".join([*kept, schema]))
+    return df.select(*(F.col(f"`{c}`") for c in [*keep, text])).mapInArrow(run, ", ".join([*kept, schema]))
 
 
 _NONE = object()
