@@ -11,14 +11,16 @@ ROUNDS = 60
 
 
 def _least(edges: DataFrame) -> DataFrame:
-    """u and m, the least of u and its neighbours; aggregated before the shuffle, so that a hub is no burden."""
+    """u and m, the least of u and its neighbours; aggregated before the shuffle."""
     return edges.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m"))
 
 
 def components(edges: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
     """node and component, its least reachable node, of each node that has an edge to another; edges: columns a and b.
 
-    Nulls, loops and repeated edges don't matter. An empty table gives an empty one. Driver state is two numbers a round.
+    Nodes are of any type with an order. Nulls, loops and repeated edges don't matter. An empty table gives an empty one.
+    Driver state is two numbers a round. The edges of a hub meet its least neighbour in an inner join, whose partitions
+    adaptive execution splits where one is large, since the other side is one row a node.
     """
     now = cut(edges.where(F.col(a) != F.col(b)).select(F.greatest(a, b).alias("u"), F.least(a, b).alias("v")).distinct())
     before = None
