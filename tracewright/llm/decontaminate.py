@@ -17,7 +17,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import ascii_lower, cut, map_texts, session, slices
+from .common import ascii_lower, cut, map_texts, slices
 
 WORD = r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+"
 MOST_WINDOWS = 2_000_000
@@ -122,7 +122,6 @@ def contamination(docs: DataFrame, benchmark: DataFrame, size: int = 10, key: st
     empty texts have no words; null items no windows. Repeated rows give repeated rows, repeated items count once. An empty
     table gives an empty one, an empty benchmark no hits. Other columns are left out.
     """
-    session(docs)
     make = _scanner(benchmark, size, item, text, most)
     if make is None:
         return _by_join(docs, benchmark, size, key, text, item)
@@ -177,7 +176,6 @@ def decontaminate(docs: DataFrame, benchmark: DataFrame, remove: str = "spans",
     the first to the last character of consecutive hit words. Null texts stay null. Rows without hits stay as they are.
     Benchmarks beyond `most` windows can only be removed by document.
     """
-    session(docs)
     make = _scanner(benchmark, size, item, text, most)
     if make is None:
         if remove != "documents":

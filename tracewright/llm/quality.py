@@ -19,7 +19,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import Memo, map_texts, session, slices
+from .common import Memo, map_texts, slices
 
 BITS = 18
 DIM = 1 << BITS
@@ -162,7 +162,6 @@ def fit(docs: DataFrame, labels: DataFrame, label: str, trains: Column, most: in
     Rows without a text learn as empty ones; labels other than 0 and 1 are left out, as are null keys. Without both
     classes, the model scores every text with the share of label 1 (1/2 without labels).
     """
-    session(docs)
     chosen = F.broadcast(sampled(labels, label, trains, most, key))  # 2 * most rows
     every = labels.where(trains & F.col(label).isin(0, 1)).groupBy(F.col(label).cast("int").alias("y")).count().collect()
     share = {r["y"]: r["count"] for r in every}
@@ -212,7 +211,6 @@ def score(docs: DataFrame, model: Model, keep: list[str], text: str = "text") ->
 
 def accepted(docs: DataFrame, model: Model, threshold: float = 0.5, text: str = "text") -> DataFrame:
     """The rows of docs, all columns kept, whose score is at least the threshold."""
-    session(docs)
     sent = docs.sparkSession.sparkContext.broadcast(model)
     at = docs.columns.index(text)
 

@@ -32,7 +32,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
-from .common import Recent, calm, fit_partitions, session, slices
+from .common import Recent, calm, fit_partitions, slices
 
 MAGIC = b"TOKSST01"
 FOOTER = struct.Struct("<QQQQQQB8s")
@@ -241,7 +241,7 @@ def write_shards(docs: DataFrame, path: str, out: str, end_id: int | None = 0, k
     text). Each shard is written under a name of its attempt and then renamed, so a task that runs again leaves one
     whole file. Null texts count as empty: only end_id. width: bytes of an id, 2 or 4.
     """
-    spark = session(docs)
+    spark = docs.sparkSession
     n = shards or fit_partitions(spark)
     rows = docs.select(F.col(key).cast("long").alias("doc_id"), F.coalesce(F.col(text), F.lit("")).alias("text"))
     rows = rows.repartitionByRange(n, "doc_id").sortWithinPartitions("doc_id", "text")

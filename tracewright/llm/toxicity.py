@@ -22,7 +22,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import Memo, cut, map_texts, session, slices
+from .common import Memo, cut, map_texts, slices
 from .quality import fold, platt, sampled
 
 #: Labelled rows of each class that log-odds are learnt from, at most; the prior counts all documents.
@@ -109,7 +109,6 @@ class Model:
 
 def _counts(docs: DataFrame, chosen: DataFrame, key: str, text: str) -> DataFrame:
     """word, n (in all documents), y (in toxic ones to learn from), z (in others to learn from); the word '' has the sums."""
-    session(docs)
     rows = docs.select(key, text).join(F.broadcast(chosen), key, "left").select("_label", F.coalesce(text, F.lit("")).alias("text"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

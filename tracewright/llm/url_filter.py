@@ -11,7 +11,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import ascii_lower, cut, session
+from .common import ascii_lower, cut
 
 ORDER, STRENGTH, ALPHABET = 4, 4.0, 128
 PAD = "\x02"
@@ -114,7 +114,6 @@ def filter_urls(pages: DataFrame, rules: list[tuple[str, str]], key: str = "page
     judged as the empty string is. Without labelled URLs of both kinds, ratios are what the one model gives. Repeated rows
     give repeated rows; an empty table an empty one; other columns are left out.
     """
-    session(pages)
     host, path, rest = host_path(F.col("url"))
     rows = pages.select(F.col(key).alias("key"), F.col(url).alias("url")).select(F.monotonically_increasing_id().alias("row"), "key", host.alias("host"), path.alias("path"), F.regexp_replace(ascii_lower(rest), "[0-9]", "0").alias("s"))
     allowed = F.array(*(F.lit(v == "allow") for v, _ in rules))
