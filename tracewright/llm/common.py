@@ -75,6 +75,12 @@ def fit_partitions(spark: SparkSession) -> int:
     return max(1, int(spark.conf.get("spark.sql.shuffle.partitions")))
 
 
+def input_bytes(df: DataFrame) -> int:
+    """The planner's estimate of df's size, from the sizes of its files; 0 where it knows none."""
+    found = int(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes().toString())
+    return found if found < 1 << 60 else 0
+
+
 def ascii_lower(text: Column) -> Column:
     """A-Z lower-cased and nothing else; texts of ASCII alone take the fast built-in."""
     upper = "ABCDEFGHIJKLMNOPQRSTUVWXYZ"

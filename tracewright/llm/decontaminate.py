@@ -1,8 +1,10 @@
 """Benchmark decontamination: a broadcast hash set of normalised test n-grams, scanned over the windows of every text.
 
 Words are what WORD finds after A-Z are lower-cased. A window is `size` consecutive words of an item; an item of fewer,
-but not none, is one window of all its words. The set is broadcast only while all windows of the benchmark are at most
-MOST_WINDOWS; beyond that bound the windows of texts and benchmark meet in a shuffled join instead.
+but not none, is one window of all its words. The set is broadcast whole while the windows of the benchmark are at most
+MOST_WINDOWS and its texts at most MOST_BYTES. A larger benchmark is dealt into blocks below these bounds; each is broadcast in
+its turn and scanned for, and the hits of all blocks come together for each text. No window is ever a key of a shuffle, so
+however often one occurs, no task gets all its occurrences.
 """
 
 from __future__ import annotations
@@ -10,17 +12,19 @@ from __future__ import annotations
 import hashlib
 import re
 from collections import defaultdict
-from collections.abc import Callable
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import ascii_lower, cut, map_texts, slices
+from .common import ascii_lower, cut, fresh, map_texts, slices, union
 
 WORD = r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+"
-MOST_WINDOWS = 2_000_000
+MOST_WINDOWS, MOST_BYTES = 2_000_000, 64 << 20
+#: Words after which a long item is cut into pieces that overlap by all but one word of a window.
+PIECE = 4_096
 _words = re.compile(WORD)
 
 
@@ -97,14 +101,27 @@ class Scanner:
         return found
 
 
-def _scanner(benchmark: DataFrame, size: int, item: str, text: str, most: int) -> Callable[[], Scanner] | None:
-    """A maker of the scanner on workers, by broadcast, or None where the windows are more than `most`."""
-    n = F.size(words_of(F.coalesce(F.col(text), F.lit(""))))
-    windows = benchmark.agg(F.sum(F.when(n >= size, n - (size - 1)).otherwise(F.when(n > 0, 1).otherwise(0)))).first()[0] or 0
-    if windows > most:
-        return None
-    items = [(r[0], r[1]) for r in benchmark.where(F.col(text).isNotNull()).select(F.col(item).cast("string"), text).collect()]
-    sent = benchmark.sparkSession.sparkContext.broadcast(items)
+def _pieces(benchmark: DataFrame, size: int, item: str, text: str) -> DataFrame:
+    """item, w (consecutive words), n (their windows): each item with a window, long ones in pieces that share no window."""
+    words = benchmark.select(F.coalesce(F.col(f"`{item}`").cast("string"), F.lit("")).alias("item"), words_of(F.coalesce(F.col(f"`{text}`"), F.lit(""))).alias("w")).where(F.size("w") > 0)
+    last = F.greatest(F.size("w") - size, F.lit(0))  # where the last window starts, from 0
+    cuts = words.select("item", "w", F.explode(F.sequence(F.lit(0), F.floor(last / PIECE).cast("int"))).alias("k"))
+    part = cuts.select("item", F.slice("w", F.col("k") * PIECE + 1, F.lit(PIECE + size - 1)).alias("w"))
+    return part.withColumn("n", F.greatest(F.size("w") - (size - 1), F.lit(1)))
+
+
+def _blocks(benchmark: DataFrame, size: int, item: str, text: str, most: int) -> Iterator[Callable[[], Scanner]]:
+    """Makers of scanners on workers, by broadcast: of the whole benchmark where it is within the bounds, else of block after block."""
+    pieces = cut(_pieces(benchmark, size, item, text).select("item", F.concat_ws(" ", "w").alias("w"), "n"))
+    windows, held = pieces.agg(F.sum("n"), F.sum(F.octet_length("w"))).first()
+    blocks = max(1, -(-(windows or 0) // most), -(-(held or 0) // MOST_BYTES))
+    at = F.pmod(F.xxhash64("item", "w"), F.lit(blocks))
+    for k in range(blocks):
+        items = [(r["item"], r["w"]) for r in pieces.where(at == k).collect()]  # a block, within the bounds
+        yield _maker(benchmark.sparkSession.sparkContext.broadcast(items), size)
+
+
+def _maker(sent, size: int) -> Callable[[], Scanner]:
     made: list[Scanner] = []
 
     def make() -> Scanner:
@@ -115,88 +132,117 @@ def _scanner(benchmark: DataFrame, size: int, item: str, text: str, most: int) -
     return make
 
 
+def _digests(split: list[list[str]], got: list[tuple[int, set[str]]]) -> dict[str, list]:
+    return {
+        "n_words": [len(s) for s in split],
+        "n_hit": [g[0] for g in got],
+        "n_items": [len(g[1]) for g in got],
+        "items_sha256": [hashlib.sha256(",".join(sorted(g[1])).encode()).hexdigest() for g in got],
+        "contaminated": [g[0] > 0 for g in got],
+    }
+
+
 def contamination(docs: DataFrame, benchmark: DataFrame, size: int = 10, key: str = "doc_id", text: str = "text", item: str = "item_id", most: int = MOST_WINDOWS) -> DataFrame:
     """Per row of docs: key, n_words, n_hit, n_items, items_sha256, contaminated.
 
     items_sha256 is of the item ids, sorted as strings and joined by commas ('' if none); a null id counts as ''. Null or
     empty texts have no words; null items no windows. Repeated rows give repeated rows, repeated items count once. An empty
-    table gives an empty one, an empty benchmark no hits. Other columns are left out.
+    table gives an empty one, an empty benchmark no hits. Other columns are left out, whatever their names. most: windows of
+    a block, which changes no result.
     """
-    make = _scanner(benchmark, size, item, text, most)
-    if make is None:
-        return _by_join(docs, benchmark, size, key, text, item)
-
-    def work_of() -> Callable[[list[str]], dict[str, list]]:
-        scanner = make()
-
-        def work(texts: list[str]) -> dict[str, list]:
-            split = [_words.findall(lowered(x)) for x in texts]
-            got = scanner.scan(split)
-            return {
-                "n_words": [len(s) for s in split],
-                "n_hit": [g[0] for g in got],
-                "n_items": [len(g[1]) for g in got],
-                "items_sha256": [hashlib.sha256(",".join(sorted(g[1])).encode()).hexdigest() for g in got],
-                "contaminated": [g[0] > 0 for g in got],
-            }
-
-        return work
-
-    return map_texts(docs, work_of, [key], "n_words bigint, n_hit bigint, n_items bigint, items_sha256 string, contaminated boolean", text)
-
-
-def _by_join(docs: DataFrame, benchmark: DataFrame, size: int, key: str, text: str, item: str) -> DataFrame:
-    """The same by a shuffled join of windows, for a benchmark of any size."""
-    rows = cut(docs.select(F.monotonically_increasing_id().alias("row"), F.col(key).alias("key"), words_of(F.coalesce(F.col(text), F.lit(""))).alias("w")))
-    items = benchmark.select(F.coalesce(F.col(item).cast("string"), F.lit("")).alias("item"), words_of(F.coalesce(F.col(text), F.lit(""))).alias("w")).where(F.size("w") > 0)
-    items = items.withColumn("n", F.least(F.size("w"), F.lit(size)))
-    windows = items.select("item", "n", F.explode(F.sequence(F.lit(1), F.size("w") - F.col("n") + 1)).alias("i"), "w")
-    windows = windows.select("item", "n", F.concat_ws(" ", F.slice("w", F.col("i"), F.col("n"))).alias("g")).distinct()
-    lengths = F.broadcast(windows.select("n").distinct())  # `size` rows at most
-    own = rows.join(lengths, F.size("w") >= F.col("n")).select("row", "n", "w", F.explode(F.sequence(F.lit(1), F.size("w") - F.col("n") + 1)).alias("i"))
-    own = own.select("row", "n", "i", F.concat_ws(" ", F.slice("w", F.col("i"), F.col("n"))).alias("g"))
-    hits = cut(own.join(windows, ["n", "g"]).select("row", "i", "n", "item"))
-    words = hits.select("row", F.explode(F.sequence(F.col("i"), F.col("i") + F.col("n") - 1)).alias("at")).distinct().groupBy("row").agg(F.count(F.lit(1)).alias("n_hit"))
-    names = hits.select("row", "item").distinct().groupBy("row").agg(F.array_sort(F.collect_list("item")).alias("items"))
-    found = rows.join(words, "row", "left").join(names, "row", "left")
-    return found.select(
-        F.col("key").alias(key),
-        F.size("w").cast("long").alias("n_words"),
-        F.coalesce("n_hit", F.lit(0)).cast("long").alias("n_hit"),
-        F.when(F.col("items").isNull(), 0).otherwise(F.size("items")).cast("long").alias("n_items"),
-        F.sha2(F.coalesce(F.concat_ws(",", "items"), F.lit("")), 256).alias("items_sha256"),
-        F.col("n_hit").isNotNull().alias("contaminated"),
-    )
+    makers = list(_blocks(benchmark, size, item, text, most))
+    rows = docs.select(F.col(f"`{key}`"), F.col(f"`{text}`"))
+    schema = "n_words bigint, n_hit bigint, n_items bigint, items_sha256 string, contaminated boolean"
+    if len(makers) == 1:
+
+        def work_of() -> Callable[[list[str]], dict[str, list]]:
+            scanner = makers[0]()
+
+            def work(texts: list[str]) -> dict[str, list]:
+                split = [_words.findall(lowered(x)) for x in texts]
+                return _digests(split, [g[:2] for g in scanner.scan(split)])
+
+            return work
+
+        return map_texts(rows, work_of, [key], schema, text)
+    (hits,) = fresh([key, text], "hits")
+    marked = _with_hits(rows, makers, text, hits)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for part in slices(batches, text):
+            split = [_words.findall(lowered(x or "")) for x in part.column(1).to_pylist()]
+            found = [(len(_positions(h)), set().union(*(b["items"] for b in h or ()))) for h in part.column(2).to_pylist()]
+            made = _digests(split, found)
+            types = (pa.int64(), pa.int64(), pa.int64(), pa.string(), pa.bool_())
+            yield pa.RecordBatch.from_arrays([part.column(0), *(pa.array(v, t) for v, t in zip(made.values(), types, strict=True))], names=[key, *made])
+
+    return marked.mapInArrow(run, f"`{key}` {docs.schema[key].dataType.simpleString()}, {schema}")
+
+
+def _positions(hits: list | None) -> list[int]:
+    """The places of hit words, in order, from what the blocks found."""
+    return sorted({p for b in hits or () for first, n in b["spans"] for p in range(first, first + n)})
+
+
+_HIT = "hash string, items array<string>, spans array<array<int>>"
+
+
+def _with_hits(docs: DataFrame, makers: list[Callable[[], Scanner]], text: str, name: str) -> DataFrame:
+    """docs with one more column: what each block of the benchmark hits in the text (null: nothing).
+
+    Each block is scanned for in a pass of its own, so that one block at a time is in a worker's memory. Hits are keyed by the
+    text's digest: copies share them.
+    """
+    found = []
+    for make in makers:
+
+        def run(batches: Iterator[pa.RecordBatch], make=make) -> Iterator[pa.RecordBatch]:
+            scanner = make()
+            for part in slices(batches, "text"):
+                texts = [x or "" for x in part.column(0).to_pylist()]
+                rows = [(x, g) for x, g in zip(texts, scanner.scan([_words.findall(lowered(x)) for x in texts]), strict=True) if g[0]]
+                spans = [[[int(r[0]), len(r)] for r in np.split(g[2], np.flatnonzero(np.diff(g[2]) > 1) + 1)] for _, g in rows]
+                columns = ([hashlib.sha256(x.encode()).hexdigest() for x, _ in rows], [sorted(g[1]) for _, g in rows], spans)
+                yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, (pa.string(), pa.list_(pa.string()), pa.list_(pa.list_(pa.int32()))), strict=True)], names=["hash", "items", "spans"])
+
+        found.append(cut(docs.select(F.col(f"`{text}`").alias("text")).mapInArrow(run, _HIT).dropDuplicates(["hash"])))
+    digest, of = fresh([*docs.columns, name], "digest", "hash")
+    every = union(found).groupBy(F.col("hash").alias(of)).agg(F.collect_list(F.struct("items", "spans")).alias(name))  # a row a block
+    signed = docs.withColumn(digest, F.sha2(F.coalesce(F.col(f"`{text}`"), F.lit("")), 256))
+    return signed.join(every, F.col(digest) == F.col(of), "left").drop(digest, of)
 
 
 def decontaminate(docs: DataFrame, benchmark: DataFrame, remove: str = "spans", size: int = 10, text: str = "text", item: str = "item_id", most: int = MOST_WINDOWS) -> DataFrame:
-    """docs without what the benchmark shares with them, all columns kept.
+    """docs without what the benchmark shares with them, all columns kept, whatever their names.
 
     remove='documents' drops each row with a hit; remove='spans' keeps the row and takes out of its text each stretch from
-    the first to the last character of consecutive hit words. Null texts stay null. Rows without hits stay as they are.
-    Benchmarks beyond `most` windows can only be removed by document.
+    the first to the last character of consecutive hit words. Null texts stay null. Rows without hits stay as they are, as do
+    all with an empty benchmark. Repeated rows share their fate; an empty table gives an empty one. most: windows of a block,
+    which changes no result.
     """
-    make = _scanner(benchmark, size, item, text, most)
-    if make is None:
-        if remove != "documents":
-            raise ValueError("spans are only removed for a benchmark of bounded size")
-        bad = _by_join(docs.select(text).distinct().withColumn("_key", F.col(text)), benchmark, size, "_key", text, item).where("contaminated").select("_key")
-        return docs.join(bad, F.col(text) == F.col("_key"), "left_anti")
+    if remove not in ("documents", "spans"):
+        raise ValueError("remove must be documents or spans")
+    makers = list(_blocks(benchmark, size, item, text if text in benchmark.columns else "text", most))
     names = docs.columns
     i = names.index(text)
+    (hits,) = fresh(names, "hits")
+    rows = docs if len(makers) == 1 else _with_hits(docs, makers, text, hits)
 
-    def run(batches):
-        scanner = make()
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        scanner = makers[0]() if len(makers) == 1 else None
         for part in slices(batches, text):
             texts = part.column(i).to_pylist()
-            got = scanner.scan([_words.findall(lowered(x or "")) for x in texts])
+            if scanner:
+                found = [g[2].tolist() for g in scanner.scan([_words.findall(lowered(x or "")) for x in texts])]
+            else:
+                found, part = [_positions(h) for h in part.column(len(names)).to_pylist()], part.select(names)
             if remove == "documents":
-                yield part.filter(pa.array([g[0] == 0 for g in got]))
+                yield part.filter(pa.array([not f for f in found], pa.bool_()))
                 continue
-            clean = [without(x, g[2].tolist()) if g[0] else x for x, g in zip(texts, got, strict=True)]
+            clean = [without(x, f) if f else x for x, f in zip(texts, found, strict=True)]
             yield part.set_column(i, part.schema.field(i), pa.array(clean, part.schema.field(i).type))
 
-    return docs.mapInArrow(run, docs.schema)
+    return rows.mapInArrow(run, docs.schema)
 
 
 def without(text: str, hit: list[int]) -> str:

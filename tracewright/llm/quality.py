@@ -18,13 +18,16 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
 
-from .common import Memo, map_texts, slices
+from .common import Memo, cut, map_texts, slices
 
 BITS = 18
 DIM = 1 << BITS
 #: Labelled rows of each class that a model is fitted on, at most. The only bound on what is learnt from.
 SAMPLE = 8_000
+#: Bytes of their features (4 each) at most, half of them for each class: of more, rows are taken in the order of the sample.
+SAMPLE_BYTES = 256 << 20
 MOST_WORDS = 150_000
 #: Longer words, as in texts without white space, count as consecutive pieces of so many characters.
 PIECE = 64
@@ -156,10 +159,24 @@ def sampled(labels: DataFrame, label: str, trains: Column, most: int, key: str =
     return part(0).unionByName(part(1))
 
 
+def _within(made: DataFrame, key: str, most: int = SAMPLE_BYTES) -> DataFrame:
+    """The rows of the sample up to `most` bytes of features. The driver looks at key and size of each, 2 * SAMPLE rows."""
+    sizes = made.select(key, "_label", F.octet_length("x").alias("b"), F.xxhash64(key).alias("o")).collect()
+    if sum(r["b"] for r in sizes) <= most:
+        return made
+    left, stay = {0: most // 2, 1: most // 2}, []
+    for r in sorted(sizes, key=lambda r: (r["o"], r[key])):
+        left[r["_label"]] -= r["b"]
+        if left[r["_label"]] >= 0:
+            stay.append((r[key],))
+    kept = made.sparkSession.createDataFrame(stay, StructType([made.schema[key]]))
+    return made.join(F.broadcast(kept), key)
+
+
 def fit(docs: DataFrame, labels: DataFrame, label: str, trains: Column, most: int = SAMPLE, cost: float = 0.1, key: str = "doc_id", text: str = "text") -> Model:
-    """A model of labels[label] from the rows where `trains` holds, `most` of each class at most.
+    """A model of labels[label] from the rows where `trains` holds, `most` of each class and SAMPLE_BYTES of features at most.
 
-    Rows without a text learn as empty ones; labels other than 0 and 1 are left out, as are null keys. Without both
+    Of a key with several texts, one is learnt from. Rows without a text learn as empty ones; labels other than 0 and 1 are left out, as are null keys. Without both
     classes, the model scores every text with the share of label 1 (1/2 without labels).
     """
     chosen = F.broadcast(sampled(labels, label, trains, most, key))  # 2 * most rows
@@ -176,8 +193,9 @@ def fit(docs: DataFrame, labels: DataFrame, label: str, trains: Column, most: in
 
         return work
 
-    got = map_texts(docs.select(key, text).join(chosen, key).select(key, "_label", text), make, [key, "_label"], "x binary", text).collect()
-    got = sorted({(r[key], r["_label"], r["x"]) for r in got})
+    made = map_texts(docs.select(key, text).join(chosen, key).select(key, "_label", text), make, [key, "_label"], "x binary", text)
+    made = cut(made.groupBy(key).agg(F.max("_label").alias("_label"), F.min("x").alias("x")))  # one text a key
+    got = sorted((r[key], r["_label"], r["x"]) for r in _within(made, key).collect())
     y = np.array([r[1] for r in got], bool)
     if not len(got) or y.all() or not y.any():
         p = (share.get(1, 0) + 0.5) / (sum(share.values()) + 1)
@@ -210,7 +228,11 @@ def score(docs: DataFrame, model: Model, keep: list[str], text: str = "text") ->
 
 
 def accepted(docs: DataFrame, model: Model, threshold: float = 0.5, text: str = "text") -> DataFrame:
-    """The rows of docs, all columns kept, whose score is at least the threshold."""
+    """The rows of docs, all columns kept, whose score is at least the threshold.
+
+    Null and empty texts have the score of a text without features. Repeated rows share their fate; columns may have any
+    names; an empty table gives an empty one.
+    """
     sent = docs.sparkSession.sparkContext.broadcast(model)
     at = docs.columns.index(text)
 

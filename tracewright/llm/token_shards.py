@@ -32,13 +32,15 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
-from .common import Recent, calm, fit_partitions, slices
+from .common import Recent, calm, fit_partitions, input_bytes, slices, whole_number
 
 MAGIC = b"TOKSST01"
 FOOTER = struct.Struct("<QQQQQQB8s")
 BLOCK_BYTES = 1 << 18
 BITS_PER_KEY, PROBES = 10, 7
 MOST_PIECES = 500_000
+#: Bytes of input for a shard.
+SHARD_BYTES = 256 << 20
 #: Marks that a piece may end with.
 MARKS = string.punctuation
 
@@ -238,13 +240,17 @@ def write_shards(docs: DataFrame, path: str, out: str, end_id: int | None = 0, k
     """Write docs' ids to shards under the folder `out`; returns shard, name, docs, ids, in the order of identifiers.
 
     Documents are dealt to shards by ranges of the identifier and sorted there (null first; rows with equal identifiers by
-    text). Each shard is written under a name of its attempt and then renamed, so a task that runs again leaves one
+    the beginnings of their texts, then by digest). Many rows of one identifier are dealt to several shards in that order; equal
+    rows follow each other anyhow. There are as many shards as shuffle partitions, or more for an input of more than
+    SHARD_BYTES each. Keys must be whole numbers; other columns are left out; an empty table gives shards without documents.
+    Each shard is written under a name of its attempt and then renamed, so a task that runs again leaves one
     whole file. Null texts count as empty: only end_id. width: bytes of an id, 2 or 4.
     """
     spark = docs.sparkSession
-    n = shards or fit_partitions(spark)
-    rows = docs.select(F.col(key).cast("long").alias("doc_id"), F.coalesce(F.col(text), F.lit("")).alias("text"))
-    rows = rows.repartitionByRange(n, "doc_id").sortWithinPartitions("doc_id", "text")
+    rows = docs.select(whole_number(docs, key).alias("doc_id"), F.coalesce(F.col(f"`{text}`"), F.lit("")).alias("text"))
+    n = shards or max(fit_partitions(spark), input_bytes(rows) // SHARD_BYTES)
+    order = [F.col("doc_id"), F.substring("text", 1, 64), F.xxhash64("text")]
+    rows = rows.withColumn("part", F.rand(7)).repartitionByRange(n, *order, F.col("part")).sortWithinPartitions(*order).drop("part")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         calm()

@@ -27,8 +27,8 @@ from .quality import fold, platt, sampled
 
 #: Labelled rows of each class that log-odds are learnt from, at most; the prior counts all documents.
 SAMPLE = 20_000
-#: Tokens of the lexicon, at most: those with the highest z-scores; and the least z-score and count in toxic texts.
-LEXICON, LEAST_Z, LEAST_COUNT = 65_536, 2.0, 3
+#: The least z-score and the least count in toxic texts of a token of the lexicon. The labelled sample alone bounds their number.
+LEAST_Z, LEAST_COUNT = 4.0, 3
 #: Tokens that the prior is worth, and what a token outside the lexicon scores.
 PRIOR, GAP = 5_000.0, -0.08
 #: A segment is significant if harmless text of that length holds one in fewer than this many cases.
@@ -85,10 +85,9 @@ class Model:
         return max((s for u in units(word) if (s := self.lexicon.get(u)) is not None), default=None)
 
     def find(self, text: str) -> tuple[int, list[tuple[int, int, float]]]:
-        """Tokens, and the maximal segments of their scores; a word that only repeats the one before scores as a gap."""
+        """Tokens, and the maximal segments of their scores."""
         words, worth = tokens(text.lower()), self.worth
-        hits = [(i, s) for i, w in enumerate(words) if (s := worth[w]) is not None]
-        return len(words), segments([(i, s) for i, s in hits if not i or words[i] != words[i - 1]])
+        return len(words), segments([(i, s) for i, w in enumerate(words) if (s := worth[w]) is not None])
 
     def chance(self, score: float, n: int) -> float:
         """That n tokens of harmless text hold a segment of this score."""
@@ -107,49 +106,72 @@ class Model:
         return 1 / (1 + exp(-max(-30.0, min(30.0, self.slope * self.evidence(text) + self.offset))))
 
 
-def _counts(docs: DataFrame, chosen: DataFrame, key: str, text: str) -> DataFrame:
-    """word, n (in all documents), y (in toxic ones to learn from), z (in others to learn from); the word '' has the sums."""
-    rows = docs.select(key, text).join(F.broadcast(chosen), key, "left").select("_label", F.coalesce(text, F.lit("")).alias("text"))
+def _labelled_counts(docs: DataFrame, chosen: DataFrame, key: str, text: str) -> DataFrame:
+    """word, y (in toxic texts to learn from) and z (in others to learn from); the word '' has the sums."""
+    rows = docs.select(F.col(f"`{key}`").alias("doc_id"), F.col(f"`{text}`").alias("text")).join(F.broadcast(chosen.withColumnRenamed(key, "doc_id")), "doc_id")
+    rows = rows.select("_label", F.coalesce("text", F.lit("")).alias("text"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        every, toxic, other = Counter(), Counter(), Counter()
+        toxic, other = Counter(), Counter()
 
         def out() -> pa.RecordBatch:
-            sums: dict[str, list[int]] = {}
-            for w, n in every.items():
-                y, z = toxic[w], other[w]
-                for u in units(w):
-                    at = sums.setdefault(u, [0, 0, 0])
-                    at[0] += n
-                    at[1] += y
-                    at[2] += z
-            columns = [pa.array([x[k] for x in sums.values()], pa.int64()) for k in range(3)]
-            return pa.RecordBatch.from_arrays([pa.array([*sums], pa.string()), *columns], names=["word", "n", "y", "z"])
+            words = list(toxic.keys() | other.keys())
+            return pa.RecordBatch.from_pydict({"word": pa.array(words, pa.string()), "y": pa.array([toxic[w] for w in words], pa.int64()), "z": pa.array([other[w] for w in words], pa.int64())})
 
         for part in slices(batches, "text"):
             for label, x in zip(part.column(0).to_pylist(), part.column(1).to_pylist(), strict=True):
                 words = set(tokens(x.lower()))
-                every.update(words)
-                every[""] += len(words)
-                if label is not None:
-                    (toxic if label else other).update(words)
-                    (toxic if label else other)[""] += len(words)
-            if len(every) > MOST_COUNTED:
+                mine = toxic if label else other
+                for w in words:
+                    mine.update(units(w))
+                mine[""] += len(words)
+            if len(toxic) + len(other) > MOST_COUNTED:
                 yield out()
-                for c in (every, toxic, other):
-                    c.clear()
-        if every:
+                toxic.clear()
+                other.clear()
+        if toxic or other:
             yield out()
 
-    found = rows.mapInArrow(run, "word string, n bigint, y bigint, z bigint").groupBy("word")
-    return found.agg(F.sum("n").alias("n"), F.sum("y").alias("y"), F.sum("z").alias("z"))
+    found = rows.mapInArrow(run, "word string, y bigint, z bigint").groupBy("word")
+    return found.agg(F.sum("y").alias("y"), F.sum("z").alias("z"))
+
+
+def _all_counts(docs: DataFrame, words: list[str], text: str) -> tuple[np.ndarray, int]:
+    """Of each of these units, how many words of all documents are known by it, and how many words there are (each once a document).
+
+    Every document is counted; a partition gives one row of counts, so that what shuffles doesn't grow with the texts.
+    """
+    sent = docs.sparkSession.sparkContext.broadcast({w: i for i, w in enumerate(words)})
+    n = len(words)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        place = sent.value
+        known = Memo(lambda w: tuple(place[u] for u in units(w) if u in place), MOST_COUNTED)
+        count, total = [0] * (n + 1), 0
+        for part in slices(batches, "text"):
+            for x in part.column(0).to_pylist():
+                mine = set(tokens((x or "").lower()))
+                total += len(mine)
+                at = [i for w in mine for i in known[w]]
+                for i in at:
+                    count[i] += 1
+        count[n] = total
+        count = np.array(count, np.int64)
+        some = np.flatnonzero(count)
+        yield pa.RecordBatch.from_arrays([pa.array(some, pa.int64()), pa.array(count[some], pa.int64())], names=["i", "n"])
+
+    rows = docs.select(F.col(f"`{text}`").alias("text")).mapInArrow(run, "i bigint, n bigint").groupBy("i").agg(F.sum("n").alias("n")).collect()
+    count = np.zeros(n + 1, np.int64)
+    for r in rows:
+        count[r["i"]] = r["n"]
+    return count[:n], int(count[n])
 
 
 def fit(docs: DataFrame, labels: DataFrame, label: str, trains: Column, most: int = SAMPLE, key: str = "doc_id", text: str = "text") -> Model:
     """A model of labels[label] from the rows where `trains` holds, `most` of each class at most.
 
-    Labels other than 0 and 1 and null keys are left out. Without both classes, every text scores the share of label 1
-    (1/2 without labels).
+    Labels other than 0 and 1 and null keys are left out. Of a key with several texts, one is judged for calibration. Without
+    both classes, every text scores the share of label 1 (1/2 without labels). Null texts count as empty.
     """
     every = labels.where(trains & F.col(label).isin(0, 1)).groupBy(F.col(label).cast("int").alias("y")).count().collect()
     share = {r["y"]: r["count"] for r in every}
@@ -158,17 +180,14 @@ def fit(docs: DataFrame, labels: DataFrame, label: str, trains: Column, most: in
         return Model({}, slope=0.0, offset=log(p / (1 - p)))
     chosen = cut(sampled(labels, label, trains, most, key))
     aside = F.pmod(F.xxhash64(F.lit("aside"), F.col(key)), F.lit(5)) == 0
-    counted = cut(_counts(docs, chosen.where(~aside), key, text).where((F.col("y") >= LEAST_COUNT) | (F.col("word") == "")))
-    total = counted.where("word = ''").first()
-    n, y, z = (max(1, total[k]) if total else 1 for k in ("n", "y", "z"))
-    prior = F.lit(PRIOR) * F.col("n") / n
-    odds = lambda c, of: F.log((c + prior) / (F.lit(of + PRIOR) - c - prior))
-    scored = counted.where("word <> ''").select("word", (odds(F.col("y"), y) - odds(F.col("z"), z)).alias("s"), F.sqrt(1 / (F.col("y") + prior) + 1 / (F.col("z") + prior)).alias("e"), "y", "z", "n")
-    scored = scored.where(F.col("s") > 0).withColumn("v", F.col("s") / F.col("e")).where(F.col("v") >= LEAST_Z)
-    rows = scored.orderBy(F.desc("v"), "word").limit(LEXICON).collect()  # LEXICON rows at most
-    model = Model({r["word"]: r["s"] for r in rows})
-    background = np.array([(r["z"] + PRIOR * r["n"] / n) / (z + PRIOR) for r in rows])
-    model.decay = decay(np.array([r["s"] for r in rows]), background)
+    counted = cut(_labelled_counts(docs, chosen.where(~aside), key, text).where((F.col("y") >= LEAST_COUNT) | (F.col("word") == ""))).collect()
+    sums = next(((r["y"], r["z"]) for r in counted if not r["word"]), (0, 0))
+    counted = sorted((r["word"], r["y"], r["z"]) for r in counted if r["word"])  # as many as the labelled sample has
+    of_all, n = _all_counts(docs, [r[0] for r in counted], text)
+    weigh = log_odds(np.array([r[1] for r in counted], float), np.array([r[2] for r in counted], float), of_all, *(max(1, x) for x in (*sums, n)))
+    model = Model({counted[i][0]: float(weigh.score[i]) for i in weigh.chosen})
+    background = weigh.background[weigh.chosen]
+    model.decay = decay(weigh.score[weigh.chosen], background)
     sent = docs.sparkSession.sparkContext.broadcast(model)
 
     def make():
@@ -178,7 +197,8 @@ def fit(docs: DataFrame, labels: DataFrame, label: str, trains: Column, most: in
 
         return work
 
-    judged = map_texts(docs.select(key, text).join(F.broadcast(chosen.where(aside)), key).select(key, "_label", text), make, [key, "_label"], "n bigint, s array<double>", text).collect()
+    judged = map_texts(docs.select(key, text).join(F.broadcast(chosen.where(aside)), key).select(key, "_label", text), make, [key, "_label"], "n bigint, s array<double>", text)
+    judged = judged.groupBy(key).agg(F.max("_label").alias("_label"), F.min(F.struct("n", "s")).alias("g")).select("_label", "g.*").collect()  # one text a key
     if not judged or len({r["_label"] for r in judged}) < 2:
         model.slope, model.offset = 2.0, -2.0
         return model
@@ -194,6 +214,22 @@ def fit(docs: DataFrame, labels: DataFrame, label: str, trains: Column, most: in
     return model
 
 
+@dataclass
+class LogOdds:
+    score: np.ndarray
+    background: np.ndarray  # share of harmless words that a unit stands for
+    chosen: np.ndarray  # places of the significant ones
+
+
+def log_odds(y: np.ndarray, z: np.ndarray, n: np.ndarray, all_y: int, all_z: int, all_n: int) -> LogOdds:
+    """Log-odds between toxic (y) and other (z) texts with a Dirichlet prior in proportion to the counts in all documents (n)."""
+    prior = PRIOR * n / all_n
+    odds = lambda c, of: np.log((c + prior) / (of + PRIOR - c - prior))
+    score = odds(y, all_y) - odds(z, all_z)
+    error = np.sqrt(1 / (y + prior) + 1 / (z + prior))
+    return LogOdds(score, (z + prior) / (all_z + PRIOR), np.flatnonzero((score > 0) & (score / error >= LEAST_Z)))
+
+
 def evidence(model: Model, n: int, scores: list[float]) -> float:
     """Powers of ten against chance: of the best segment, and half as much of the other significant ones."""
     powers = sorted((-log(max(model.chance(s, n), 1e-300)) / log(10) for s in scores), reverse=True)
