@@ -6,7 +6,7 @@ import numpy as np
 
 import corpus_pipeline
 from tracewright.llm import near_dup, quality
-from tracewright.llm.common import Memo, table
+from tracewright.llm.common import Memo, cut, table
 
 DATA = "/root/testdata/sf0.001"
 
@@ -25,7 +25,7 @@ def test_quality_stage_keeps_what_the_model_scores(spark):
 
 
 def test_near_copy_stage_keeps_the_least_of_each_component(spark):
-    docs = corpus_pipeline.without_copies(spark, table(spark, DATA, "documents"), DATA).localCheckpoint()
+    docs = cut(corpus_pipeline.without_copies(spark, table(spark, DATA, "documents"), DATA))
     sets = {}
     for r in docs.collect():
         w = re.findall(r"[^\x20\x09-\x0D]+", (r["text"] or "").encode().lower().decode())
