@@ -348,7 +348,7 @@ def _prefixes(rows: DataFrame, percent: int) -> DataFrame:
 
 
 def _places(prefixes: DataFrame) -> DataFrame:
-    """place, s1, s2, n: where each class meets others; places of one member are left out."""
+    """place, s1, s2, n: where each class meets others, two at least."""
     groups = prefixes.select("h", "g").distinct()
     lists = groups.groupBy("h").agg(F.count(F.lit(1)).alias("k"), F.min("g").alias("place")).where("k > 1").select("h", "place")
     meet = groups.join(lists, "h").select("g", "place").distinct()
@@ -371,10 +371,11 @@ def _tiles(members: str, of: int) -> Column:
 
 def _stars(places: DataFrame) -> DataFrame:
     """place, tiles, the class's name and side: each tile by itself and, where there are several, with the place's least member (side 1)."""
-    sizes = places.groupBy("place").agg(F.count(F.lit(1)).alias("m"), F.sum("n").alias("w"), F.min(F.struct(*NODE)).alias("lead")).where("m > 1")
-    sizes = sizes.select("place", "lead", _tiles("m", STAR_MEMBERS).alias("tiles"))
-    own = places.join(sizes, "place").select("place", _tile(F.col("tiles")).alias("tile_a"), *NODE, F.lit(0).alias("side"))
-    lead = sizes.where("tiles > 1").select("place", F.explode(F.sequence(F.lit(0), F.col("tiles") - 1)).alias("tile_a"), "lead.s1", "lead.s2", F.lit(1).alias("side"))
+    sizes = places.groupBy("place").agg(F.count(F.lit(1)).alias("m"), F.sum("n").alias("w"), F.min(F.struct(*NODE)).alias("lead"))
+    several = cut(sizes.select("place", "lead", _tiles("m", STAR_MEMBERS).alias("tiles")).where("tiles > 1"))
+    own = places.join(_small(several.select("place", "tiles")), "place", "left")  # members of one place stay where they are
+    own = own.select("place", F.coalesce(_tile(F.col("tiles")), F.lit(0)).alias("tile_a"), *NODE, F.lit(0).alias("side"))
+    lead = several.select("place", F.explode(F.sequence(F.lit(0), F.col("tiles") - 1)).alias("tile_a"), "lead.s1", "lead.s2", F.lit(1).alias("side"))
     return own.unionByName(lead).select("place", "tile_a", F.lit(-1).alias("tile_b"), *NODE, "side")
 
 
@@ -382,8 +383,8 @@ def _crossings(places: DataFrame, left: DataFrame) -> DataFrame:
     """As _stars: the members that are left (side 1), in tiles, with all tiles of their place (side 0)."""
     left = left.select("place", *NODE).distinct()
     some = left.groupBy("place").agg(F.count(F.lit(1)).alias("u"))
-    sizes = places.join(some, "place").groupBy("place").agg(F.count(F.lit(1)).alias("m"), F.sum("n").alias("w"), F.max("u").alias("u"))
-    sizes = sizes.select("place", _tiles("u", TILE_MEMBERS).alias("tiles_a"), _tiles("m", TILE_MEMBERS).alias("tiles_b"))
+    sizes = places.join(_small(cut(some)), "place").groupBy("place").agg(F.count(F.lit(1)).alias("m"), F.sum("n").alias("w"), F.max("u").alias("u"))
+    sizes = _small(cut(sizes.select("place", _tiles("u", TILE_MEMBERS).alias("tiles_a"), _tiles("m", TILE_MEMBERS).alias("tiles_b"))))
     each = lambda tiles: F.explode(F.sequence(F.lit(0), F.col(tiles) - 1))
     asking = left.join(sizes, "place").select("place", _tile(F.col("tiles_a")).alias("tile_a"), each("tiles_b").alias("tile_b"), *NODE, F.lit(1).alias("side"))
     asked = places.join(sizes, "place").select("place", each("tiles_a").alias("tile_a"), _tile(F.col("tiles_b")).alias("tile_b"), *NODE, F.lit(0).alias("side"))
