@@ -3,6 +3,7 @@ import random
 
 from hypothesis import given, settings
 from hypothesis import strategies as st
+from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from tracewright.functions import casts, outcomes, text
@@ -20,6 +21,7 @@ def column(spark, values, expr, kind="string"):
 
 def test_casts(spark):
     assert column(spark, ["7", " 7 ", "7.0", "", None, "x", "true"], lambda v: casts.int_or(v, -1)) == [7, 7, -1, -1, -1, -1, 1]
+    assert column(spark, [7.9, -7.9, None, float("nan"), 0.2], lambda v: casts.int_or(v, -1), "double") == [7, -7, -1, -1, 0]
     assert column(spark, ["1e3", "x", None], lambda v: casts.float_or(v, 0.5)) == [1000.0, 0.5, 0.5]
     assert column(spark, ["Yes", "0", " TRUE", "2", None], casts.bool_or_null) == [True, False, True, None, None]
     assert column(spark, [float("nan"), None, 1.0, 0.9], lambda v: casts.at_least(v, 1.0), "double") == [False, False, True, False]
@@ -145,6 +147,43 @@ def test_shard_sizes(spark, n, workers):
     assert [r["worker"] for r in sorted(rows, key=lambda r: r["id"])] == want
 
 
+def test_shards_of_wide_rows_are_ntiles(spark):
+    """Partitions that adaptive execution would join, were their number not given."""
+    known = {k: spark.conf.get(k) for k in ("spark.sql.adaptive.advisoryPartitionSizeInBytes", "spark.sql.shuffle.partitions")}
+    spark.conf.set("spark.sql.adaptive.advisoryPartitionSizeInBytes", "300000")
+    spark.conf.set("spark.sql.shuffle.partitions", "24")
+    try:
+        rows = spark.range(30_000).select((F.col("id") * 7919 % 30_011).alias("k"), F.repeat(F.sha1(F.col("id").cast("string")), 4).alias("wide"))
+        got = branching.shards(rows, "k", 7)
+        want = rows.select("k", (F.ntile(7).over(Window.orderBy("k")) - 1).cast("long").alias("want"))
+        assert got.join(want, "k").where(~F.col("worker").eqNullSafe(F.col("want"))).count() == 0 and got.count() == 30_000
+        ranks, n = branching.ranked(rows, "k")
+        assert n == 30_000 and ranks.agg(F.countDistinct("rank"), F.max("rank")).first() == (30_000, 29_999)
+    finally:
+        for k, v in known.items():
+            spark.conf.set(k, v)
+    assert branching.shards(rows.limit(0), "k", 3).count() == 0
+
+
+def test_ledger_keeps_the_last_batch_of_a_key(spark, tmp_path):
+    from tracewright.streaming import ledger
+
+    schema = "k string, status string, ord int"
+    for number, rows in enumerate(([("a", "x", 5), ("b", "y", 1)], [("a", "z", 1)])):
+        spark.createDataFrame(rows, schema).write.parquet(f"{tmp_path}/l/{ledger.BATCH}={number}")
+    want = {("a", "z", 1), ("b", "y", 1)}
+    assert {tuple(r) for r in ledger.holding(spark, f"{tmp_path}/l", ["k"]).collect()} == want
+    ledger.compact(spark, f"{tmp_path}/l", f"{tmp_path}/c", ["k"])
+    spark.createDataFrame([("b", "w", 0)], schema).write.parquet(f"{tmp_path}/c/{ledger.BATCH}=0")
+    assert {tuple(r) for r in ledger.holding(spark, f"{tmp_path}/c", ["k"]).collect()} == {("a", "z", 1), ("b", "w", 0)}
+
+
+def test_labels_in_free_text():
+    assert pt.action_in("reaction: a\nStep 2: **\n- Step 3: b") == "a"
+    assert pt.thought_and_action_in("Thought:\nAction: go\nmore\nAction: up") == ("Action: go\nmore", "up")
+    assert pt.clean_action("12) 'go  up' (now) ") == "go up'" and pt.clean_action("a (b (c))") == "a (b (c))"
+
+
 def test_targets_and_weights(spark):
     wins = spark.createDataFrame([(1, 0, "s", -1.0), (1, 0, "s", -900.0), (2, 0, "s", -3.0)], "family_id int, divergence_step int, state_key string, ref_logprob double")
     for eta in (0.0, 0.5, 1.0):

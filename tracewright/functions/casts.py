@@ -15,10 +15,12 @@ def strip(c: Column) -> Column:
 
 
 def int_or(c: Column, default: int | None = 0) -> Column:
-    """A whole number, or the default: '7.0' and '' give the default, ' 7 ' gives 7, true gives 1."""
+    """A whole number, or the default: '7.0' and '' give the default, ' 7 ' gives 7, true gives 1; of a number its whole part, 7.9 gives 7."""
+    kind = F.typeof(c)
+    whole = F.when(kind.isin("double", "float") | kind.startswith("decimal"), c.try_cast("double").try_cast("bigint"))
     flag = c.cast("string").isin("true", "false")
     text = F.when(flag, (c.cast("string") == "true").cast("int").cast("string")).otherwise(strip(c))
-    return F.coalesce(text.try_cast("bigint"), F.lit(default).cast("bigint"))
+    return F.coalesce(whole, text.try_cast("bigint"), F.lit(default).cast("bigint"))
 
 
 def float_or(c: Column, default: float | None = 0.0) -> Column:

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from pyspark import StorageLevel
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -39,26 +40,37 @@ def step_cap(*caps: Column) -> Column:
     return F.least(*caps)
 
 
+def ranked(rows: DataFrame, *order: str, name: str = "rank", parts: int | None = None) -> tuple[DataFrame, int]:
+    """rows with their place from 0 in the order of columns, and their number; no window over all rows.
+
+    Rows are dealt by ranges of the order and sorted there once, and kept: counting and numbering see the same partitions. The
+    driver gathers one number a partition. Rows that tie stand in any order; null keys come first; an empty table stays empty.
+    """
+    spark = rows.sparkSession
+    n = parts or max(1, int(spark.conf.get("spark.sql.shuffle.partitions")))
+    at, within = F.spark_partition_id(), F.monotonically_increasing_id()
+    dealt = rows.repartitionByRange(n, *order).sortWithinPartitions(*order).withColumns({"_p": at, "_i": within - F.shiftleft(at.cast("long"), 33)})
+    kept = dealt.persist(StorageLevel.DISK_ONLY)
+    counts = {r["_p"]: r["count"] for r in kept.groupBy("_p").count().collect()}
+    before, seen = [], 0
+    for p in sorted(counts):
+        before.append((p, seen))
+        seen += counts[p]
+    offset = F.broadcast(spark.createDataFrame(before, "_p int, _before bigint"))  # a row a partition
+    return kept.join(offset, "_p").withColumn(name, F.col("_before") + F.col("_i")).drop("_p", "_i", "_before"), seen
+
+
 def shards(rows: DataFrame, order: str, workers: int, total: int | None = None) -> DataFrame:
     """rows with worker: contiguous runs of the order, one longer for the first workers.
 
-    Ranks come from a range partitioning: counts per partition are summed on the driver, one number a partition.
+    total: the number of rows that the runs are cut for, if not that of rows. Ties and nulls are as in ranked(). An empty
+    table gives an empty one.
     """
-    at = F.spark_partition_id()
-    dealt = rows.repartitionByRange(F.col(order)).sortWithinPartitions(order).withColumn("_p", at).withColumn("_i", F.monotonically_increasing_id() - F.shiftleft(at.cast("long"), 33))
-    counts = {r["_p"]: r["count"] for r in dealt.groupBy("_p").count().collect()}
-    before, seen = {}, 0
-    for p in sorted(counts):
-        before[p], seen = seen, seen + counts[p]
-    n = seen if total is None else total
-    if not counts:
-        return dealt.withColumn("worker", F.lit(0).cast("long")).drop("_p", "_i")
-    offset = F.create_map(*(F.lit(x) for p, b in before.items() for x in (p, b)))[F.col("_p")]
-    base, more = divmod(n, workers)
-    rank = offset + F.col("_i")
-    long = more * (base + 1)
+    placed, seen = ranked(rows, order, name="_rank")
+    base, more = divmod(seen if total is None else total, workers)
+    rank, long = F.col("_rank"), more * (base + 1)
     worker = F.when(rank < long, F.floor(rank / (base + 1))).otherwise(more + F.floor((rank - long) / max(base, 1)))
-    return dealt.withColumn("worker", worker.cast("long")).drop("_p", "_i")
+    return placed.withColumn("worker", worker.cast("long")).drop("_rank")
 
 
 def summary(branches: DataFrame) -> DataFrame:

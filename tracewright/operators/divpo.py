@@ -20,6 +20,16 @@ def with_diversity(candidates: DataFrame, scope: str = "task") -> DataFrame:
     return scored.withColumn("diversity_score", 1.0 / F.greatest("action_count", F.lit(1)))
 
 
+def leading(side: DataFrame, highest: bool) -> DataFrame:
+    """Of each state and kind the one candidate that any selected pair of them has: with the highest (or lowest) score, then the smallest id.
+
+    What a pair is ranked by falls apart into its two sides, so no others need to meet. The least combines before the shuffle.
+    """
+    rank = F.struct((-F.col("diversity_score") if highest else F.col("diversity_score")).alias("s"), F.col("trajectory_id").alias("i"))
+    rest = [c for c in side.columns if c not in (*STATE, "trajectory_kind")]
+    return side.groupBy(*STATE, "trajectory_kind").agg(F.min_by(F.struct(*rest), rank).alias("_c")).select(*STATE, "trajectory_kind", "_c.*")
+
+
 def select(pairs: DataFrame) -> DataFrame:
     """One pair a state: the highest score chosen, the lowest rejected, then base before alternative and smaller ids; of equal
     pairs the observed one. The least of a struct combines before the shuffle: no sort, no window."""

@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.casts import strip
+from .branching import ranked
 
 
 def rows_from_turns(turns: DataFrame, group: str = "conv_id", order: str = "turn", speaker: str = "assistant", most: int | None = None) -> DataFrame:
@@ -36,13 +37,14 @@ def resampled_index(n: Column, target: Column) -> Column:
 def rebalanced(rows: DataFrame, group: str, order: str) -> DataFrame:
     """rows so that each group has the same number (the first groups one more), all together as many as before.
 
-    Only counts per group and their ranks are gathered in one order; rows meet their copies by an equi-join on their index.
+    Groups are ranked by ranges, without a window over all; rows meet their copies by an equi-join on their index. A null group
+    is left out; an empty table gives an empty one.
     """
-    counts = rows.groupBy(group).agg(F.count(F.lit(1)).alias("_n"))
-    totals = counts.agg(F.sum("_n").alias("_rows"), F.count(F.lit(1)).alias("_groups"))
-    # the remainder goes to the first groups in order: as many as the remainder, found without a global sort of rows
-    first = counts.select(group, F.row_number().over(Window.orderBy(group)).alias("_rank"), "_n")
-    planned = first.crossJoin(F.broadcast(totals)).withColumn("_target", F.floor(F.col("_rows") / F.col("_groups")) + F.when(F.col("_rank") <= F.col("_rows") % F.col("_groups"), 1).otherwise(0))
+    counts = rows.where(F.col(group).isNotNull()).groupBy(group).agg(F.count(F.lit(1)).alias("_n"))
+    first, groups = ranked(counts, group, name="_rank")
+    total = first.agg(F.sum("_n")).first()[0] or 0
+    base, more = divmod(total, max(groups, 1))
+    planned = first.withColumn("_target", F.lit(base).cast("long") + F.when(F.col("_rank") < more, 1).otherwise(0))
     places = planned.select(group, F.posexplode(resampled_index(F.col("_n"), F.col("_target"))).alias("place", "_i"))
     indexed = rows.withColumn("_i", (F.row_number().over(Window.partitionBy(group).orderBy(order)) - 1).cast("long"))
     return places.join(indexed, [group, "_i"]).drop("_i")

@@ -33,7 +33,7 @@ def divpo_rows(candidates: DataFrame, config: PairConfig, scope: str = "task") -
     """One pair a state; all wins take part, however often they repeat themselves."""
     scored = divpo.with_diversity(candidates, scope)
     wins, losses = scored.where("is_win"), scored.where("not is_win")
-    every = pairs.win_lose(wins, losses, config.usable)
+    every = pairs.win_lose(divpo.leading(wins, True), divpo.leading(losses, False), config.usable)  # four pairs a state at most
     if config.pseudo_pairs:
         every = every.unionByName(pairs.base_and_alternative(wins, config.usable))
     return divpo.select(every)

@@ -3,9 +3,10 @@
 from __future__ import annotations
 
 import tempfile
+import uuid
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .functions import casts, outcomes, text
@@ -394,13 +395,19 @@ def alt_sample_random(spark, d):
     return rows.select("trajectory_id", F.array_join(pt.random_alternatives(moves, F.col("action_text"), F.lit(3), F.col("trajectory_id")), ",").alias("alternatives"))
 
 
-@query()
+@query("SELECT trajectory_id, CAST(CAST('0x' || substr(sha1('seed' || chr(10) || '<SEP>' || chr(10) || trajectory_id), 1, 16) AS UBIGINT) AS VARCHAR) AS seed FROM traj")
 def stable_seed(spark, d):
     rows = ev.trajectories(_steps(spark, d))
     return rows.select("trajectory_id", text.stable_int(F.lit("seed"), F.col("trajectory_id")).cast("string").alias("seed"))
 
 
-@query()
+STEPS_OF = """CASE WHEN n_steps < 2 THEN [] WHEN n_steps - 1 <= 5 THEN range(1, n_steps)
+  ELSE list_sort(list_distinct([1, n_steps - 1, CAST(round_even((n_steps - 2) / 4.0, 0) AS BIGINT) + 1, CAST(round_even(2 * (n_steps - 2) / 4.0, 0) AS BIGINT) + 1, CAST(round_even(3 * (n_steps - 2) / 4.0, 0) AS BIGINT) + 1])) END"""
+
+
+@query(f"""+ds AS (SELECT trajectory_id, task_slug, week, unnest({STEPS_OF}) AS divergence_step FROM traj)
+SELECT trajectory_id, divergence_step, sha1(any_value(ds.task_slug) || chr(10) || '<SEP>' || chr(10) || any_value(ds.week) || chr(10) || '<SEP>' || chr(10) || '[' || string_agg('"' || action || '"', ', ' ORDER BY step) || ']') AS state_key
+  FROM ds JOIN step USING (trajectory_id) WHERE step < divergence_step GROUP BY trajectory_id, divergence_step""")
 def state_key(spark, d):
     """Each trajectory at each of its divergence steps: all actions before the step, its task and, as its seed, its week."""
     steps = _steps(spark, d)
@@ -456,8 +463,7 @@ def pair_records(spark, d):
 @query("WITH n AS (SELECT (SELECT count(*) FROM supplier) AS a, (SELECT count(*) FROM nation) AS b) SELECT i AS place, s_suppkey, n_nationkey FROM (SELECT unnest(range(greatest(a, b))) AS i, a, b FROM n) JOIN (SELECT s_suppkey, row_number() OVER (ORDER BY s_suppkey) - 1 AS si FROM supplier) ON si = i % a JOIN (SELECT n_nationkey, row_number() OVER (ORDER BY n_nationkey) - 1 AS ni FROM nation) ON ni = i % b", with_steps=False)
 def balanced_zip(spark, d):
     def indexed(name, key):
-        rows = branching.shards(_table(spark, d, name).select(key), key, 1).drop("worker")
-        return rows.withColumn("i", (F.row_number().over(Window.orderBy(key)) - 1).cast("long"))
+        return branching.ranked(_table(spark, d, name).select(key), key, name="i")[0]
 
     met = zip_rows(indexed("supplier", "s_suppkey"), indexed("nation", "n_nationkey"))
     return met.select("place", F.col("a_s_suppkey").alias("s_suppkey"), F.col("b_n_nationkey").alias("n_nationkey"))
@@ -548,15 +554,22 @@ def instruction_queries(spark, d):
     return _table(spark, d, "benchmark").select("item_id", F.array_join(text.search_queries(F.col("text")), "|").alias("queries"))
 
 
-@query()
+@query(f"""+{BRANCH} SELECT task_slug, base_traj_id, divergence_step, alt_index, arg_max(coalesce(status, ''), ord) AS status, max(ord) AS ord FROM br GROUP BY ALL""")
 def stream_resume(spark, d):
     """The branch ledger fed as a stream of files; the same rows as one merge of all records."""
-    from .streaming.ledger import keep_ledger, records
+    from .streaming.ledger import holding, keep_ledger, records
 
-    root = (spark.conf.get("spark.checkpoint.dir", None) or tempfile.gettempdir()).rstrip("/") + "/tracewright-ledger-" + spark.sparkContext.applicationId + f"-{abs(hash(d))}"
+    root = f"{_own_folder(spark)}/ledger-{uuid.uuid4().hex}"
     rows = _branches(spark, d).select("task_slug", "base_traj_id", "divergence_step", F.col("alt_index"), F.coalesce("status", F.lit("")).alias("status"), "ord")
-    rows.write.mode("overwrite").json(f"{root}/in")
+    rows.write.json(f"{root}/in")
     query_ = keep_ledger(records(spark, f"{root}/in", rows.schema), f"{root}/ledger", f"{root}/checkpoint")
     query_.awaitTermination()
-    states = spark.read.parquet(f"{root}/ledger")
-    return states.where(F.col("state") == states.agg(F.max("state")).first()[0]).drop("state")
+    return holding(spark, f"{root}/ledger")
+
+
+def _own_folder(spark: SparkSession) -> str:
+    """A folder that driver and executors share: under spark.checkpoint.dir; only a session in one local process may do without."""
+    found = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
+    if not found and not spark.sparkContext.master.startswith("local[") and spark.sparkContext.master != "local":
+        raise ValueError("spark.checkpoint.dir must name a folder that the driver and all executors share")
+    return (found or tempfile.gettempdir()).rstrip("/")
