@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..functions.text import flatten
 from .candidates import STATE
 
 OBSERVED, PSEUDO = "observed_win_lose", "pseudo_base_alt_win_length"
@@ -72,6 +73,21 @@ def pair_rows(pairs: DataFrame, pair_type: str) -> DataFrame:
     return pairs.select(F.lit(pair_type).alias("pair_type"), "pair_semantics", F.col("chosen.task_slug").alias("task_slug"), *STATE, kind.alias("pair_origin"), *side("chosen"), *side("rejected"))
 
 
+def whole_rows(pairs: DataFrame, pair_type: str, quality: str = "max_same_obs_action", ranking: str | None = None) -> DataFrame:
+    """Pairs of candidates.at_states with all their 24 columns: lineage, scores, the chosen side's prompt, and both sides nested.
+
+    ranking: the column of both sides that pairs are ranked by, if any.
+    """
+    two = lambda c, name=None: [F.col(f"{s}.{c}").alias(f"{s}_{name or c}") for s in ("chosen", "rejected")]
+    side = lambda s: F.struct(F.col(f"{s}.response_text").alias("action_text"), F.col(f"{s}.is_win").alias("success"), F.col(f"{s}.terminal_progression").alias("progress")).alias(s)
+    ranks = two(ranking, "ranking_score") if ranking else [F.lit(None).cast("double").alias(f"{s}_ranking_score") for s in ("chosen", "rejected")]
+    return pairs.select(
+        F.lit(pair_type).alias("pair_type"), "pair_semantics", F.col("chosen.task_id").alias("task_id"), *STATE,
+        origin(F.col("chosen.trajectory_kind"), F.col("rejected.trajectory_kind")).alias("pair_origin"), *two("seed"), *two("trajectory_id"), *two("trajectory_kind"), *two("source_trace"),
+        F.lit(quality).alias("quality_score_name"), *two("quality_score"), F.lit(ranking).cast("string").alias("ranking_score_name"), *ranks, flatten(F.col("chosen.prompt")).alias("prompt"), side("chosen"), side("rejected"),
+    )
+
+
 def balancing_weights(rows: DataFrame, state: list[str] = STATE, weight: str = "pair_weight") -> DataFrame:
     """rows with a weight that gives each state the same sum, and all rows the mean 1.
 

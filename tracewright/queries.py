@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 
 from .functions import casts, outcomes, text
 from .functions import python_text as pt
-from .operators import artifacts, branching, checks, divpo, diversity, episodes, pairs, resume, sft, targets
+from .operators import artifacts, branching, checks, divpo, diversity, episodes, pairs, planning, records, resume, sft, shopping, targets, trace_rows
 from .operators import candidates as cand
 from .operators.zip import balanced_zip as zip_rows
 from .plans import pair_datasets
@@ -554,6 +554,120 @@ def instruction_queries(spark, d):
     return _table(spark, d, "benchmark").select("item_id", F.array_join(text.search_queries(F.col("text")), "|").alias("queries"))
 
 
+SHOWN = "'go on' || chr(10) || chr(10) || 'Current Observation:' || chr(10) || s.obs_pre || chr(10) || chr(10) || 'Your response should use the following format:' || chr(10) || chr(10) || 'Thought: <your thoughts>' || chr(10) || 'Action: <your next action>'"
+
+
+@query(f"""+{STATES} SELECT family_id, divergence_step, state_key, c.trajectory_id AS chosen_trajectory_id, r.trajectory_id AS rejected_trajectory_id, c.trajectory_kind AS chosen_trajectory_kind, r.trajectory_kind AS rejected_trajectory_kind,
+  'win_lose' AS pair_type, 'observed_win_lose' AS pair_semantics, c.task_slug AS task_id, CASE WHEN 'base' IN (c.trajectory_kind, r.trajectory_kind) THEN 'base-alt' ELSE 'alt-alt' END AS pair_origin,
+  c.trajectory_id AS chosen_source_trace, r.quality_score AS rejected_quality_score, sha256({SHOWN}) AS prompt_sha256, 'Action: ' || c.action_text AS chosen_text, 'Action: ' || r.action_text AS rejected_text, c.is_win AS chosen_success, r.is_win AS rejected_success
+  FROM sg c JOIN sc r USING (family_id, divergence_step, state_key) JOIN step s ON s.trajectory_id = family_id AND s.step = divergence_step WHERE NOT r.is_win AND NOT (c.trajectory_kind = 'base' AND r.trajectory_kind = 'base')""")
+def branch_pair_rows(spark, d):
+    rows = _at_states(spark, d)
+    flat = pairs.whole_rows(pairs.win_lose(pairs.good_wins(rows, MOST_REPEATS), rows.where("not is_win")), "win_lose")
+    return flat.select(
+        *cand.STATE, "chosen_trajectory_id", "rejected_trajectory_id", "chosen_trajectory_kind", "rejected_trajectory_kind", "pair_type", "pair_semantics", "task_id", "pair_origin", "chosen_source_trace", "rejected_quality_score",
+        F.sha2("prompt", 256).alias("prompt_sha256"), F.col("chosen.action_text").alias("chosen_text"), F.col("rejected.action_text").alias("rejected_text"), F.col("chosen.success").alias("chosen_success"), F.col("rejected.success").alias("rejected_success"),
+    )
+
+
+def _trace_rows(spark, d):
+    traces = ev.traces(_steps(spark, d)).where("trajectory_kind = 'base'")
+    return trace_rows.rows_from_calls(traces, outcomes.by_progression(F.col("last.progression")), success_only=True), traces
+
+
+WON = "won AS (SELECT t.trajectory_id, t.task_slug, t.n_steps, t.terminal_reward FROM traj t WHERE trajectory_kind = 'base' AND terminal_progression >= 1)"
+
+
+@query(f"+{WON} SELECT trajectory_id, w.task_slug AS task_id, s.step AS episode_step, s.action AS action_text, 'Action: ' || s.action AS completion, sha256({SHOWN}) AS prompt_sha256, w.n_steps AS trajectory_total_steps, w.terminal_reward AS trajectory_total_reward FROM won w JOIN step s USING (trajectory_id)")
+def sft_trace_rows(spark, d):
+    rows, _ = _trace_rows(spark, d)
+    return rows.select("trajectory_id", "task_id", "episode_step", "action_text", F.col("completion")[0]["content"].alias("completion"), F.sha2(text.flatten(F.col("prompt")), 256).alias("prompt_sha256"), "trajectory_total_steps", "trajectory_total_reward")
+
+
+@query(f"+{WON}, b AS (SELECT t.task_slug AS task, w.n_steps AS n FROM traj t LEFT JOIN won w USING (trajectory_id) WHERE t.trajectory_kind = 'base') SELECT coalesce(task, 'all') AS task, count(n) AS trajectory_count, count(*) FILTER (n IS NULL) AS skipped, CAST(coalesce(sum(n), 0) AS BIGINT) AS output_rows FROM b GROUP BY ROLLUP (task)")
+def sft_trace_stats(spark, d):
+    rows, traces = _trace_rows(spark, d)
+    return trace_rows.task_counts(rows, traces).withColumn("task", F.coalesce("task", F.lit("all")))
+
+
+@query(f"+{WON} SELECT CAST(sum(n_steps) AS BIGINT) AS row_count, count(*) AS family_count, count(*) AS trajectory_count, 2 AS max_prompt_messages, 1 AS max_completion_messages FROM won")
+def sft_trace_summary(spark, d):
+    return trace_rows.summary(_trace_rows(spark, d)[0])
+
+
+MOVE = "['idle', 'up', 'down', 'right', 'left']"
+
+
+def _jobs(spark, d):
+    steps = _steps(spark, d)
+    bases = ev.trajectories(steps).where("trajectory_kind = 'base'").withColumn("is_success", outcomes.by_progression(F.col("terminal_progression")))
+    bases = planning.bases_to_branch(bases, success_only=True).join(diversity.sequences(steps), "trajectory_id")
+    moves = F.array(*(F.lit(m) for m in ("idle", "up", "down", "right", "left")))
+    return planning.jobs(bases, branching.uniform_steps(F.col("n_steps"), 5), planning.other_actions(moves, F.col("base_action"), 3))
+
+
+PLAN = f"""ds AS (SELECT trajectory_id, task_slug, unnest({STEPS_OF}) AS divergence_step FROM traj WHERE trajectory_kind = 'base' AND terminal_progression >= 1),
+js AS (SELECT ds.*, s.action AS base_action, list_filter({MOVE}, lambda a: a <> s.action)[1:3] AS others FROM ds JOIN step s ON s.trajectory_id = ds.trajectory_id AND s.step = divergence_step),
+job AS (SELECT task_slug, trajectory_id AS base_traj_id, divergence_step, unnest(range(len(others))) AS alt_index, base_action, unnest(others) AS alt_action FROM js)"""
+
+
+@query(f"""+{PLAN} SELECT j.task_slug, base_traj_id, divergence_step, alt_index, base_action, alt_action, format('{{}}__dtc_d{{:02d}}_a{{:02d}}', base_traj_id, divergence_step, alt_index) AS alt_traj_id, string_agg(s.action, '>' ORDER BY s.step) AS prefix
+  FROM job j JOIN step s ON s.trajectory_id = base_traj_id AND s.step < divergence_step GROUP BY ALL""")
+def branch_plan(spark, d):
+    return planning.in_order(_jobs(spark, d), planning.JOB_ORDER).withColumn("prefix", F.array_join("prefix_actions", ">")).drop("prefix_actions")
+
+
+ROUND = "rec AS (SELECT *, CASE (divergence_step + alt_index) % 4 WHEN 0 THEN 'generated' WHEN 1 THEN 'retry_exhausted' WHEN 2 THEN 'worker_exception' END AS status FROM job)"
+
+
+@query(f"+{PLAN}, {ROUND} SELECT task_slug, base_traj_id, divergence_step, alt_index, CASE WHEN status IS NULL THEN 1 ELSE 2 END AS job_attempt FROM rec WHERE status IS NULL OR status <> 'generated'")
+def retry_round(spark, d):
+    plan = _jobs(spark, d)
+    k = (F.col("divergence_step") + F.col("alt_index")) % 4
+    tried = plan.select(*resume.KEY, F.when(k == 0, "generated").when(k == 1, "retry_exhausted").when(k == 2, "worker_exception").alias("status"), F.lit(True).alias("files_exist"), F.lit(1).alias("ord"))
+    return planning.next_round(plan.select(resume.KEY), tried, 2)
+
+
+@query(f"+{BRANCH} SELECT task_slug, count(*) AS records, count(*) FILTER (status = 'generated') AS generated, count(*) FILTER (status = 'replay_mismatch') AS replay_mismatch, count(*) FILTER (status = 'retry_exhausted') AS retryable, count(*) FILTER (status IS NULL) AS unknown FROM br GROUP BY task_slug")
+def branch_status(spark, d):
+    return planning.by_status(_branches(spark, d), ["task_slug"])
+
+
+@query("SELECT t.trajectory_id, string_agg(action, '>' ORDER BY step) FILTER (NOT done) AS history, (SELECT count(DISTINCT action) FROM step x WHERE x.trajectory_id = t.trajectory_id AND NOT x.done) AS reasons, arg_max(action, step) FILTER (NOT done) AS last_failure FROM step t WHERE NOT done GROUP BY t.trajectory_id")
+def failure_history(spark, d):
+    found = planning.failure_fields(_steps(spark, d).where("not done"), ["trajectory_id"], "step", "action")
+    return found.select("trajectory_id", F.array_join("failure_history", ">").alias("history"), F.size("failure_counts").cast("long").alias("reasons"), "last_failure")
+
+
+@query("SELECT week, count(*) AS episodes, count(*) FILTER (terminal_progression >= 1) AS successes, round(count(*) FILTER (terminal_progression >= 1) / count(*), 9) AS success_rate FROM traj GROUP BY week")
+def success_rates(spark, d):
+    rows = ev.trajectories(_steps(spark, d)).withColumn("is_success", outcomes.by_progression(F.col("terminal_progression")))
+    return records.successes(rows, ["week"]).withColumn("success_rate", F.round("success_rate", 9))
+
+
+@query(f"+{BRANCH} SELECT alt_traj_id, CASE WHEN status IS NULL THEN state_key ELSE 'go on' || chr(10) || chr(10) || coalesce(s.obs_pre, 0) END AS prompt FROM br JOIN traj b ON b.trajectory_id = base_traj_id LEFT JOIN step s ON s.trajectory_id = base_traj_id AND s.step = divergence_step WHERE status IS NULL OR s.step IS NOT NULL")
+def branch_prompts(spark, d):
+    steps = _steps(spark, d)
+    sizes = ev.trajectories(steps).where("trajectory_kind = 'base'").select(F.col("trajectory_id").alias("base_traj_id"), F.col("n_steps").alias("size"))
+    sets = _branches(spark, d).join(sizes, "base_traj_id").where("status is null or divergence_step < size")
+    known = sets.withColumn("base_traj_id", F.when(F.col("status").isNull(), F.lit("none")).otherwise(F.col("base_traj_id")))
+    return records.with_prompts(known, ev.traces(steps).where("trajectory_kind = 'base'")).select("alt_traj_id", "prompt")
+
+
+@query("SELECT event_id, CASE WHEN event_id % 3 = 0 THEN event_id % 7 ELSE event_id // 100 END AS session, value > 40 OR event_type = 'purchase' AS paid FROM events", with_steps=False)
+def shop_sessions(spark, d):
+    n = F.col("event_id")
+    return _table(spark, d, "events").select("event_id", shopping.session_id(F.when(n % 3 == 0, n % 7), n).alias("session"), shopping.is_terminal_or_paid(F.col("value") - 40, F.col("event_type") == "purchase").alias("paid"))
+
+
+@query("SELECT conv_id, turn, CASE WHEN text IS NULL THEN 0 ELSE strpos(reverse('Action: ' || text), ':noitcA') - 1 END AS behind FROM conversations", with_steps=False)
+def loss_spans(spark, d):
+    said = F.concat(F.lit("Action: "), "text")
+    start = trace_rows.loss_start(F.concat(F.lit("prompt "), said), F.lit("prompt "), action_only=True)
+    rows = _table(spark, d, "conversations")
+    return rows.select("conv_id", "turn", F.when(F.col("text").isNull(), 0).otherwise(F.length(said) + 7 - start - 7).cast("long").alias("behind"))
+
+
 @query(f"""+{BRANCH} SELECT task_slug, base_traj_id, divergence_step, alt_index, arg_max(coalesce(status, ''), ord) AS status, max(ord) AS ord FROM br GROUP BY ALL""")
 def stream_resume(spark, d):
     """The branch ledger fed as a stream of files; the same rows as one merge of all records."""
