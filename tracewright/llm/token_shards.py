@@ -38,7 +38,7 @@ MAGIC = b"TOKSST01"
 FOOTER = struct.Struct("<QQQQQQB8s")
 BLOCK_BYTES = 1 << 18
 BITS_PER_KEY, PROBES = 10, 7
-MOST_PIECES = 500_000
+MOST_PIECES = 900_000
 #: Bytes of input for a shard.
 SHARD_BYTES = 256 << 20
 #: Marks that a piece may end with.
