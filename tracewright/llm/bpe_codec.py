@@ -22,7 +22,7 @@ from .common import calm, gathered, slices, units
 from .wordbpe import BITS, MASK, NONE, WordBPE, load
 
 #: Bytes of text over which one index reaches.
-SEGMENT = 32 << 20
+SEGMENT = 16 << 20
 
 
 class PairIndex:
