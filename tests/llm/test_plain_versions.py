@@ -316,3 +316,11 @@ def test_url_threshold_parts_labelled_rows_best(spark, seed):
     step = 20 / url_filter.BINS
     assert gain(best) >= max(gain(np.floor(v / step) * step + k * step) for v, _ in rows for k in (0, 1)) - 1e-9
     assert url_filter.threshold(spark.createDataFrame(rows[:0], "value double, allowed boolean")) == 0.0
+
+
+def test_the_planner_knows_the_size_of_files_alone(spark):
+    from tracewright.llm.common import input_bytes, table
+
+    files = table(spark, "/root/testdata/sf0.01", "documents")
+    assert 100_000 < input_bytes(files) < 100_000_000
+    assert input_bytes(spark.createDataFrame([(1, "x")], "doc_id bigint, text string")) == 0

@@ -77,7 +77,7 @@ def fit_partitions(spark: SparkSession) -> int:
 
 def input_bytes(df: DataFrame) -> int:
     """The planner's estimate of df's size, from the sizes of its files; 0 where it knows none."""
-    found = int(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes().toString())
+    found = int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
     return found if found < 1 << 60 else 0
 
 
