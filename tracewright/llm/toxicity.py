@@ -33,7 +33,8 @@ LEAST_Z, LEAST_COUNT = 4.0, 3
 PRIOR, GAP = 5_000.0, -0.08
 #: A segment is significant if harmless text of that length holds one in fewer than this many cases.
 SIGNIFICANT = 0.05
-MOST_COUNTED = 400_000
+#: Words that a memo of their worth holds, and distinct words counted before their units are.
+MOST_COUNTED, MOST_WORDS = 400_000, 100_000
 
 tokens = re.compile(r"[^\W\d_]+").findall
 
@@ -43,6 +44,17 @@ def units(word: str) -> list[str]:
     return [word, *(f"{word[:k]}-" for k in range(3, min(9, len(word))))]
 
 
+def of_units(words: Counter) -> Counter:
+    """Counts of units from counts of words; '' has the sum over words."""
+    found = Counter()
+    for w, n in words.items():
+        for u in units(w):
+            found[u] += n
+    if words:
+        found[""] = words.total()
+    return found
+
+
 def segments(hits: list[tuple[int, float]], gap: float = GAP) -> list[tuple[int, int, float]]:
     """All maximal scoring segments as (first, last, score), in order; hits: positions with positive scores.
 
@@ -115,17 +127,14 @@ def _labelled_counts(docs: DataFrame, chosen: DataFrame, key: str, text: str) ->
         toxic, other = Counter(), Counter()
 
         def out() -> pa.RecordBatch:
-            words = list(toxic.keys() | other.keys())
-            return pa.RecordBatch.from_pydict({"word": pa.array(words, pa.string()), "y": pa.array([toxic[w] for w in words], pa.int64()), "z": pa.array([other[w] for w in words], pa.int64())})
+            y, z = of_units(toxic), of_units(other)
+            words = list(y.keys() | z.keys())
+            return pa.RecordBatch.from_pydict({"word": pa.array(words, pa.string()), "y": pa.array([y[w] for w in words], pa.int64()), "z": pa.array([z[w] for w in words], pa.int64())})
 
         for part in slices(batches, "text"):
             for label, x in zip(part.column(0).to_pylist(), part.column(1).to_pylist(), strict=True):
-                words = set(tokens(x.lower()))
-                mine = toxic if label else other
-                for w in words:
-                    mine.update(units(w))
-                mine[""] += len(words)
-            if len(toxic) + len(other) > MOST_COUNTED:
+                (toxic if label else other).update(set(tokens(x.lower())))
+            if len(toxic) + len(other) > MOST_WORDS:
                 yield out()
                 toxic.clear()
                 other.clear()
@@ -145,18 +154,21 @@ def _all_counts(docs: DataFrame, words: list[str], text: str) -> tuple[np.ndarra
     n = len(words)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        place = sent.value
-        known = Memo(lambda w: tuple(place[u] for u in units(w) if u in place), MOST_COUNTED)
-        count, total = [0] * (n + 1), 0
+        place, seen, count = sent.value, Counter(), np.zeros(n + 1, np.int64)
+
+        def add() -> None:
+            found = of_units(seen)
+            count[n] += found.pop("", 0)
+            for u in found.keys() & place.keys():
+                count[place[u]] += found[u]
+            seen.clear()
+
         for part in slices(batches, "text"):
             for x in part.column(0).to_pylist():
-                mine = set(tokens((x or "").lower()))
-                total += len(mine)
-                at = [i for w in mine for i in known[w]]
-                for i in at:
-                    count[i] += 1
-        count[n] = total
-        count = np.array(count, np.int64)
+                seen.update(set(tokens((x or "").lower())))
+            if len(seen) > MOST_WORDS:
+                add()
+        add()
         some = np.flatnonzero(count)
         yield pa.RecordBatch.from_arrays([pa.array(some, pa.int64()), pa.array(count[some], pa.int64())], names=["i", "n"])
 
