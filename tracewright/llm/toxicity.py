@@ -148,19 +148,24 @@ def _labelled_counts(docs: DataFrame, chosen: DataFrame, key: str, text: str) ->
 def _all_counts(docs: DataFrame, words: list[str], text: str) -> tuple[np.ndarray, int]:
     """Of each of these units, how many words of all documents are known by it, and how many words there are (each once a document).
 
-    Every document is counted; a partition gives one row of counts, so that what shuffles doesn't grow with the texts.
+    The units are all those of a sample with some least count. Every document is counted; a partition gives one row of counts, so that what shuffles doesn't grow with the texts.
     """
     sent = docs.sparkSession.sparkContext.broadcast({w: i for i, w in enumerate(words)})
     n = len(words)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        place, seen, count = sent.value, Counter(), np.zeros(n + 1, np.int64)
+        place, seen, count = sent.value.get, Counter(), [0] * (n + 1)
 
         def add() -> None:
-            found = of_units(seen)
-            count[n] += found.pop("", 0)
-            for u in found.keys() & place.keys():
-                count[place[u]] += found[u]
+            """A beginning that isn't asked for has no longer one that is: each stands for no more words of a sample than those before it."""
+            count[n] += seen.total()
+            for w, k in seen.items():
+                if (at := place(w)) is not None:
+                    count[at] += k
+                for end in range(3, min(9, len(w))):
+                    if (at := place(f"{w[:end]}-")) is None:
+                        break
+                    count[at] += k
             seen.clear()
 
         for part in slices(batches, "text"):
@@ -169,8 +174,9 @@ def _all_counts(docs: DataFrame, words: list[str], text: str) -> tuple[np.ndarra
             if len(seen) > MOST_WORDS:
                 add()
         add()
-        some = np.flatnonzero(count)
-        yield pa.RecordBatch.from_arrays([pa.array(some, pa.int64()), pa.array(count[some], pa.int64())], names=["i", "n"])
+        found = np.array(count, np.int64)
+        some = np.flatnonzero(found)
+        yield pa.RecordBatch.from_arrays([pa.array(some, pa.int64()), pa.array(found[some], pa.int64())], names=["i", "n"])
 
     rows = docs.select(F.col(f"`{text}`").alias("text")).mapInArrow(run, "i bigint, n bigint").groupBy("i").agg(F.sum("n").alias("n")).collect()
     count = np.zeros(n + 1, np.int64)
