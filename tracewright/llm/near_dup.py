@@ -365,7 +365,7 @@ def _tile(tiles: Column) -> Column:
     return F.pmod(F.xxhash64(*NODE), tiles).cast("int")
 
 
-def _tiles(members: str, of: int) -> Column:
+def _tiles(members: str, of: int | Column) -> Column:
     return F.greatest(F.ceil(F.col(members) / of), F.ceil(F.col("w") / TILE_HASHES)).cast("int")
 
 
@@ -380,11 +380,14 @@ def _stars(places: DataFrame) -> DataFrame:
 
 
 def _crossings(places: DataFrame, left: DataFrame) -> DataFrame:
-    """As _stars: the members that are left (side 1), in tiles, with all tiles of their place (side 0)."""
+    """As _stars: the members that are left (side 1), in tiles, with all tiles of their place (side 0).
+
+    The fewer are left, the smaller are the place's tiles, down to STAR_MEMBERS: copies of those left are as many as the members, or few.
+    """
     left = left.select("place", *NODE).distinct()
     some = left.groupBy("place").agg(F.count(F.lit(1)).alias("u"))
     sizes = places.join(_small(cut(some)), "place").groupBy("place").agg(F.count(F.lit(1)).alias("m"), F.sum("n").alias("w"), F.max("u").alias("u"))
-    sizes = _small(cut(sizes.select("place", _tiles("u", TILE_MEMBERS).alias("tiles_a"), _tiles("m", TILE_MEMBERS).alias("tiles_b"))))
+    sizes = _small(cut(sizes.select("place", _tiles("u", TILE_MEMBERS).alias("tiles_a"), _tiles("m", F.least(F.greatest("u", F.lit(STAR_MEMBERS)), F.lit(TILE_MEMBERS))).alias("tiles_b"))))
     each = lambda tiles: F.explode(F.sequence(F.lit(0), F.col(tiles) - 1))
     asking = left.join(sizes, "place").select("place", _tile(F.col("tiles_a")).alias("tile_a"), each("tiles_b").alias("tile_b"), *NODE, F.lit(1).alias("side"))
     asked = places.join(sizes, "place").select("place", each("tiles_a").alias("tile_a"), _tile(F.col("tiles_b")).alias("tile_b"), *NODE, F.lit(0).alias("side"))
