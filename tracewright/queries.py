@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 
 from .functions import casts, outcomes, text
 from .functions import python_text as pt
-from .operators import artifacts, branching, checks, divpo, diversity, episodes, pairs, planning, records, resume, sft, shopping, targets, trace_rows
+from .operators import artifacts, bases, branching, calls, checks, divpo, diversity, episodes, pairs, planning, records, resume, sft, shopping, targets, trace_rows
 from .operators import candidates as cand
 from .operators.zip import balanced_zip as zip_rows
 from .plans import pair_datasets
@@ -668,6 +668,54 @@ def loss_spans(spark, d):
     return rows.select("conv_id", "turn", F.when(F.col("text").isNull(), 0).otherwise(F.length(said) + 7 - start - 7).cast("long").alias("behind"))
 
 
+NOTICE = "'Your previous output did not contain a valid action. Defaulted to action: go' || chr(10) || chr(10) || 'Observation:'"
+
+
+@query(f"""SELECT conv_id, turn, CASE WHEN turn % 2 = 0 THEN coalesce(text, '') ELSE '' END AS clean, CASE WHEN turn % 2 = 0 THEN {NOTICE} ELSE '' END AS notice, false AS changed FROM conversations""", with_steps=False)
+def notices(spark, d):
+    rows = _table(spark, d, "conversations")
+    seen = F.when(F.col("turn") % 2 == 0, calls.with_notice(F.col("text"), F.lit("go"))).otherwise(F.coalesce("text", F.lit("")))
+    parts = calls.split_notice(seen)
+    return rows.select("conv_id", "turn", parts["clean"].alias("clean"), parts["notice"].alias("notice"), calls.is_changed(seen, F.col("text")).alias("changed"))
+
+
+@query("""SELECT event_id, CASE WHEN event_type = 'signup' THEN 'retry_exhausted' WHEN event_type = 'click' THEN 'cap_hit' WHEN event_type = 'purchase' OR event_id % 2 = 1 THEN 'invalid_action' END AS reason,
+  CASE WHEN event_type = 'view' THEN 'timeout' WHEN event_id % 3 = 0 THEN 'connection' END AS failure FROM events""", with_steps=False)
+def response_failures(spark, d):
+    kind, n = F.col("event_type"), F.col("event_id")
+    stop = F.when(kind == "signup", "Error-Max Retries").when(kind == "click", " finish: max tokens").when(kind == "purchase", "empty-response").when(kind == "view", "stop")
+    failed = calls.retryable_failure(F.lit("net.Reset"), F.when(n % 3 == 0, 503).otherwise(400), F.when(kind == "view", "Read timed out"), ["net.Lost"], [502, 503])
+    return _table(spark, d, "events").select("event_id", calls.abort_reason(stop, F.when(n % 2 == 0, "x").otherwise(" ")).alias("reason"), failed.alias("failure"))
+
+
+@query("""SELECT trajectory_id, step, CASE WHEN turn_action IN ('turn left', 'turn right') THEN turn_action ELSE 'go forward' END AS action, turn_action NOT IN ('turn left', 'turn right') AS missed,
+  CASE WHEN turn_action IN ('turn left', 'turn right') THEN 5 ELSE 6 END AS others FROM step""")
+def valid_actions(spark, d):
+    space = calls.action_space(F.lit("BabyAI"), F.lit(None).cast("string"))
+    found = calls.taken(F.col("turn_action"), space, F.lit("go forward"))
+    return _steps(spark, d).select("trajectory_id", "step", found["action"].alias("action"), found["missed"].alias("missed"), F.size(calls.without(space, F.array("turn_action"))).alias("others"))
+
+
+@query("SELECT conv_id, turn, 'Action: ' || CASE WHEN strpos(reverse(text), ':noitcA') > 0 THEN trim(right(text, strpos(reverse(text), ':noitcA') - 1)) ELSE CAST(turn AS VARCHAR) END AS scored FROM conversations WHERE text IS NOT NULL AND strpos(text, 'Action:') = 0", with_steps=False)
+def scored_texts(spark, d):
+    rows = _table(spark, d, "conversations").where("text is not null and instr(text, 'Action:') = 0")
+    return rows.select("conv_id", "turn", calls.scored_text(F.concat(F.lit("Action: no\n"), "text", F.lit("\nAction: "), F.col("turn").cast("string"), F.lit(" ")), action_only=True).alias("scored"))
+
+
+@query("SELECT trajectory_id AS episode_id, CAST(step AS INT) AS step, 'go on' AS instruction, CAST(obs_pre AS VARCHAR) AS observation_pre, action AS action_model, action AS action_executed, reward, progression, done AS terminated, done, false AS won, 0 AS input_tokens FROM step WHERE trajectory_kind = 'base'")
+def trace_step_rows(spark, d):
+    found = calls.step_rows(ev.traces(_steps(spark, d)).where("trajectory_kind = 'base'"))
+    return found.select("episode_id", "step", "instruction", "observation_pre", "action_model", "action_executed", "reward", "progression", "terminated", "done", "won", "input_tokens")
+
+
+@query("SELECT trajectory_kind AS source, task_slug, count(*) AS trajectories, count(*) FILTER (terminal_progression >= 1) AS wins, CAST(sum(n_steps) AS BIGINT) AS actions FROM traj GROUP BY ALL")
+def pooled_bases(spark, d):
+    steps = _steps(spark, d)
+    rows = ev.trajectories(steps).withColumn("is_success", outcomes.by_progression(F.col("terminal_progression"))).join(diversity.sequences(steps), "trajectory_id")
+    both = bases.pooled({k: rows.where(F.col("trajectory_kind") == k) for k in ("base", "alt")})
+    return bases.counts(both, ["source", "task_slug"])
+
+
 @query(f"""+{BRANCH} SELECT task_slug, base_traj_id, divergence_step, alt_index, arg_max(coalesce(status, ''), ord) AS status, max(ord) AS ord FROM br GROUP BY ALL""")
 def stream_resume(spark, d):
     """The branch ledger fed as a stream of files; the same rows as one merge of all records."""
