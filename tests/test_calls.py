@@ -49,3 +49,45 @@ def test_bases(spark):
     assert {r.episode_id: r.trace_path for r in found.collect()} == {"e1": "/a", "e2": None}
     with pytest.raises(ValueError, match="no pairs"):
         bases.training_records(runs, None, "other")
+
+
+def test_thought():
+    from tracewright.functions.python_text import thought_alone
+
+    assert [thought_alone(x) for x in (None, " ", "THOUGHT : a\nb", "just this\nnot that", "Thought: x\nAction: go")] == ["", "", "a\nb", "just this", "x"]
+
+
+def test_resume_request():
+    from tracewright.operators.resume import check_request
+
+    check_request({"a": 1, "resume": True, "num_workers": 2}, {"a": 1})
+    with pytest.raises(ValueError, match="a, b"):
+        check_request({"a": 1, "b": None}, {"a": 2})
+
+
+def test_shuffled(spark):
+    from tracewright.operators.sft import shuffled
+
+    rows = spark.range(200)
+    one, again, other = ([r.id for r in shuffled(rows.repartition(n), ["id"], "s", e).collect()] for n, e in ((3, 0), (7, 0), (3, 1)))
+    assert one == again != other and sorted(one) == sorted(other) == list(range(200))
+
+
+def test_signed(spark):
+    from tracewright.operators.shopping import signed
+
+    rows = spark.createDataFrame([("a", True, ""), ("b", False, ""), ("c", True, "x")], "trajectory_id string, is_success boolean, signature string")
+    with pytest.raises(ValueError, match="1 successes without a purchase signature: a"):
+        signed(rows)
+    assert signed(rows.where("signature <> ''")).count() == 1
+
+
+def test_ways(spark):
+    from tracewright.operators.diversity import ways
+
+    rows = spark.createDataFrame([("t", 0, "up", "turn left"), ("t", 1, "up", "turn right")], "trajectory_id string, step int, action string, turn_action string")
+    assert ways(rows, "none").first().actions == ["up", "up"]
+    assert ways(rows).count() == 1
+    for rule in ("babaisai_noop_loop_prune", "other"):
+        with pytest.raises(ValueError, match=rule):
+            ways(rows, rule)

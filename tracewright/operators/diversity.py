@@ -30,6 +30,19 @@ def sequences(steps: DataFrame, action: str = "action", keep: Column | None = No
     return rows.select(trajectory, F.transform("s", lambda x: x[action]).alias("actions"))
 
 
+def ways(steps: DataFrame, rule: str = "babyai_turn_noise") -> DataFrame:
+    """trajectory_id and actions, its way by a rule: all actions, those that turns leave, or those that loops leave."""
+    if rule in ("none", "babaisai_raw"):
+        return sequences(steps)
+    if rule == "babyai_turn_noise":
+        return sequences(prune_turns(steps), "turn_action", F.col("keep"))
+    if rule != "babaisai_noop_loop_prune":
+        raise ValueError(f"no rule {rule}")
+    if lacking := [c for c in ("obs_pre", "obs_post", "final") if c not in steps.columns]:
+        raise ValueError(f"{rule} needs rows of step files with {', '.join(lacking)}")
+    return prune_loops(steps).select("trajectory_id", "actions")
+
+
 def prune_loops(steps: DataFrame, trajectory: str = "trajectory_id", order: str = "step", action: str = "action") -> DataFrame:
     """trajectory, actions and removed: steps without effect go, and so do two moves that undo each other.
 

@@ -43,3 +43,14 @@ def merged(in_flight: DataFrame, index: DataFrame, key: list[str] = KEY, order:
 
 def all_retryable(statuses: Column) -> Column:
     return (F.size(statuses) > 0) & F.forall(statuses, lambda s: s.isin(*RETRYABLE))
+
+
+#: What of a request may differ when a run is taken up again.
+MAY_DIFFER = ["resume", "num_workers", "client_max_tokens_override", "client_timeout_override", "client_max_retries_override", "external_retry_attempts"]
+
+
+def check_request(before: dict, now: dict) -> None:
+    """An error that names what differs between the request of a run and the one that takes it up again."""
+    differs = sorted(k for k in (before.keys() | now.keys()) - set(MAY_DIFFER) if (k in before, before.get(k)) != (k in now, now.get(k)))
+    if differs:
+        raise ValueError(f"not the request of the run: {', '.join(differs)}")

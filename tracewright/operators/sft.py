@@ -58,3 +58,11 @@ def by_plan(rows: DataFrame, plan: DataFrame, index: str = "row_idx") -> DataFra
 def plan_summary(plan: DataFrame, index: str = "row_idx") -> DataFrame:
     found = plan.groupBy(index).agg(F.count(F.lit(1)).alias("c")).agg(F.sum("c").alias("plan_rows"), F.count(F.lit(1)).alias("distinct_rows"))
     return found.withColumn("reuse_ratio", F.col("plan_rows") / F.greatest("distinct_rows", F.lit(1)))
+
+
+def shuffled(rows: DataFrame, key: list[str], seed: str, epoch: int = 0) -> DataFrame:
+    """rows in an order that hangs on seed, epoch and key alone, by range partitions; another epoch, another order.
+
+    It is the order of a hash, not that of a generator that holds all rows. Rows of one key stand together.
+    """
+    return rows.orderBy(F.xxhash64(F.lit(seed), F.lit(epoch), *key), *key)

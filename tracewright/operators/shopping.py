@@ -94,6 +94,14 @@ def unsigned(episodes: DataFrame, most: int = 5) -> list[str]:
     return [r["trajectory_id"] for r in rows.select("trajectory_id").collect()]
 
 
+def signed(episodes: DataFrame) -> DataFrame:
+    """episodes, or an error that counts the successes without a purchase signature and names the first few."""
+    if names := unsigned(episodes):
+        n = episodes.where(F.col("is_success") & (F.col("signature") == "")).count()
+        raise ValueError(f"{n} successes without a purchase signature: {', '.join(names)}")
+    return episodes
+
+
 def run_summary(episodes: DataFrame, by: list[str], k: int) -> DataFrame:
     """strategy_summary with success_at_k (a success in the first k episodes by order `at`) and successes without a signature."""
     first = episodes.groupBy(*by).agg(F.max(F.col("is_success") & (F.col("at") < k)).cast("int").alias("success_at_k"), F.count_if(F.col("is_success") & (F.col("signature") == "")).alias("missing_signatures"))

@@ -668,6 +668,17 @@ def loss_spans(spark, d):
     return rows.select("conv_id", "turn", F.when(F.col("text").isNull(), 0).otherwise(F.length(said) + 7 - start - 7).cast("long").alias("behind"))
 
 
+@query("SELECT trajectory_id, string_agg(action, '>' ORDER BY step) AS way FROM step GROUP BY trajectory_id")
+def raw_ways(spark, d):
+    return diversity.ways(_steps(spark, d), "none").select("trajectory_id", F.array_join("actions", ">").alias("way"))
+
+
+@query("SELECT conv_id, turn, CASE WHEN turn % 3 = 0 THEN '' ELSE 'Thought: ' || role || chr(10) || chr(10) || 'Action: ' END || 'go ' || CAST(turn AS VARCHAR) AS said, CASE WHEN turn % 3 = 0 THEN 'go ' || CAST(turn AS VARCHAR) ELSE role END AS thought FROM conversations", with_steps=False)
+def completions(spark, d):
+    said = text.completion(F.when(F.col("turn") % 3 != 0, F.col("role")), F.concat(F.lit("go "), F.col("turn").cast("string")))
+    return _table(spark, d, "conversations").select("conv_id", "turn", said.alias("said")).withColumn("thought", pt.extract_thought("said"))
+
+
 NOTICE = "'Your previous output did not contain a valid action. Defaulted to action: go' || chr(10) || chr(10) || 'Observation:'"
 
 
