@@ -15,7 +15,7 @@ import re
 from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass
-from math import exp, log
+from math import exp, expm1, log
 
 import numpy as np
 import pyarrow as pa
@@ -103,7 +103,7 @@ class Model:
 
     def chance(self, score: float, n: int) -> float:
         """That n tokens of harmless text hold a segment of this score."""
-        return -np.expm1(-self.rate * n * exp(-min(self.decay * score, 700)))
+        return -expm1(-self.rate * n * exp(-min(self.decay * score, 700)))
 
     def passages(self, text: str) -> list[tuple[int, int, float]]:
         """Significant segments as (first token, last token, chance)."""
