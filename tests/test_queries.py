@@ -2,11 +2,11 @@
 
 import os
 
-import duckdb
 import pytest
 
 from tracewright.queries import QUERIES, SQL
 
+duckdb = pytest.importorskip("duckdb")
 DATA = "/root/testdata/sf0.001"
 
 
