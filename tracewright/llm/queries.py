@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe_codec, decontaminate, exact_dedup, line_dedup, near_dup, quality, token_counts, token_shards, toxicity, url_filter
+from . import bpe_codec, decontaminate, exact_dedup, line_dedup, merkle, near_dup, quality, token_counts, token_shards, toxicity, url_filter
 from .common import new_dir, table
 
 WORD_BPE, BYTE_BPE = "word_bpe_49k.json", "byte_bpe_50k.json"
@@ -109,8 +109,37 @@ FROM reach r LEFT JOIN total t ON t.doc_id = r.doc_id GROUP BY r.doc_id
 """
 
 
+def op11_merkle_manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    tampered = F.when(F.crc32(F.col("doc_id").cast("string")) % 2 == 0, F.replace("text", F.lit("\n"), F.lit(""))).otherwise(F.col("text"))
+    return merkle.proofs(docs, ["doc_id", "source", "lang", "n_chars", "text"], altered={"text": tampered})
+
+
+OP11_SQL = r"""
+WITH RECURSIVE crc AS (SELECT doc_id, xor(list_reduce(list_concat([4294967295::BIGINT], flatten(list_transform(string_split(CAST(doc_id AS VARCHAR), ''), lambda x: list_transform(range(8), lambda k: CAST((ascii(x) >> k) & 1 AS BIGINT))))),
+    lambda c, b: xor(c >> 1, (xor(c, b) & 1) * 3988292384)), 4294967295) % 2 = 0 AS even FROM documents),
+field AS (SELECT d.doc_id, source, strlen(CAST(d.doc_id AS VARCHAR)) || ':' || d.doc_id || coalesce(strlen(source) || ':' || source, '-') || coalesce(strlen(lang) || ':' || lang, '-') || coalesce(strlen(CAST(n_chars AS VARCHAR)) || ':' || n_chars, '-') AS head,
+    text, CASE WHEN even THEN replace(text, chr(10), '') ELSE text END AS other FROM documents d JOIN crc USING (doc_id)),
+leaf AS (SELECT doc_id, source, sha256(head || coalesce(strlen(text) || ':' || text, '-')) AS leaf, sha256(head || coalesce(strlen(other) || ':' || other, '-')) AS other, row_number() OVER (PARTITION BY source ORDER BY doc_id) - 1 AS i FROM field),
+lv(source, k, nodes) AS (SELECT source, 0, list(leaf ORDER BY i) FROM leaf GROUP BY source
+    UNION ALL SELECT source, k + 1, list_transform(range((len(nodes) + 2) // 3), lambda j: sha256(array_to_string(nodes[3 * j + 1 : 3 * j + 3], ''))) FROM lv WHERE len(nodes) > 1),
+sub AS (SELECT source, nodes[1] AS subroot, row_number() OVER (ORDER BY source NULLS FIRST) - 1 AS i FROM lv WHERE len(nodes) = 1),
+up(k, nodes) AS (SELECT 0, list(subroot ORDER BY i) FROM sub
+    UNION ALL SELECT k + 1, list_transform(range((len(nodes) + 2) // 3), lambda j: sha256(array_to_string(nodes[3 * j + 1 : 3 * j + 3], ''))) FROM up WHERE len(nodes) > 1),
+steps AS (SELECT l.doc_id, 0 AS tree, k, (l.i // CAST(pow(3, k) AS BIGINT)) AS p, nodes FROM leaf l JOIN lv ON lv.source IS NOT DISTINCT FROM l.source WHERE len(nodes) > 1
+    UNION ALL SELECT l.doc_id, 1, k, s.i // CAST(pow(3, k) AS BIGINT), nodes FROM leaf l JOIN sub s ON s.source IS NOT DISTINCT FROM l.source, up WHERE len(nodes) > 1),
+way AS (SELECT doc_id, row_number() OVER (PARTITION BY doc_id ORDER BY tree, k) AS step, array_to_string(nodes[p - p % 3 + 1 : p], '') AS l, array_to_string(nodes[p + 2 : p - p % 3 + 3], '') AS r FROM steps),
+proof AS (SELECT doc_id, sha256(string_agg(l || r, '' ORDER BY step)) AS proof_sha256 FROM way GROUP BY doc_id),
+fold(doc_id, step, h) AS (SELECT doc_id, 0, other FROM leaf UNION ALL SELECT f.doc_id, f.step + 1, sha256(l || h || r) FROM fold f JOIN way w ON w.doc_id = f.doc_id AND w.step = f.step + 1),
+last AS (SELECT doc_id, arg_max(h, step) AS folded_root FROM fold GROUP BY doc_id),
+root AS (SELECT nodes[1] AS root FROM up WHERE len(nodes) = 1)
+SELECT l.doc_id, l.leaf, s.subroot, root, coalesce(p.proof_sha256, sha256('')) AS proof_sha256, folded_root, folded_root = root AS verified
+FROM leaf l JOIN sub s ON s.source IS NOT DISTINCT FROM l.source JOIN last USING (doc_id) LEFT JOIN proof p USING (doc_id) CROSS JOIN root
+"""
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f
-    for f in (op1_token_counts, op2_url_filter, op3_exact_dedup, op4_line_dedup, op5_quality, op6_bpe_codec, op7_token_shards, op8_decontaminate, op9_toxicity, op10_jaccard_join)
+    for f in (op1_token_counts, op2_url_filter, op3_exact_dedup, op4_line_dedup, op5_quality, op6_bpe_codec, op7_token_shards, op8_decontaminate, op9_toxicity, op10_jaccard_join, op11_merkle_manifest)
 }
-SQL: dict[str, str] = {"op3_exact_dedup": OP3_SQL, "op4_line_dedup": OP4_SQL, "op8_decontaminate": OP8_SQL, "op10_jaccard_join": OP10_SQL}
+SQL: dict[str, str] = {"op3_exact_dedup": OP3_SQL, "op4_line_dedup": OP4_SQL, "op8_decontaminate": OP8_SQL, "op10_jaccard_join": OP10_SQL, "op11_merkle_manifest": OP11_SQL}
