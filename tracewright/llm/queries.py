@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe_codec, decontaminate, exact_dedup, line_dedup, merkle, near_dup, quality, token_counts, token_shards, toxicity, url_filter
+from . import bpe_codec, decontaminate, exact_dedup, fingerprints, hard_negatives, line_dedup, merkle, near_dup, quality, token_counts, token_shards, toxicity, url_filter
 from .common import new_dir, table
 
 WORD_BPE, BYTE_BPE = "word_bpe_49k.json", "byte_bpe_50k.json"
@@ -138,8 +138,28 @@ FROM leaf l JOIN sub s ON s.source IS NOT DISTINCT FROM l.source JOIN last USING
 """
 
 
+def op12_hard_negatives(spark: SparkSession, sf_dir: str) -> DataFrame:
+    label = F.when(F.col("vec_id") % 7 == 0, (F.col("label") + 1) % 10).otherwise(F.col("label"))
+    return hard_negatives.hard_negatives(table(spark, sf_dir, "embeddings"), F.col("id") % 50 == 0, label=label)
+
+
+OP12_SQL = """
+WITH vec AS (SELECT vec_id, CASE WHEN vec_id % 7 = 0 THEN (label + 1) % 10 ELSE label END AS label, list_transform(embedding, lambda x: floor(256 * CAST(x AS DOUBLE))) AS v FROM embeddings
+    WHERE label IS NOT NULL AND embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0),
+scored AS (SELECT a.vec_id AS anchor_id, r.vec_id AS other_id, a.label = r.label AS alike, CAST(list_inner_product(a.v, r.v) AS BIGINT) AS score FROM vec a, vec r WHERE a.vec_id % 50 = 0 AND a.vec_id <> r.vec_id),
+positive AS (SELECT anchor_id, other_id AS positive_id, score AS positive_score FROM scored WHERE alike QUALIFY row_number() OVER (PARTITION BY anchor_id ORDER BY score DESC, other_id) <= 5)
+SELECT p.anchor_id, positive_id, CAST(row_number() OVER w AS INTEGER) AS rank, s.other_id AS negative_id, positive_score, s.score AS negative_score
+FROM positive p JOIN scored s ON s.anchor_id = p.anchor_id AND NOT s.alike AND 50 * positive_score <= 100 * s.score AND 100 * s.score <= 95 * positive_score
+WINDOW w AS (PARTITION BY p.anchor_id, positive_id ORDER BY s.score DESC, s.other_id) QUALIFY row_number() OVER w <= 3
+"""
+
+
+def op13_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return fingerprints.next_edits(table(spark, sf_dir, "documents"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f
-    for f in (op1_token_counts, op2_url_filter, op3_exact_dedup, op4_line_dedup, op5_quality, op6_bpe_codec, op7_token_shards, op8_decontaminate, op9_toxicity, op10_jaccard_join, op11_merkle_manifest)
+    for f in (op1_token_counts, op2_url_filter, op3_exact_dedup, op4_line_dedup, op5_quality, op6_bpe_codec, op7_token_shards, op8_decontaminate, op9_toxicity, op10_jaccard_join, op11_merkle_manifest, op12_hard_negatives, op13_fingerprints)
 }
-SQL: dict[str, str] = {"op3_exact_dedup": OP3_SQL, "op4_line_dedup": OP4_SQL, "op8_decontaminate": OP8_SQL, "op10_jaccard_join": OP10_SQL, "op11_merkle_manifest": OP11_SQL}
+SQL: dict[str, str] = {"op3_exact_dedup": OP3_SQL, "op4_line_dedup": OP4_SQL, "op8_decontaminate": OP8_SQL, "op10_jaccard_join": OP10_SQL, "op11_merkle_manifest": OP11_SQL, "op12_hard_negatives": OP12_SQL}
