@@ -13,7 +13,7 @@ from __future__ import annotations
 
 import re
 from collections import Counter
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
 from dataclasses import dataclass
 from math import exp, expm1, log
 
@@ -21,13 +21,17 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
 
 from .common import Memo, cut, map_texts, slices
 from .quality import fold, platt, sampled
 
-#: Labelled rows of each class that log-odds are learnt from, at most; the prior counts all documents.
-SAMPLE = 20_000
-#: The least z-score and the least count in toxic texts of a token of the lexicon. The labelled sample alone bounds their number.
+#: Labelled rows of each class that log-odds are learnt from, at most, and bytes of their texts, half of them for each class: of
+#: more, rows are taken in the order of the sample. The prior counts all documents.
+SAMPLE, SAMPLE_BYTES = 8_000, 256 << 20
+#: The least z-score and the least count in toxic texts of a token of the lexicon. What the driver gathers are the units of
+#: the sample with that count: a word has 7 units at most, and a unit takes that many words, so they are fewer than 7/3 of the words
+#: of SAMPLE_BYTES / 2 bytes of toxic text, whatever the number of documents and labels.
 LEAST_Z, LEAST_COUNT = 4.0, 3
 #: Tokens that the prior is worth, and what a token outside the lexicon scores.
 PRIOR, GAP = 5_000.0, -0.08
@@ -44,6 +48,18 @@ def units(word: str) -> list[str]:
     return [word, *(f"{word[:k]}-" for k in range(3, min(9, len(word))))]
 
 
+class Beginnings:
+    """Whether a word can be known by any of these units: a look at its first letters, for the many that aren't."""
+
+    def __init__(self, known: Iterable[str]):
+        letters = [u.removesuffix("-") for u in known]
+        self.three, self.four = {x[:3] for x in letters if len(x) <= 3}, {x[:4] for x in letters if len(x) > 3}
+
+    def of(self, words: Iterable[str]) -> list[str]:
+        three, four = self.three, self.four
+        return [w for w in words if w[:4] in four or w[:3] in three]
+
+
 def of_units(words: Counter) -> Counter:
     """Counts of units from counts of words; '' has the sum over words."""
     found = Counter()
@@ -89,6 +105,7 @@ class Model:
 
     def __post_init__(self):
         self.worth = Memo(self._worth, MOST_COUNTED)
+        self.known = Beginnings(self.lexicon)
 
     def __reduce__(self):
         return Model, (self.lexicon, self.decay, self.rate, self.slope, self.offset)
@@ -98,8 +115,8 @@ class Model:
 
     def find(self, text: str) -> tuple[int, list[tuple[int, int, float]]]:
         """Tokens, and the maximal segments of their scores."""
-        words, worth = tokens(text.lower()), self.worth
-        return len(words), segments([(i, s) for i, w in enumerate(words) if (s := worth[w]) is not None])
+        words, worth, three, four = tokens(text.lower()), self.worth, self.known.three, self.known.four
+        return len(words), segments([(i, s) for i, w in enumerate(words) if (w[:4] in four or w[:3] in three) and (s := worth[w]) is not None])
 
     def chance(self, score: float, n: int) -> float:
         """That n tokens of harmless text hold a segment of this score."""
@@ -118,10 +135,26 @@ class Model:
         return 1 / (1 + exp(-max(-30.0, min(30.0, self.slope * self.evidence(text) + self.offset))))
 
 
-def _labelled_counts(docs: DataFrame, chosen: DataFrame, key: str, text: str) -> DataFrame:
+def _labelled(docs: DataFrame, chosen: DataFrame, key: str, text: str) -> DataFrame:
+    """key, _label, text and aside (kept for calibration) of the labelled sample, read once; SAMPLE_BYTES of text at most.
+
+    The driver looks at key and size of each, 2 * SAMPLE rows.
+    """
+    own = docs.select(F.col(f"`{key}`").alias(key), F.coalesce(F.col(f"`{text}`"), F.lit("")).alias("text"))
+    rows = cut(own.join(F.broadcast(chosen), key).withColumn("aside", F.pmod(F.xxhash64(F.lit("aside"), F.col(key)), F.lit(5)) == 0))
+    sizes = rows.groupBy(key, "_label").agg(F.sum(F.octet_length("text")).alias("b"), F.xxhash64(key).alias("o")).collect()
+    if sum(r["b"] for r in sizes) <= SAMPLE_BYTES:
+        return rows
+    left, stay = {0: SAMPLE_BYTES // 2, 1: SAMPLE_BYTES // 2}, []
+    for r in sorted(sizes, key=lambda r: (r["o"], r[key])):
+        left[r["_label"]] -= r["b"]
+        if left[r["_label"]] >= 0:
+            stay.append((r[key],))
+    return rows.join(F.broadcast(docs.sparkSession.createDataFrame(stay, StructType([rows.schema[key]]))), key)
+
+
+def _labelled_counts(rows: DataFrame) -> DataFrame:
     """word, y (in toxic texts to learn from) and z (in others to learn from); the word '' has the sums."""
-    rows = docs.select(F.col(f"`{key}`").alias("doc_id"), F.col(f"`{text}`").alias("text")).join(F.broadcast(chosen.withColumnRenamed(key, "doc_id")), "doc_id")
-    rows = rows.select("_label", F.coalesce("text", F.lit("")).alias("text"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         toxic, other = Counter(), Counter()
@@ -141,7 +174,7 @@ def _labelled_counts(docs: DataFrame, chosen: DataFrame, key: str, text: str) ->
         if toxic or other:
             yield out()
 
-    found = rows.mapInArrow(run, "word string, y bigint, z bigint").groupBy("word")
+    found = rows.select("_label", "text").mapInArrow(run, "word string, y bigint, z bigint").groupBy("word")
     return found.agg(F.sum("y").alias("y"), F.sum("z").alias("z"))
 
 
@@ -150,15 +183,14 @@ def _all_counts(docs: DataFrame, words: list[str], text: str) -> tuple[np.ndarra
 
     The units are all those of a sample with some least count. Every document is counted; a partition gives one row of counts, so that what shuffles doesn't grow with the texts.
     """
-    sent = docs.sparkSession.sparkContext.broadcast({w: i for i, w in enumerate(words)})
+    sent = docs.sparkSession.sparkContext.broadcast(({w: i for i, w in enumerate(words)}, Beginnings(words)))
     n = len(words)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        place, seen, count = sent.value.get, Counter(), [0] * (n + 1)
+        place, known, seen, count = sent.value[0].get, sent.value[1].of, Counter(), [0] * (n + 1)
 
         def add() -> None:
             """A beginning that isn't asked for has no longer one that is: each stands for no more words of a sample than those before it."""
-            count[n] += seen.total()
             for w, k in seen.items():
                 if (at := place(w)) is not None:
                     count[at] += k
@@ -170,7 +202,9 @@ def _all_counts(docs: DataFrame, words: list[str], text: str) -> tuple[np.ndarra
 
         for part in slices(batches, "text"):
             for x in part.column(0).to_pylist():
-                seen.update(set(tokens((x or "").lower())))
+                words = set(tokens((x or "").lower()))
+                count[n] += len(words)
+                seen.update(known(words))
             if len(seen) > MOST_WORDS:
                 add()
         add()
@@ -186,7 +220,7 @@ def _all_counts(docs: DataFrame, words: list[str], text: str) -> tuple[np.ndarra
 
 
 def fit(docs: DataFrame, labels: DataFrame, label: str, trains: Column, most: int = SAMPLE, key: str = "doc_id", text: str = "text") -> Model:
-    """A model of labels[label] from the rows where `trains` holds, `most` of each class at most.
+    """A model of labels[label] from the rows where `trains` holds, `most` of each class and SAMPLE_BYTES of text at most.
 
     Labels other than 0 and 1 and null keys are left out. Of a key with several texts, one is judged for calibration. Without
     both classes, every text scores the share of label 1 (1/2 without labels). Null texts count as empty.
@@ -196,38 +230,39 @@ def fit(docs: DataFrame, labels: DataFrame, label: str, trains: Column, most: in
     if len(share) < 2:
         p = (share.get(1, 0) + 0.5) / (sum(share.values()) + 1)
         return Model({}, slope=0.0, offset=log(p / (1 - p)))
-    chosen = cut(sampled(labels, label, trains, most, key))
-    aside = F.pmod(F.xxhash64(F.lit("aside"), F.col(key)), F.lit(5)) == 0
-    counted = cut(_labelled_counts(docs, chosen.where(~aside), key, text).where((F.col("y") >= LEAST_COUNT) | (F.col("word") == ""))).collect()
+    rows = _labelled(docs, sampled(labels, label, trains, most, key), key, text)
+    counted = _labelled_counts(rows.where("not aside")).where((F.col("y") >= LEAST_COUNT) | (F.col("word") == "")).collect()
     sums = next(((r["y"], r["z"]) for r in counted if not r["word"]), (0, 0))
-    counted = sorted((r["word"], r["y"], r["z"]) for r in counted if r["word"])  # as many as the labelled sample has
+    counted = sorted((r["word"], r["y"], r["z"]) for r in counted if r["word"])  # bounded by the sample's bytes
     of_all, n = _all_counts(docs, [r[0] for r in counted], text)
     weigh = log_odds(np.array([r[1] for r in counted], float), np.array([r[2] for r in counted], float), of_all, *(max(1, x) for x in (*sums, n)))
     model = Model({counted[i][0]: float(weigh.score[i]) for i in weigh.chosen})
     background = weigh.background[weigh.chosen]
     model.decay = decay(weigh.score[weigh.chosen], background)
+    # one text a key, and of each a few numbers
+    judged = rows.where("aside").groupBy(key).agg(F.max("_label").alias("_label"), F.min("text").alias("text"))
+    low = log(20) / model.decay
     sent = docs.sparkSession.sparkContext.broadcast(model)
 
-    def make():
+    def seen():
         def work(texts: list[str]) -> dict[str, list]:
             got = [sent.value.find(x) for x in texts]
-            return {"n": [g[0] for g in got], "s": [[x[2] for x in g[1]] for g in got]}
+            return {"n": [n for n, _ in got], "high": [sum(s >= low for _, _, s in found) for _, found in got]}
 
         return work
 
-    judged = map_texts(docs.select(key, text).join(F.broadcast(chosen.where(aside)), key).select(key, "_label", text), make, [key, "_label"], "n bigint, s array<double>", text)
-    judged = judged.groupBy(key).agg(F.max("_label").alias("_label"), F.min(F.struct("n", "s")).alias("g")).select("_label", "g.*").collect()  # one text a key
-    if not judged or len({r["_label"] for r in judged}) < 2:
+    clean = map_texts(judged.where("_label = 0"), seen, [], "n bigint, high bigint").agg(F.sum("n"), F.sum("high")).first()
+    model.rate = min(1.0, max(0.01, ((clean[1] or 0) + 0.5) / max(1, clean[0] or 0) * exp(model.decay * low)))
+    own = docs.sparkSession.sparkContext.broadcast(model)
+    found = map_texts(judged, lambda: lambda texts: {"x": [own.value.evidence(t) for t in texts]}, ["_label"], "x double").collect()  # 2 * SAMPLE rows at most
+    if len({r["_label"] for r in found}) < 2:
         model.slope, model.offset = 2.0, -2.0
         return model
-    low = log(20) / model.decay
-    clean = [r for r in judged if not r["_label"]]
-    seen = sum(sum(s >= low for s in r["s"]) for r in clean)
-    model.rate = min(1.0, max(0.01, (seen + 0.5) / max(1, sum(r["n"] for r in clean)) * exp(model.decay * low)))
-    own = Model({}, model.decay, model.rate)
-    x, label_of = np.array([evidence(own, r["n"], r["s"]) for r in judged]), np.array([r["_label"] for r in judged])
+    x, label_of = np.array([r["x"] for r in found]), np.array([r["_label"] for r in found])
+    by = np.lexsort((label_of, x))
+    x, label_of = x[by], label_of[by]
     counts = {c: (label_of == c).sum() for c in (0, 1)}
-    weight = np.where(label_of == 1, share[1] / counts[1], share[0] / counts[0]) / sum(share.values()) * len(judged)
+    weight = np.where(label_of == 1, share[1] / counts[1], share[0] / counts[0]) / sum(share.values()) * len(found)
     model.slope, model.offset = platt(x, label_of, weight)
     return model
 
