@@ -416,3 +416,39 @@ def test_url_values_are_the_models_mean_ratio(spark):
 
     shift = value(new[0]) - got[500]["value"]
     assert all(abs(value(u) - got[500 + k]["value"] - shift) < 1e-9 for k, u in enumerate(new))
+
+
+def test_columns_whose_names_need_quotes(spark):
+    frame = spark.createDataFrame([(1, "one two"), (2, None)], "`doc.id` bigint, `a.text` string")
+    assert pairs_of(token_counts.token_counts(frame, WORD, text="a.text"), "doc.id", "n_bytes") == Counter([(1, 7), (2, 0)])
+    coded = bpe_codec.codec_digests(frame, WORD, text="a.text", keep=["doc.id"])
+    assert pairs_of(coded, "doc.id", "n_tokens") == Counter([(1, 2), (2, 0)])
+    pages = spark.createDataFrame([(1, "http://a.org/x"), (2, None)], "page_id bigint, `the.url` string")
+    host, path, _ = url_filter.host_path(F.col("`the.url`"))
+    assert [tuple(r) for r in pages.orderBy("page_id").select(host, path).collect()] == [("a.org", "/x"), ("", "")]
+
+
+def test_drop_exact_beyond_the_broadcast(spark, monkeypatch):
+    rows = spark.createDataFrame([(i, f"text {i % 40}") for i in range(120)] + [(None, None), (500, "")], "doc_id bigint, text string").repartition(3)
+    want = Counter(tuple(r) for r in exact_dedup.drop_exact(rows).collect())
+    monkeypatch.setattr(exact_dedup, "FEW_GONE", 5)
+    assert Counter(tuple(r) for r in exact_dedup.drop_exact(rows).collect()) == want == Counter([(i, f"text {i % 40}") for i in range(80, 120)] + [(500, "")])
+
+
+def test_toxic_sample_is_bounded_by_bytes(spark, monkeypatch):
+    docs = spark.createDataFrame([(i, f"{'vile word here ' if i % 2 else 'calm word here '}{i} " * 20) for i in range(60)], "doc_id bigint, text string")
+    labels = docs.selectExpr("doc_id", "cast(doc_id % 2 as int) toxic")
+    chosen = quality.sampled(labels, "toxic", F.lit(True), 100)
+    assert toxicity._labelled(docs, chosen, "doc_id", "text").count() == 60
+    monkeypatch.setattr(toxicity, "SAMPLE_BYTES", 8_000)
+    kept = toxicity._labelled(docs, chosen, "doc_id", "text")
+    by = {r["_label"]: r["b"] for r in kept.groupBy("_label").agg(F.sum(F.octet_length("text")).alias("b")).collect()}
+    assert set(by) == {0, 1} and all(3_000 < b <= 4_000 for b in by.values())
+
+
+def test_first_letters_let_every_known_word_pass():
+    units = ["abc-", "abcd-", "xy", "word", "longer", "longe-", "été"]
+    known = toxicity.Beginnings(units)
+    words = ["abc", "abcz", "ab", "xy", "xyz", "word", "words", "wor", "longer", "longest", "lon", "été", "étéz", "none"]
+    assert {w for w in words if set(toxicity.units(w)) & set(units)} <= set(known.of(words))
+    assert "none" not in known.of(words)

@@ -18,7 +18,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.pandas.types import to_arrow_type
 from pyspark.sql.types import StructType
 
-from .common import calm, gathered, slices, units
+from .common import calm, gathered, map_arrow, slices, units
 from .wordbpe import BITS, MASK, NONE, WordBPE, load
 
 #: Bytes of text over which one index reaches.
@@ -174,7 +174,7 @@ def _map_coded(docs: DataFrame, path: str, text: str, keep: list[str], schema: s
                 yield pa.RecordBatch.from_pydict(columns | {k: v if isinstance(v, pa.Array) else pa.array(v, types[k]) for k, v in made.items()})
 
     kept = [f"`{k}` {docs.schema[k].dataType.simpleString()}" for k in keep]
-    return docs.select(*(F.col(f"`{c}`") for c in [*keep, text])).mapInArrow(run, ", ".join([*kept, schema]))
+    return map_arrow(docs.select(*(F.col(f"`{c}`") for c in [*keep, text])), run, ", ".join([*kept, schema]))
 
 
 def _lists(got: list[tuple[int, str, str, list[bytes]]]) -> pa.Array:

@@ -71,6 +71,11 @@ def cut(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
+def small(rows: DataFrame, most: int) -> DataFrame:
+    """rows, counted, and marked for broadcast while there are at most so many; rows should be kept (cut) already."""
+    return F.broadcast(rows) if rows.count() <= most else rows
+
+
 def fit_partitions(spark: SparkSession) -> int:
     return max(1, int(spark.conf.get("spark.sql.shuffle.partitions")))
 
@@ -118,6 +123,18 @@ def gathered(parts: Iterable[pa.RecordBatch], text: str, most: int) -> Iterator[
         yield held
 
 
+def map_arrow(df: DataFrame, run: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]], schema: str | StructType) -> DataFrame:
+    """df.mapInArrow, for columns of any names: that takes none with a dot."""
+    names = df.columns
+    if not any("." in c or "`" in c for c in names):
+        return df.mapInArrow(run, schema)
+
+    def named(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        return run(pa.RecordBatch.from_arrays(b.columns, names=names) for b in batches)
+
+    return df.toDF(*(f"c{i}" for i in range(len(names)))).mapInArrow(named, schema)
+
+
 def map_texts(df: DataFrame, make: Callable[[], Callable[[list[str]], dict[str, list]]], keep: list[str], schema: str, text: str = "text") -> DataFrame:
     """df[keep] and, for each row, what a per-worker function makes of the texts (null: empty), a slice at a time."""
     types = {f.name: to_arrow_type(f.dataType) for f in StructType.fromDDL(schema)}
@@ -131,7 +148,7 @@ def map_texts(df: DataFrame, make: Callable[[], Callable[[list[str]], dict[str,
             yield pa.RecordBatch.from_pydict(columns | {k: v if isinstance(v, pa.Array) else pa.array(v, types[k]) for k, v in made.items()})
 
     kept = [f"`{k}` {df.schema[k].dataType.simpleString()}" for k in keep]
-    return df.select(*(F.col(f"`{c}`") for c in [*keep, text])).mapInArrow(run, ", ".join([*kept, schema]))
+    return map_arrow(df.select(*(F.col(f"`{c}`") for c in [*keep, text])), run, ", ".join([*kept, schema]))
 
 
 _NONE = object()

@@ -19,7 +19,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import ascii_lower, cut, fresh, map_texts, slices, union
+from .common import ascii_lower, cut, fresh, map_arrow, map_texts, slices, union
 
 WORD = r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+"
 MOST_WINDOWS, MOST_BYTES = 2_000_000, 64 << 20
@@ -50,7 +50,7 @@ class Scanner:
         for item, text in items:
             for w in _windows(_words.findall(lowered(text or "")), size):
                 ids = np.array([self.word.setdefault(x, len(self.word)) for x in w], np.int64)
-                same = self.sets[len(w)].setdefault(int(self._digest(ids, len(w))[0]), [])
+                same = self.sets[len(w)].setdefault(int(self._digests_at(ids, np.zeros(1, np.int64), len(w))[0]), [])
                 found = next((s for k, s in same if k == ids.tobytes()), None)
                 if found is None:
                     same.append((ids.tobytes(), found := set()))
@@ -58,11 +58,11 @@ class Scanner:
         self.digests = {n: np.sort(np.fromiter(d, np.uint64, len(d))) for n, d in self.sets.items()}
 
     @staticmethod
-    def _digest(ids: np.ndarray, n: int) -> np.ndarray:
-        """Of each run of n ids."""
-        h = np.zeros(len(ids) - n + 1, np.uint64)
+    def _digests_at(ids: np.ndarray, at: np.ndarray, n: int) -> np.ndarray:
+        """Of the run of n ids that begins at each of these places."""
+        h = np.zeros(len(at), np.uint64)
         for k in range(n):
-            h = (h ^ ids[k : k + len(h)].astype(np.uint64)) * np.uint64(0x9E3779B97F4A7C15)
+            h = (h ^ ids[at + k].astype(np.uint64)) * np.uint64(0x9E3779B97F4A7C15)
             h ^= h >> np.uint64(29)
         return h
 
@@ -83,12 +83,12 @@ class Scanner:
             at = np.flatnonzero(known[n:] - known[:-n] == n)
             if not len(at):
                 continue
-            of = self._digest(ids[at[:, None] + np.arange(n)].ravel(), n)[::n] if n > 1 else self._digest(ids[at], 1)
+            of = self._digests_at(ids, at, n)
             where = np.searchsorted(digests, of)
-            at = at[(where < len(digests)) & (digests[np.minimum(where, len(digests) - 1)] == of)]
-            for i in at.tolist():
+            fits = (where < len(digests)) & (digests[np.minimum(where, len(digests) - 1)] == of)
+            for i, digest in zip(at[fits].tolist(), of[fits].tolist(), strict=True):
                 raw = ids[i : i + n]
-                for key, names in self.sets[n][int(self._digest(raw, n)[0])]:
+                for key, names in self.sets[n][digest]:
                     if key == raw.tobytes():  # verified
                         hit[i] += 1
                         hit[i + n] -= 1
@@ -101,24 +101,51 @@ class Scanner:
         return found
 
 
-def _pieces(benchmark: DataFrame, size: int, item: str, text: str) -> DataFrame:
-    """item, w (consecutive words), n (their windows): each item with a window, long ones in pieces that share no window."""
+def _pieces(benchmark: DataFrame, size: int, item: str, text: str, piece: int = PIECE) -> DataFrame:
+    """item, w (consecutive words), n (their windows): each item with a window, long ones in pieces that share no window.
+
+    Equal rows are one row before anything is counted.
+    """
     words = benchmark.select(F.coalesce(F.col(f"`{item}`").cast("string"), F.lit("")).alias("item"), words_of(F.coalesce(F.col(f"`{text}`"), F.lit(""))).alias("w")).where(F.size("w") > 0)
     last = F.greatest(F.size("w") - size, F.lit(0))  # where the last window starts, from 0
-    cuts = words.select("item", "w", F.explode(F.sequence(F.lit(0), F.floor(last / PIECE).cast("int"))).alias("k"))
-    part = cuts.select("item", F.slice("w", F.col("k") * PIECE + 1, F.lit(PIECE + size - 1)).alias("w"))
-    return part.withColumn("n", F.greatest(F.size("w") - (size - 1), F.lit(1)))
+    cuts = words.distinct().select("item", "w", F.explode(F.sequence(F.lit(0), F.floor(last / piece).cast("int"))).alias("k"))
+    part = cuts.select("item", F.slice("w", F.col("k") * piece + 1, F.lit(piece + size - 1)).alias("w"))
+    return part.withColumn("n", F.greatest(F.size("w") - (size - 1), F.lit(1))).select("item", F.concat_ws(" ", "w").alias("w"), "n").distinct()
+
+
+def _packed(pieces: DataFrame, blocks: int, most: int) -> DataFrame:
+    """pieces with part and block: each task fills blocks one after the other, up to `most` windows and MOST_BYTES of text; a
+    piece, which has `most` windows at most, is never split."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        block = windows = held = 0
+        for batch in batches:
+            found = []
+            for w, n in zip(batch.column(1).to_pylist(), batch.column(2).to_pylist(), strict=True):
+                size = len(w.encode("utf-8", "surrogatepass"))
+                if windows and (windows + n > most or held + size > MOST_BYTES):
+                    block, windows, held = block + 1, 0, 0
+                windows, held = windows + n, held + size
+                found.append(block)
+            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(found, pa.int32())], names=["item", "w", "n", "block"])
+
+    dealt = pieces.repartition(blocks, F.xxhash64("item", "w")).mapInArrow(run, "item string, w string, n int, block int")
+    return cut(dealt.withColumn("part", F.spark_partition_id()))
 
 
 def _blocks(benchmark: DataFrame, size: int, item: str, text: str, most: int) -> Iterator[Callable[[], Scanner]]:
     """Makers of scanners on workers, by broadcast: of the whole benchmark where it is within the bounds, else of block after block."""
-    pieces = cut(_pieces(benchmark, size, item, text).select("item", F.concat_ws(" ", "w").alias("w"), "n"))
+    pieces = cut(_pieces(benchmark, size, item, text, max(1, min(PIECE, most))))
+    context = benchmark.sparkSession.sparkContext
     windows, held = pieces.agg(F.sum("n"), F.sum(F.octet_length("w"))).first()
     blocks = max(1, -(-(windows or 0) // most), -(-(held or 0) // MOST_BYTES))
-    at = F.pmod(F.xxhash64("item", "w"), F.lit(blocks))
-    for k in range(blocks):
-        items = [(r["item"], r["w"]) for r in pieces.where(at == k).collect()]  # a block, within the bounds
-        yield _maker(benchmark.sparkSession.sparkContext.broadcast(items), size)
+    if blocks == 1:
+        yield _maker(context.broadcast([(r["item"], r["w"]) for r in pieces.collect()]), size)  # within the bounds
+        return
+    packed = _packed(pieces, blocks, most)
+    for k in sorted(tuple(r) for r in packed.select("part", "block").distinct().collect()):  # about as many as blocks
+        own = packed.where((F.col("part") == k[0]) & (F.col("block") == k[1]))
+        yield _maker(context.broadcast([(r["item"], r["w"]) for r in own.collect()]), size)  # a block, within the bounds
 
 
 def _maker(sent, size: int) -> Callable[[], Scanner]:
@@ -176,7 +203,7 @@ def contamination(docs: DataFrame, benchmark: DataFrame, size: int = 10, key: st
             types = (pa.int64(), pa.int64(), pa.int64(), pa.string(), pa.bool_())
             yield pa.RecordBatch.from_arrays([part.column(0), *(pa.array(v, t) for v, t in zip(made.values(), types, strict=True))], names=[key, *made])
 
-    return marked.mapInArrow(run, f"`{key}` {docs.schema[key].dataType.simpleString()}, {schema}")
+    return map_arrow(marked, run, f"`{key}` {docs.schema[key].dataType.simpleString()}, {schema}")
 
 
 def _positions(hits: list | None) -> list[int]:
@@ -242,7 +269,7 @@ def decontaminate(docs: DataFrame, benchmark: DataFrame, remove: str = "spans",
             clean = [without(x, f) if f else x for x, f in zip(texts, found, strict=True)]
             yield part.set_column(i, part.schema.field(i), pa.array(clean, part.schema.field(i).type))
 
-    return rows.mapInArrow(run, docs.schema)
+    return map_arrow(rows, run, docs.schema)
 
 
 def without(text: str, hit: list[int]) -> str:

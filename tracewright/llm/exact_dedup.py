@@ -11,10 +11,12 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import cut, fresh
+from .common import cut, fresh, small
 
 #: Digests that the summary returns, and counters that it keeps: any digest with over 1/HEAVY of all rows is among them.
 HEAVY, COUNTERS = 512, 8192
+#: Rows (a key and a digest) of copies of the other digests up to which they are broadcast.
+FEW_GONE = 200_000
 
 
 def frequent(digests: DataFrame, column: str = "digest") -> DataFrame:
@@ -62,8 +64,9 @@ def exact_groups(docs: DataFrame, text: str = "text", key: str = "doc_id", norma
 def drop_exact(docs: DataFrame, text: str = "text", key: str = "doc_id") -> DataFrame:
     """docs without the rows that exact_groups does not keep, all columns kept; of rows that tie on the kept key, one stays.
 
-    Copies of frequent texts go on the map side, by the broadcast winners; of the others only (key, digest) of the rows that
-    go takes part in a shuffle. Null texts equal empty ones; an empty table gives an empty one; columns may have any names.
+    Copies of frequent texts go on the map side, by the broadcast winners. Of the others, (key, digest) of the rows that go are
+    counted: up to FEW_GONE they are broadcast and no text shuffles, beyond that the rows of docs, texts included, meet them in
+    a shuffled join. Null texts equal empty ones; an empty table gives an empty one; columns may have any names.
     """
     rows = _digested(docs, text, key)
     heavy, light = _split(rows)
@@ -73,7 +76,7 @@ def drop_exact(docs: DataFrame, text: str = "text", key: str = "doc_id") -> Data
     signed = docs.withColumn(of, F.sha2(F.coalesce(F.col(f"`{text}`"), F.lit("")), 256))
     first = signed.join(won, F.col(of) == F.col(gone_of), "left").where(F.col(keep).isNull() | own.eqNullSafe(F.col(f"{keep}.keep_id"))).drop(gone_of, keep)
     gone = light.join(_winners(light).where("group_size > 1"), "digest").where(~F.col("doc_id").eqNullSafe(F.col("keep_id"))).select(F.col("doc_id").alias(gone_id), F.col("digest").alias(gone_of)).distinct()
-    once = first.join(gone, own.eqNullSafe(F.col(gone_id)) & (F.col(of) == F.col(gone_of)), "left_anti")
+    once = first.join(small(cut(gone), FEW_GONE), own.eqNullSafe(F.col(gone_id)) & (F.col(of) == F.col(gone_of)), "left_anti")
     tied = rows.groupBy("doc_id", "digest").agg(F.count(F.lit(1)).alias(n)).where(F.col(n) > 1).select(F.col("doc_id").alias(gone_id), F.col("digest").alias(gone_of))
     if tied.isEmpty():
         return once.select(*(F.col(f"`{c}`") for c in docs.columns))

@@ -25,7 +25,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.pandas.types import to_arrow_type
 from pyspark.sql.types import StringType
 
-from .common import Memo, calm, fit_partitions, fresh, map_texts, slices, whole_number
+from .common import Memo, calm, fit_partitions, map_texts, slices, whole_number
 
 SUMS, LANES, LANE_BITS, WORDS = 4, 192, 24, 3
 MOST_WORDS = 200_000

@@ -25,7 +25,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import LongType, StructField, StructType
 
-from .common import cut, fit_partitions, fresh, slices, whole_number
+from .common import cut, fit_partitions, fresh, map_arrow, slices, whole_number
 from .components import components
 
 WORDS, PERCENT = 4, 85
@@ -617,16 +617,17 @@ def jaccard_classes(docs: DataFrame, words: int = WORDS, percent: int = PERCENT,
 def drop_near(docs: DataFrame, words: int = WORDS, percent: int = PERCENT, key: str = "doc_id", text: str = "text") -> DataFrame:
     """docs with one row for each class: that with the least key. Rows without a key or without words (null and empty texts) all stay.
 
-    Where keys repeat, rows are told apart by their texts, and one of a class's rows of the least key stays. An empty table
-    gives an empty one; all columns stay, whatever their names.
+    Where keys repeat, rows are told apart by their texts, and one of a class's rows of the least key stays. The keys that go
+    are broadcast up to SMALL; beyond that the rows of docs meet them in a shuffled join. An empty table gives an empty one; all
+    columns stay, whatever their names.
     """
     found = _classed(docs, words, percent, key, text)
     own = F.col(f"`{key}`")
     names = ["n", "s1", "s2", "k", "k1", "k2"]
     n, s1, s2, k, k1, k2 = fresh(docs.columns, *names)
     if docs.where(own.isNotNull()).groupBy(own).count().where("count > 1").isEmpty():
-        gone = found.where("doc_id is not null and doc_id <> component").select(F.col("doc_id").alias(k))
-        return docs.join(gone, own == F.col(k), "left_anti")
+        gone = cut(found.where("doc_id is not null and doc_id <> component").select(F.col("doc_id").alias(k)))
+        return docs.join(_small(gone), own == F.col(k), "left_anti")
     stays = found.where("doc_id is not null and n > 0").groupBy("root").agg(F.min(F.struct("doc_id", "s1", "s2")).alias("m"))
     stays = stays.select(F.col("m.doc_id").alias(k), F.col("m.s1").alias(k1), F.col("m.s2").alias(k2))
     signed = _signed(docs, words, text, [n, s1, s2])
@@ -647,4 +648,4 @@ def _signed(docs: DataFrame, words: int, text: str, made: list[str]) -> DataFram
             more = ([len(s) for s in sets], [b[0] for b in both], [b[1] for b in both])
             yield pa.RecordBatch.from_arrays([*part.columns, *(pa.array(x, pa.int64()) for x in more)], names=names)
 
-    return docs.mapInArrow(run, StructType([*docs.schema.fields, *(StructField(c, LongType()) for c in made)]))
+    return map_arrow(docs, run, StructType([*docs.schema.fields, *(StructField(c, LongType()) for c in made)]))

@@ -20,7 +20,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
-from .common import Memo, cut, map_texts, slices
+from .common import Memo, cut, map_arrow, map_texts, slices
 
 BITS = 18
 DIM = 1 << BITS
@@ -242,7 +242,7 @@ def accepted(docs: DataFrame, model: Model, threshold: float = 0.5, text: str =
             scores = sent.value.scores([x or "" for x in part.column(at).to_pylist()], memo)
             yield part.filter(pa.array(scores >= threshold))
 
-    return docs.mapInArrow(run, docs.schema)
+    return map_arrow(docs, run, docs.schema)
 
 
 def fold(key: str, of: int) -> Column:

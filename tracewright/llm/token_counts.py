@@ -21,7 +21,7 @@ import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import WHITE, calm, slices
+from .common import WHITE, calm, map_arrow, slices
 from .wordbpe import BITS, byte_letters, load
 
 #: Code points of a chunk.
@@ -250,5 +250,5 @@ def token_counts(docs: DataFrame, path: str, limit: int = 2048, text: str = "tex
             n = [transducer.count(x, chunk) if x else 0 for x in part.column(part.num_columns - 2).to_pylist()]
             yield pa.RecordBatch.from_arrays([*part.columns[:-2], pa.array(n, pa.int64()), part.columns[-1]], names=schema.names)
 
-    rows = docs.select(*(F.col(f"`{c}`") for c in keep), F.col(f"`{text}`"), F.coalesce(F.octet_length(text), F.lit(0)).cast("long").alias("n_bytes"))
-    return rows.mapInArrow(run, schema).withColumn("over_limit", F.col("n_tokens") > limit)
+    rows = docs.select(*(F.col(f"`{c}`") for c in keep), F.col(f"`{text}`"), F.coalesce(F.octet_length(F.col(f"`{text}`")), F.lit(0)).cast("long").alias("n_bytes"))
+    return map_arrow(rows, run, schema).withColumn("over_limit", F.col("n_tokens") > limit)

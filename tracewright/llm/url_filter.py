@@ -25,7 +25,7 @@ BINS = 4_000
 
 def host_path(url: Column) -> tuple[Column, Column, Column]:
     """Host, path and all after the scheme; '' for null or without '://'."""
-    rest = F.coalesce(F.when(F.instr(url, "://") > 0, F.expr("substr({0}, instr({0}, '://') + 3)".format("url"))), F.lit(""))
+    rest = F.coalesce(F.when(F.instr(url, "://") > 0, F.substr(url, F.instr(url, "://") + 3)), F.lit(""))
     host = F.regexp_extract(rest, "^[^/?#]*", 0)
     path = F.regexp_extract(rest, "^[^/?#]*([^?#]*)", 1)
     return ascii_lower(host), path, rest
@@ -110,7 +110,7 @@ def filter_urls(pages: DataFrame, rules: list[tuple[str, str]], key: str = "page
     """Per row of pages: key, host, path, rule (or null), verdict, value.
 
     rules: (allow or block, host and start of the path). A rule's verdict holds; else a URL is allowed if its value, less the
-    threshold, is not negative. Null URLs and those without '://' have the empty host and path, fit no rule and are
+    threshold, is not negative. What the models read is the URL behind its scheme, A-Z lower-cased, with every digit as 0. Null URLs and those without '://' have the empty host and path, fit no rule and are
     judged as the empty string is. Without labelled URLs of both kinds, ratios are what the one model gives. Repeated rows
     give repeated rows; an empty table an empty one; other columns are left out.
     """
