@@ -4,7 +4,7 @@ import os
 
 import pytest
 
-from tracewright.queries import QUERIES, SQL
+from tracewright.run_queries import QUERIES, SQL
 
 duckdb = pytest.importorskip("duckdb")
 DATA = "/root/testdata/sf0.001"

@@ -2,9 +2,11 @@
 
 from __future__ import annotations
 
-from pyspark import StorageLevel
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import ArrayType, DataType, MapType, StructType, VariantType
+
+from ..sources.shared import kept
 
 
 def uniform_steps(total: Column, count: int) -> Column:
@@ -40,24 +42,32 @@ def step_cap(*caps: Column) -> Column:
     return F.least(*caps)
 
 
+def _hashable(kind: DataType) -> bool:
+    if isinstance(kind, StructType):
+        return all(_hashable(f.dataType) for f in kind.fields)
+    return _hashable(kind.elementType) if isinstance(kind, ArrayType) else not isinstance(kind, (MapType, VariantType))
+
+
 def ranked(rows: DataFrame, *order: str, name: str = "rank", parts: int | None = None) -> tuple[DataFrame, int]:
     """rows with their place from 0 in the order of columns, and their number; no window over all rows.
 
-    Rows are dealt by ranges of the order and sorted there once, and kept: counting and numbering see the same partitions. The
-    driver gathers one number a partition. Rows that tie stand in any order; null keys come first; an empty table stays empty.
+    Rows are dealt by ranges of the order and sorted there once, and written: counting and numbering see the same partitions
+    whatever executors are lost. The driver gathers one number a partition. Rows that tie stand in the order of a hash of all their
+    columns (maps and Variants aside); null keys come first; an empty table stays empty.
     """
     spark = rows.sparkSession
     n = parts or max(1, int(spark.conf.get("spark.sql.shuffle.partitions")))
+    whole = [F.xxhash64(*some)] if (some := [f"`{f.name}`" for f in rows.schema.fields if f.name not in order and _hashable(f.dataType)]) else []
     at, within = F.spark_partition_id(), F.monotonically_increasing_id()
-    dealt = rows.repartitionByRange(n, *order).sortWithinPartitions(*order).withColumns({"_p": at, "_i": within - F.shiftleft(at.cast("long"), 33)})
-    kept = dealt.persist(StorageLevel.DISK_ONLY)
-    counts = {r["_p"]: r["count"] for r in kept.groupBy("_p").count().collect()}
+    dealt = rows.repartitionByRange(n, *order, *whole).sortWithinPartitions(*order, *whole).withColumns({"_p": at, "_i": within - F.shiftleft(at.cast("long"), 33)})
+    written = kept(dealt)
+    counts = {r["_p"]: r["count"] for r in written.groupBy("_p").count().collect()}
     before, seen = [], 0
     for p in sorted(counts):
         before.append((p, seen))
         seen += counts[p]
     offset = F.broadcast(spark.createDataFrame(before, "_p int, _before bigint"))  # a row a partition
-    return kept.join(offset, "_p").withColumn(name, F.col("_before") + F.col("_i")).drop("_p", "_i", "_before"), seen
+    return written.join(offset, "_p").withColumn(name, F.col("_before") + F.col("_i")).drop("_p", "_i", "_before"), seen
 
 
 def shards(rows: DataFrame, order: str, workers: int, total: int | None = None) -> DataFrame:

@@ -2,8 +2,11 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import ArrayType, DataType, MapType, StructType
 
 
 def duplicates(rows: DataFrame, key: str) -> DataFrame:
@@ -50,3 +53,47 @@ def one_value(rows: DataFrame, column: str, expected: float, rel: float = 1e-9,
 def schema_difference(a: DataFrame, b: DataFrame) -> tuple[list[str], list[str]]:
     """Columns of a alone and of b alone."""
     return sorted(set(a.columns) - set(b.columns)), sorted(set(b.columns) - set(a.columns))
+
+
+def _walk(a: DataType, b: DataType, path: str) -> Iterator[tuple[str, str, str, str]]:
+    """(path, what, left, right) of each difference between two types."""
+    here = path or "the row"
+    if type(a) is not type(b):
+        yield here, "type", a.simpleString(), b.simpleString()
+    elif isinstance(a, StructType):
+        left, right = {f.name: f for f in a.fields}, {f.name: f for f in b.fields}
+        for name in [*left, *(n for n in right if n not in left)]:
+            at = f"{path}.{name}" if path else name
+            if name not in right:
+                yield at, "missing", left[name].dataType.simpleString(), ""
+            elif name not in left:
+                yield at, "added", "", right[name].dataType.simpleString()
+            else:
+                if left[name].nullable != right[name].nullable:
+                    yield at, "nullable", str(left[name].nullable).lower(), str(right[name].nullable).lower()
+                yield from _walk(left[name].dataType, right[name].dataType, at)
+    elif isinstance(a, ArrayType):
+        if a.containsNull != b.containsNull:
+            yield f"{path}[]", "nullable", str(a.containsNull).lower(), str(b.containsNull).lower()
+        yield from _walk(a.elementType, b.elementType, f"{path}[]")
+    elif isinstance(a, MapType):
+        if a.valueContainsNull != b.valueContainsNull:
+            yield f"{path}{{}}", "nullable", str(a.valueContainsNull).lower(), str(b.valueContainsNull).lower()
+        yield from _walk(a.keyType, b.keyType, f"{path}{{key}}")
+        yield from _walk(a.valueType, b.valueType, f"{path}{{}}")
+    elif a != b:
+        yield here, "type", a.simpleString(), b.simpleString()
+
+
+def compatibility(a: DataFrame, b: DataFrame) -> DataFrame:
+    """path, what (missing, added, type, nullable), left and right: how b's schema differs from a's, at any depth.
+
+    a.b is a field, a[] the items of a list, a{} the values of a map and a{key} its keys. Alike schemas give no rows.
+    """
+    found = list(_walk(a.schema, b.schema, ""))
+    return a.sparkSession.createDataFrame(found, "path string, what string, left string, right string")
+
+
+def is_compatible(a: DataFrame, b: DataFrame, ignore: tuple[str, ...] = ("added", "nullable")) -> bool:
+    """Whether rows of b can be read as rows of a: nothing missing, and no other types."""
+    return all(what in ignore for _, what, _, _ in _walk(a.schema, b.schema, ""))

@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -43,22 +46,44 @@ def ways(steps: DataFrame, rule: str = "babyai_turn_noise") -> DataFrame:
     return prune_loops(steps).select("trajectory_id", "actions")
 
 
+def _pruned(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Of rows (trajectory, order, a, pre, post, fixed), sorted by the first two: each trajectory's moves and how many went."""
+    now, some, stack, removed, out = None, False, [], 0, []
+    names = ["trajectory", "actions", "removed"]
+    made = lambda rows: pa.RecordBatch.from_arrays([pa.array([r[i] for r in rows], t) for i, t in enumerate((pa.string(), pa.list_(pa.string()), pa.int32()))], names=names)
+    for batch in batches:
+        for key, _, action, pre, post, fixed in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+            if not some or key != now:
+                if some:
+                    out.append((now, [x[0] for x in stack], removed))
+                now, some, stack, removed = key, True, [], 0
+            if pre is not None and pre == post and not fixed:
+                removed += 1
+            elif stack and INVERSE.get(stack[-1][0]) == action and stack[-1][1] and stack[-1][1] == post and not stack[-1][2] and not fixed:
+                stack.pop()
+                removed += 2
+            else:
+                stack.append((action, pre, fixed))
+        if out:
+            yield made(out)
+            out = []
+    if some:
+        yield made([(now, [x[0] for x in stack], removed)])
+
+
 def prune_loops(steps: DataFrame, trajectory: str = "trajectory_id", order: str = "step", action: str = "action") -> DataFrame:
     """trajectory, actions and removed: steps without effect go, and so do two moves that undo each other.
 
-    The state is a stack, folded over the steps of one trajectory; a step that ends or pays is never taken away.
+    The rule is a stack over the steps in order, so one task walks a trajectory; it streams them, and holds the moves that are
+    left, in time linear in the steps. A step that ends or pays is never taken away; one without an action doesn't count.
     """
-    inverse = F.create_map(*(F.lit(x) for p in INVERSE.items() for x in p))
-    item = F.struct(F.col(order), F.col(action).alias("a"), F.col("obs_pre").cast("string").alias("pre"), F.col("obs_post").cast("string").alias("post"), F.col("final").alias("fixed"))
-    rows = steps.where(F.trim(F.coalesce(action, F.lit(""))) != "").groupBy(trajectory).agg(F.array_sort(F.collect_list(item)).alias("s"))
-
-    def fold(stack: Column, x: Column) -> Column:
-        top = F.element_at(stack, -1)
-        undone = (F.size(stack) > 0) & F.coalesce((inverse[top["a"]] == x["a"]) & (top["pre"] != "") & (top["pre"] == x["post"]) & ~top["fixed"] & ~x["fixed"], F.lit(False))
-        return F.when((x["pre"] == x["post"]) & ~x["fixed"], stack).when(undone, F.slice(stack, 1, F.size(stack) - 1)).otherwise(F.array_append(stack, x))
-
-    kept = rows.withColumn("k", F.aggregate("s", F.slice("s", 1, 0), lambda stack, x: F.when(F.size(stack) > 0, fold(stack, x)).otherwise(F.when((x["pre"] == x["post"]) & ~x["fixed"], stack).otherwise(F.array_append(stack, x)))))
-    return kept.select(trajectory, F.transform("k", lambda x: x["a"]).alias("actions"), (F.size("s") - F.size("k")).alias("removed"))
+    name = F.col(trajectory).cast("string").alias("trajectory")
+    rows = steps.where(F.trim(F.coalesce(action, F.lit(""))) != "").select(
+        name, F.col(order).cast("bigint").alias("at"), F.col(action).alias("a"), F.col("obs_pre").cast("string").alias("pre"), F.col("obs_post").cast("string").alias("post"), F.coalesce("final", F.lit(False)).alias("fixed")
+    )
+    dealt = rows.repartition("trajectory").sortWithinPartitions("trajectory", "at")
+    found = dealt.mapInArrow(_pruned, "trajectory string, actions array<string>, removed int")
+    return found.select(F.col("trajectory").cast(steps.schema[trajectory].dataType).alias(trajectory), "actions", "removed")
 
 
 def hill(rows: DataFrame, by: list[str], item: str) -> DataFrame:

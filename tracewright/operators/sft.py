@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
 
 from ..functions.casts import strip
 from .branching import ranked
@@ -26,28 +27,60 @@ def history(turns: DataFrame, group: str = "conv_id", order: str = "turn", text:
     return turns.select(group, order, F.array_join(F.collect_list(F.coalesce(text, F.lit(""))).over(w), "\n").alias("history"))
 
 
+def index_at(place: Column, n: Column, target: Column) -> Column:
+    """Which of n rows (from 0) stands at one of `target` places: in turn when growing, evenly spaced when shrinking."""
+    return F.when(target >= n, place % n).otherwise(F.least(n - 1, F.floor((2 * place + 1) * n / (2 * target)))).cast("long")
+
+
 def resampled_index(n: Column, target: Column) -> Column:
-    """For each of `target` places, which of n rows (from 0) stands there: in turn when growing, evenly spaced when shrinking."""
-    place = F.sequence(F.lit(0).cast("long"), target.cast("long") - 1)
-    spaced = lambda i: F.least(n - 1, F.floor((2 * i + 1) * n / (2 * target)))
-    at = F.transform(place, lambda i: F.when(target >= n, i % n).otherwise(spaced(i)).cast("long"))
+    """index_at() of all `target` places, as an array."""
+    at = F.transform(F.sequence(F.lit(0).cast("long"), target.cast("long") - 1), lambda i: index_at(i, n, target))
     return F.when(target > 0, at).otherwise(F.array().cast("array<bigint>"))
 
 
+#: Groups up to which their plan is made on the driver, and rows of a group up to which one task numbers them.
+FEW_GROUPS, MOST_IN_TASK = 10_000, 1_000_000
+
+
+def _planned(counts: DataFrame, group: str) -> tuple[DataFrame, int, int, int]:
+    """group, _n, _rank and _start (rows of the groups before) of each group, the number of groups, of rows, and of the largest group's rows."""
+    spark = counts.sparkSession
+    few = counts.orderBy(group).limit(FEW_GROUPS + 1).collect()
+    if len(few) <= FEW_GROUPS:
+        rows, start = [], 0
+        for k, r in enumerate(few):
+            rows.append((r[group], r["_n"], k, start))
+            start += r["_n"]
+        kind = StructType([counts.schema[group], *StructType.fromDDL("_n bigint, _rank bigint, _start bigint").fields])
+        return F.broadcast(spark.createDataFrame(rows, kind)), len(rows), start, max((r[1] for r in rows), default=0)
+    first, groups = ranked(counts, group, name="_rank")
+    total, largest = first.agg(F.sum("_n"), F.max("_n")).first()
+    return first, groups, total, largest
+
+
 def rebalanced(rows: DataFrame, group: str, order: str) -> DataFrame:
     """rows so that each group has the same number (the first groups one more), all together as many as before.
 
-    Groups are ranked by ranges, without a window over all; rows meet their copies by an equi-join on their index. A null group
-    is left out; an empty table gives an empty one.
+    place counts within a group. Each place computes which row stands there, and meets it by an equi-join on (group, row
+    number); rows are numbered group by group in a window, or by ranges over all where a group is too large for one task. A
+    null group is left out; an empty table gives an empty one.
     """
-    counts = rows.where(F.col(group).isNotNull()).groupBy(group).agg(F.count(F.lit(1)).alias("_n"))
-    first, groups = ranked(counts, group, name="_rank")
-    total = first.agg(F.sum("_n")).first()[0] or 0
-    base, more = divmod(total, max(groups, 1))
-    planned = first.withColumn("_target", F.lit(base).cast("long") + F.when(F.col("_rank") < more, 1).otherwise(0))
-    places = planned.select(group, F.posexplode(resampled_index(F.col("_n"), F.col("_target"))).alias("place", "_i"))
-    indexed = rows.withColumn("_i", (F.row_number().over(Window.partitionBy(group).orderBy(order)) - 1).cast("long"))
-    return places.join(indexed, [group, "_i"]).drop("_i")
+    rows = rows.where(F.col(group).isNotNull())
+    planned, groups, total, largest = _planned(rows.groupBy(group).agg(F.count(F.lit(1)).alias("_n")), group)
+    base, more = divmod(total or 0, max(groups, 1))
+    slot, long = F.col("id"), more * (base + 1)
+    of = F.when(slot < long, F.floor(slot / (base + 1))).otherwise(more + F.floor((slot - long) / max(base, 1))).cast("long")
+    place = F.when(F.col("_rank") < more, slot - F.col("_rank") * (base + 1)).otherwise((slot - long) - (F.col("_rank") - more) * base)
+    target = F.when(F.col("_rank") < more, base + 1).otherwise(base).cast("long")
+    spots = rows.sparkSession.range(total or 0).select("id", of.alias("_rank")).join(planned.drop("_start"), "_rank")
+    spots = spots.select(group, place.alias("place"), index_at(place, F.col("_n"), target).alias("_i"))
+    if largest and largest > MOST_IN_TASK:
+        placed, _ = ranked(rows, group, order, name="_r")
+        starts = placed.groupBy(group).agg(F.min("_r").alias("_start"))
+        indexed = placed.join(starts, group).withColumn("_i", F.col("_r") - F.col("_start")).drop("_r", "_start")
+    else:
+        indexed = rows.withColumn("_i", (F.row_number().over(Window.partitionBy(group).orderBy(order)) - 1).cast("long"))
+    return spots.join(indexed, [group, "_i"]).drop("_i")
 
 
 def by_plan(rows: DataFrame, plan: DataFrame, index: str = "row_idx") -> DataFrame:

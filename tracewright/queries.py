@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-import tempfile
-import uuid
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
@@ -17,6 +15,7 @@ from .operators.zip import balanced_zip as zip_rows
 from .plans import pair_datasets
 from .plans.stages import PairConfig
 from .sources import event_view as ev
+from .sources.shared import new_folder
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -38,11 +37,11 @@ cand AS (SELECT family_id, trajectory_id, trajectory_kind, 0 AS divergence_step,
 good AS (SELECT * FROM cand WHERE is_win AND quality_score <= 1)"""
 
 
-def query(sql: str | None = None, with_steps: bool = True) -> Callable[[Query], Query]:
+def query(sql: str | None = None, with_steps: bool = True, recursive: bool = False) -> Callable[[Query], Query]:
     def add(f: Query) -> Query:
         QUERIES[f.__name__] = f
         if sql:
-            SQL[f.__name__] = (f"WITH {STEP}{', ' if sql.lstrip().startswith('+') else ' '}{sql.lstrip().lstrip('+')}" if with_steps else sql)
+            SQL[f.__name__] = (f"WITH {'RECURSIVE ' * recursive}{STEP}{', ' if sql.lstrip().startswith('+') else ' '}{sql.lstrip().lstrip('+')}" if with_steps else sql)
         return f
 
     return add
@@ -282,7 +281,16 @@ def turn_noise(spark, d):
     return _keys(spark, d)
 
 
-@query()
+LOOPS = """+ls AS (SELECT trajectory_id, row_number() OVER (PARTITION BY trajectory_id ORDER BY step) AS k, {'a': action, 'pre': CAST(obs_pre AS VARCHAR), 'post': CAST(obs_post AS VARCHAR), 'fixed': done} AS x FROM step WHERE trim(coalesce(action, '')) <> ''),
+walk(trajectory_id, k, stack) AS (SELECT trajectory_id, CAST(0 AS BIGINT), list_filter([x], lambda y: false) FROM ls WHERE k = 1 UNION ALL
+  SELECT w.trajectory_id, l.k, CASE WHEN x.pre = x.post AND NOT x.fixed THEN stack
+    WHEN len(stack) > 0 AND CASE stack[-1].a WHEN 'up' THEN 'down' WHEN 'down' THEN 'up' WHEN 'left' THEN 'right' WHEN 'right' THEN 'left' END = x.a AND stack[-1].pre <> '' AND stack[-1].pre = x.post AND NOT stack[-1].fixed AND NOT x.fixed THEN stack[1:-2]
+    ELSE list_append(stack, x) END FROM walk w JOIN ls l ON l.trajectory_id = w.trajectory_id AND l.k = w.k + 1),
+ended AS (SELECT trajectory_id, arg_max(stack, k) AS stack, max(k) AS n FROM walk GROUP BY trajectory_id)
+SELECT trajectory_id, coalesce(array_to_string(list_transform(stack, lambda y: y.a), '>'), '') AS effective_key, CAST(n - len(stack) AS INTEGER) AS removed FROM ended"""
+
+
+@query(LOOPS, recursive=True)
 def noop_loop_prune(spark, d):
     rows = diversity.prune_loops(_steps(spark, d).withColumn("final", F.col("done")))
     return rows.select("trajectory_id", F.array_join("actions", ">").alias("effective_key"), "removed")
@@ -732,17 +740,9 @@ def stream_resume(spark, d):
     """The branch ledger fed as a stream of files; the same rows as one merge of all records."""
     from .streaming.ledger import holding, keep_ledger, records
 
-    root = f"{_own_folder(spark)}/ledger-{uuid.uuid4().hex}"
+    root = new_folder(spark, "ledger")
     rows = _branches(spark, d).select("task_slug", "base_traj_id", "divergence_step", F.col("alt_index"), F.coalesce("status", F.lit("")).alias("status"), "ord")
     rows.write.json(f"{root}/in")
     query_ = keep_ledger(records(spark, f"{root}/in", rows.schema), f"{root}/ledger", f"{root}/checkpoint")
     query_.awaitTermination()
     return holding(spark, f"{root}/ledger")
-
-
-def _own_folder(spark: SparkSession) -> str:
-    """A folder that driver and executors share: under spark.checkpoint.dir; only a session in one local process may do without."""
-    found = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
-    if not found and not spark.sparkContext.master.startswith("local[") and spark.sparkContext.master != "local":
-        raise ValueError("spark.checkpoint.dir must name a folder that the driver and all executors share")
-    return (found or tempfile.gettempdir()).rstrip("/")
