@@ -85,23 +85,35 @@ def repeats_in(calls: Column) -> Column:
     return F.aggregate(calls, start, step)["best"]
 
 
-def _judged(rows: DataFrame, kind: str, is_win: Column) -> DataFrame:
-    """Candidates from STATE, trajectory_id, a trace's columns and, for alternatives, the base's prompt; or an error."""
-    size, d = F.coalesce(F.size("calls"), F.lit(0)), F.col("divergence_step")
-    call, last = F.try_element_at("calls", d + 1), F.try_element_at("calls", F.lit(-1))
-    rows = rows.withColumns({"prompt": prompt_of(call) if kind == "base" else F.col("prompt"), "response_text": response_of(call)})
+HELD = ["trace_path", "task_or_env_params", "seed", "calls"]
+
+
+def _taken(traces: DataFrame, places: DataFrame) -> DataFrame:
+    """Of each place (trace_path, STATE, trajectory_id) what its trace says there, without the calls; or an error.
+
+    A trace meets all its places at once, so that its calls move once at most, however many states it stands in.
+    """
+    at = places.groupBy("trace_path").agg(F.collect_list(F.struct(*STATE, "trajectory_id")).alias("_at"))
+    met = traces.select(*HELD).join(at, "trace_path").withColumns({"_size": F.coalesce(F.size("calls"), F.lit(0)), "_last": F.try_element_at("calls", F.lit(-1)), "_runs": repeats_in(F.col("calls"))})
+    each = met.withColumn("_a", F.explode("_at")).select("*", "_a.*").withColumn("_call", F.try_element_at("calls", F.col("divergence_step").cast("int") + 1))
+    size, d, call, last = F.col("_size"), F.col("divergence_step"), F.col("_call"), F.col("_last")
     fail = lambda what: F.raise_error(F.concat(F.lit(what), F.col("trace_path"))).cast("boolean")
-    sound = (
-        F.when(size == 0, fail("no calls in ")).when((d < 0) | (d >= size), fail("divergence_step is out of range for "))
-        .when(F.size("prompt") <= 0, fail("no prompt at divergence step of ")).when(F.col("response_text") == "", fail("no response at divergence step of ")).otherwise(True)
+    sound = F.when(size == 0, fail("no calls in ")).when((d < 0) | (d >= size), fail("divergence_step is out of range for ")).otherwise(True)
+    number = lambda name: F.coalesce(last[name], F.lit(0.0)).alias(f"terminal_{name}")
+    return each.where(sound).select(
+        *STATE, "trajectory_id", F.col("task_or_env_params").alias("task_id"), task_slug(F.col("task_or_env_params")).alias("task_slug"), F.coalesce("seed", F.lit(-1)).cast("long").alias("seed"),
+        prompt_of(call).alias("prompt"), response_of(call).alias("response_text"), strip(call["action"]).alias("action_text"), number("progression"), number("reward"), F.coalesce(last["done"], F.lit(False)).alias("terminal_done"),
+        F.col("_runs").alias("quality_score"), (size - d).alias("post_divergence_call_count"), F.col("trace_path").alias("source_trace"),
     )
-    number = lambda name: F.coalesce(last[name], F.lit(0.0)).alias(name)
-    found = rows.where(sound).select(
-        *STATE, "trajectory_id", F.lit(kind).alias("trajectory_kind"), F.col("task_or_env_params").alias("task_id"), task_slug(F.col("task_or_env_params")).alias("task_slug"), F.coalesce("seed", F.lit(-1)).cast("long").alias("seed"),
-        "prompt", "response_text", strip(call["action"]).alias("action_text"), number("progression"), number("reward"), F.coalesce(last["done"], F.lit(False)).alias("terminal_done"),
-        repeats_in(F.col("calls")).alias("quality_score"), (size - d).alias("post_divergence_call_count"), F.col("trace_path").alias("source_trace"),
-    ).withColumnsRenamed({"progression": "terminal_progression", "reward": "terminal_reward"})
-    return found.withColumn("is_win", is_win)
+
+
+def _judged(rows: DataFrame, kind: str, is_win: Column) -> DataFrame:
+    """Candidates of a kind, or an error: each has a prompt and a response."""
+    fail = lambda what: F.raise_error(F.concat(F.lit(what), F.col("source_trace"))).cast("boolean")
+    sound = F.when(F.size("prompt") <= 0, fail("no prompt at divergence step of ")).when(F.col("response_text") == "", fail("no response at divergence step of ")).otherwise(True)
+    found = rows.where(sound).withColumn("trajectory_kind", F.lit(kind))
+    own = ["trajectory_id", "trajectory_kind", "task_id", "task_slug", "seed", "prompt", "response_text", "action_text", "terminal_progression", "terminal_reward", "terminal_done", "quality_score", "post_divergence_call_count", "source_trace"]
+    return found.select(*STATE, *own).withColumn("is_win", is_win)
 
 
 def at_states(branches: DataFrame, bases: DataFrame, alternatives: DataFrame, is_win: Column, families: DataFrame | None = None) -> DataFrame:
@@ -113,11 +125,10 @@ def at_states(branches: DataFrame, bases: DataFrame, alternatives: DataFrame, is
     and an empty prompt or response are errors, and so is a branch without a single trace. is_win: over the columns made here.
     """
     named = branches.withColumns({"family_id": strip(F.col("base_traj_id")), "state_key": strip(F.col("state_key")), "alt_traj_id": strip(F.col("alt_traj_id"))})
-    held = ["trace_path", "task_or_env_params", "seed", "calls"]
-    base = bases.groupBy(F.col("episode_id").alias("family_id")).agg(F.max_by(F.struct(*held), F.col("trace_path")).alias("_t")).select("family_id", "_t.*")
-    rows = eligible_branches(named, families).join(base.select("family_id"), "family_id", "left_semi").select(*STATE, "alt_traj_id", "output_trace")
-    at_base = _judged(rows.select(STATE).distinct().join(base, "family_id").withColumn("trajectory_id", F.col("family_id")), "base", is_win)
+    last = bases.groupBy(F.col("episode_id").alias("family_id")).agg(F.max("trace_path").alias("trace_path"))
+    rows = eligible_branches(named, families).join(last.select("family_id"), "family_id", "left_semi").select(*STATE, "alt_traj_id", "output_trace")
+    at_base = _judged(_taken(bases, rows.select(STATE).distinct().join(last, "family_id").withColumn("trajectory_id", F.col("family_id"))), "base", is_win)
     # branches without an id have no trace, but their state has its base
-    met = resolved(rows.where("alt_traj_id <> ''"), alternatives.select("trace_path", "episode_id")).join(alternatives.select(*held), "trace_path")
-    met = met.join(at_base.select(*STATE, "prompt"), STATE).withColumnRenamed("alt_traj_id", "trajectory_id")
-    return at_base.unionByName(_judged(met, "alt", is_win))
+    placed = resolved(rows.where("alt_traj_id <> ''"), alternatives.select("trace_path", "episode_id")).select(*STATE, F.col("alt_traj_id").alias("trajectory_id"), "trace_path")
+    own = _taken(alternatives, placed).drop("prompt").join(at_base.select(*STATE, "prompt"), STATE)
+    return at_base.unionByName(_judged(own, "alt", is_win))

@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from .functions import outcomes
 from .functions import variants as V
-from .operators import branching, divpo, epochs, pairs, prompts, reports, statistics
+from .operators import branching, divpo, epochs, pairs, prompts, raw_runs, reports, statistics
 from .plans.scoring import scored_once
 from .queries import BRANCH, MOST_REPEATS, QUERIES, SQL, STATES, _at_states, _branches, _steps, _table, query
 from .sources import artifacts as typed
@@ -72,6 +72,33 @@ def artifact_quarantine(spark, d):
     return both.groupBy("reason").agg(F.count(F.lit(1)).alias("rows"))
 
 
+RAW = "family_id % 3 <> 0"
+
+
+@query(f"""SELECT trajectory_id, CASE WHEN week % 2 = 1 THEN t.task_slug WHEN {RAW} THEN 'log-' || t.task_slug ELSE 'given' END AS task_id, CASE WHEN week % 3 = 0 THEN week ELSE 11 END AS seed,
+  CASE WHEN {RAW} AND family_id % 2 = 0 THEN terminal_progression >= 1 ELSE (SELECT max(reward) > 45 FROM step s WHERE s.trajectory_id = t.trajectory_id) END AS won,
+  CASE WHEN {RAW} AND family_id % 5 <> 0 THEN round(episode_return, 3) ELSE round(terminal_progression, 3) END AS score, (SELECT string_agg(action, '>' ORDER BY step) FROM step s WHERE s.trajectory_id = t.trajectory_id) AS actions, n_steps FROM traj t WHERE family_id % 17 <> 4""")
+def raw_trajectories(spark, d):
+    """Raw traces and logs made of events, each field said in one of several places, normalised."""
+    steps = _steps(spark, d)
+    moved = F.col("step") % 3 == 0
+    call = F.struct(
+        "step", F.when(moved, "").otherwise(F.col("action")).alias("action"), F.when(moved, F.col("action")).alias("action_executed"), F.col("reward").cast("string").alias("reward"),
+        F.round("progression", 3).alias("progression"), (F.col("reward") > 45).alias("won"),
+    )
+    packed = steps.groupBy("trajectory_id").agg(F.array_sort(F.collect_list(call)).alias("calls"))
+    rows, fam = ev.trajectories(steps).join(packed, "trajectory_id"), F.col("family_id")
+    said = F.to_json(F.struct(F.when(F.col("week") % 2 == 1, F.col("task_slug")).alias("task_or_env_params"), F.when(F.col("week") % 3 == 0, F.col("week").cast("string")).otherwise("x").alias("seed"), F.when(fam % 17 != 4, F.col("calls")).alias("calls")))
+    logged = F.to_json(F.struct(
+        F.concat(F.lit("log-"), "task_slug").alias("task"), F.when(fam % 2 == 0, F.col("terminal_progression") >= 1).alias("won"), F.lit("high").alias("score"), F.when(fam % 5 != 0, F.round("episode_return", 3)).alias("episode_return"),
+    ))
+    where = [F.lit("/run").alias("folder"), F.col("trajectory_id").alias("stem")]
+    traces = rows.select(F.concat(F.lit("/run/"), "trajectory_id", F.lit("_llm_trace.json")).alias("path"), *where, said.alias("text"))
+    logs = rows.where(RAW).select(F.concat(F.lit("/run/"), "trajectory_id", F.lit(".json")).alias("path"), *where, logged.alias("text"))
+    found = raw_runs.normalised(traces, logs, "events", "given", "m", 11, root="/run")
+    return found.select("trajectory_id", "task_id", "seed", "won", "score", F.array_join(F.transform("steps", lambda x: x["action"]), ">").alias("actions"), F.size("steps").cast("long").alias("n_steps"))
+
+
 @query("""WITH x AS (SELECT event_id, event_id % 6 AS k, round(value, 2) AS v FROM events) SELECT event_id, CASE WHEN m > 1 THEN m / 100 ELSE m END AS metric FROM (SELECT event_id, CASE k WHEN 0 THEN v WHEN 1 THEN v WHEN 2 THEN v WHEN 3 THEN (event_id % 10) / (1.0 + event_id % 4) WHEN 4 THEN 0.25 END AS m FROM x)""", with_steps=False)
 def metric_chain(spark, d):
     """The success of summaries that say it in six ways, made of events."""
