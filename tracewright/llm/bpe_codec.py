@@ -18,11 +18,11 @@ from pyspark.sql import functions as F
 from pyspark.sql.pandas.types import to_arrow_type
 from pyspark.sql.types import StructType
 
-from .common import calm, gathered, map_arrow, slices, units
+from .common import calm, gathered, map_arrow, release, slices, units
 from .wordbpe import BITS, MASK, NONE, WordBPE, load
 
 #: Bytes of text over which one index reaches.
-SEGMENT = 16 << 20
+SEGMENT = 6 << 20
 
 
 class PairIndex:
@@ -164,6 +164,7 @@ def _map_coded(docs: DataFrame, path: str, text: str, keep: list[str], schema: s
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         calm()
+        release()
         bpe = load(path)
         strings = lambda part: [x or "" for x in part.column(part.schema.get_field_index(text)).to_pylist()]
         for group in gathered(slices(batches, text), text, SEGMENT):

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import contextlib
+import ctypes
 import gc
 import os
 import re
@@ -207,5 +209,13 @@ def calm() -> None:
     gc.set_threshold(500_000, 20, 100)
 
 
+def release() -> None:
+    """Give back to the system what earlier tasks of this worker have freed: the next stage's tables need the room."""
+    gc.collect()
+    pa.default_memory_pool().release_unused()
+    with contextlib.suppress(OSError, AttributeError):  # a C library without it
+        ctypes.CDLL(None).malloc_trim(0)
+
+
 def union(frames: Iterable[DataFrame]) -> DataFrame:
     return reduce(DataFrame.unionByName, frames)
