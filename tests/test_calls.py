@@ -24,7 +24,7 @@ def test_scored_text(spark):
 
 def test_actions(spark):
     row = spark.range(1).select(
-        calls.action_space(F.lit("other"), F.lit("Admissible commands:\n- a\n- b\n\nx")).alias("space"),
+        calls.action_space(F.lit("other"), F.lit("Available commands (choose exactly one as your final Action):\n- a\n- b\n\nx")).alias("space"),
         calls.without(F.array(F.lit("a"), F.lit("a"), F.lit("b")), F.array(F.lit(" b "))).alias("left"),
         calls.taken(F.lit(None).cast("string"), F.array(F.lit("a")), F.lit("a")).alias("taken"),
         calls.task_id("babyai", F.lit("goto")).alias("full"),

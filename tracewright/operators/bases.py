@@ -11,6 +11,7 @@ from .checks import duplicates
 from .planning import in_order
 from .records import of_tasks
 from .trace_rows import of_task
+from .zip import replicate
 
 #: Files that say what an evaluation came to, and those that don't.
 SUMMARIES = ["summary.json", "results.json", "eval_summary.json"]
@@ -70,13 +71,29 @@ def summary_files(paths: DataFrame, folder: str, path: str = "path") -> DataFram
     return paths.where(fits).select(path, place.alias("rank")).distinct().orderBy("rank", path)
 
 
-def training_records(win_lose: DataFrame, win_win: DataFrame | None = None, mode: str = "win_lose") -> DataFrame:
-    """The pairs that a trainer's mode takes: wins over losses alone, or those with pairs of wins."""
+def training_records(win_lose: DataFrame, win_win: DataFrame | None = None, mode: str = "win_lose", repeats: int = 1) -> DataFrame:
+    """The pairs that a trainer's mode takes: wins over losses alone, or those with pairs of wins, these `repeats` times."""
     if mode == "win_lose":
         return win_lose
     if mode != "win_lose+win_win" or win_win is None:
         raise ValueError(f"no pairs for mode {mode}")
-    return win_lose.unionByName(win_win, allowMissingColumns=True)
+    return win_lose.unionByName(replicate(win_win, repeats), allowMissingColumns=True)
+
+
+def base_summary(trajectories: DataFrame) -> DataFrame:
+    """One row: trajectories, those that won, and the task ids in order."""
+    by_task = trajectories.groupBy("task_id").agg(F.count(F.lit(1)).alias("n"), F.count_if("won").alias("w"))
+    return by_task.agg(F.coalesce(F.sum("n"), F.lit(0)).alias("num_trajectories"), F.coalesce(F.sum("w"), F.lit(0)).alias("num_success"), F.array_sort(F.collect_list("task_id")).alias("task_ids"))
+
+
+def task_slugs(*outputs: DataFrame, slug: str = "task_slug") -> DataFrame:
+    """The slugs that any of the outputs has, each once."""
+    return reduce(DataFrame.unionByName, (o.select(slug).distinct() for o in outputs)).distinct()
+
+
+def branch_totals(branch_sets: DataFrame) -> DataFrame:
+    """One row: branch sets, and branches in all of them."""
+    return branch_sets.agg(F.count(F.lit(1)).alias("num_branch_sets"), F.coalesce(F.sum(F.greatest(F.size("branches"), F.lit(0))), F.lit(0)).cast("bigint").alias("num_branches"))
 
 
 def nothing(spark: SparkSession, like: DataFrame) -> DataFrame:

@@ -132,3 +132,11 @@ def at_states(branches: DataFrame, bases: DataFrame, alternatives: DataFrame, is
     placed = resolved(rows.where("alt_traj_id <> ''"), alternatives.select("trace_path", "episode_id")).select(*STATE, F.col("alt_traj_id").alias("trajectory_id"), "trace_path")
     own = _taken(alternatives, placed).drop("prompt").join(at_base.select(*STATE, "prompt"), STATE)
     return at_base.unionByName(_judged(own, "alt", is_win))
+
+
+def quality(rows: DataFrame, name: str = "max_same_obs_action", **more: str) -> DataFrame:
+    """trajectory and the quality score of that name; a name that there isn't is an error."""
+    scores = {"max_same_obs_action": longest_repeat}
+    if name not in scores:
+        raise ValueError(f"no quality score {name}")
+    return scores[name](rows, **more)

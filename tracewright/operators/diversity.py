@@ -131,3 +131,21 @@ def strategy_summary(episodes: DataFrame, by: list[str], key: str = "strategy")
         per("success_count", "non_aborted_count").alias("success_rate_non_aborted"), per("ways", "trajectory_count").alias("esd"), per("effective_ways", "trajectory_count").alias("h_esd"),
         per("ways", "success_count").alias("wsd"), per("effective_ways", "success_count").alias("h_wsd"), per("top", "success_count").alias("top1_share"),
     )
+
+
+#: The rule by which the ways of each benchmark are pruned.
+RULES = {"babyai": "babyai_turn_noise", "babaisai": "babaisai_noop_loop_prune"}
+
+
+def run_diversity(episodes: DataFrame, steps: DataFrame, by: list[str], rule: str = "babyai_turn_noise") -> DataFrame:
+    """effective_diversity of runs (the columns `by`) from their episodes and steps: raw ways against those that the rule leaves.
+
+    episodes: trajectory_id, is_valid and is_success (of valid ones) and `by`. Successes without steps count as episodes, but have no
+    way. Each relation meets the other once.
+    """
+    raw = sequences(steps, "turn_action" if rule == "babyai_turn_noise" else "action").select("trajectory_id", F.to_json("actions").alias("raw_key"), F.size("actions").alias("_n"))
+    left = ways(steps, rule).select("trajectory_id", F.to_json(F.filter("actions", lambda a: a.isNotNull())).alias("effective_key"), F.size(F.filter("actions", lambda a: a.isNotNull())).alias("_m"))
+    won = F.col("is_valid") & F.col("is_success")
+    rows = episodes.withColumn("is_success", won).join(raw, "trajectory_id", "left").join(left, "trajectory_id", "left")
+    rows = rows.withColumns({"removed": F.coalesce(F.col("_n") - F.col("_m"), F.lit(0)), "raw_key": F.when(won, F.col("raw_key")), "effective_key": F.when(won, F.col("effective_key"))})
+    return effective_diversity(rows, by)

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -40,3 +42,12 @@ def select(pairs: DataFrame) -> DataFrame:
     )
     best: Column = F.min_by(F.struct("chosen", "rejected", "pair_semantics"), rank)
     return pairs.groupBy(STATE).agg(best.alias("p")).select(*STATE, "p.chosen", "p.rejected", "p.pair_semantics")
+
+
+def with_logprob(candidates: DataFrame, scored: Callable[[DataFrame], DataFrame]) -> DataFrame:
+    """candidates with diversity_score, the negative log probability of their response; `scored` gives rows a column logprob,
+    as plans.scoring.scored_once does. Each different (trajectory, step, response) is scored once."""
+    key = ["trajectory_id", "divergence_step", "response_text"]
+    found = scored(candidates.select(key).distinct()).select(*(F.col(c).alias(f"_{c}") for c in key), "logprob")
+    met = candidates.join(found, [F.col(c).eqNullSafe(F.col(f"_{c}")) for c in key]).drop(*(f"_{c}" for c in key))
+    return met.withColumn("diversity_score", -F.col("logprob")).drop("logprob")

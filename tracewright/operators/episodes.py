@@ -63,7 +63,20 @@ def abort_reasons(episodes: DataFrame, reason: str = "abort_reason") -> DataFram
     return episodes.where(named != "").groupBy(named.alias("reason")).agg(F.count(F.lit(1)).alias("occurrences"))
 
 
-def is_aborted(calls: Column, missing: bool = True) -> Column:
-    """Any call aborted, with a reason or by its termination; `missing` is the answer for no calls at all."""
-    bad = lambda c: F.lower(strip(c["termination_reason"])).startswith("aborted") | (strip(c["extras"]["abort_reason"]) != "")
+def is_aborted(calls: Column, missing: bool = True, exact: bool = False) -> Column:
+    """Any call aborted, with a reason or by its termination; `missing` is the answer for no calls at all. exact: the termination is
+    the word itself, not one that begins with it."""
+    ended = lambda c: F.lower(strip(c["termination_reason"]))
+    bad = lambda c: (ended(c) == "aborted" if exact else ended(c).startswith("aborted")) | (strip(c["extras"]["abort_reason"]) != "")
     return F.when(F.coalesce(F.size(calls), F.lit(-1)) < 0, missing).otherwise(F.coalesce(F.exists(calls, bad), F.lit(False)))
+
+
+#: Environments whose episodes are branched.
+BRANCHED = ("babyai", "babaisai")
+
+
+def artifacts(traces: DataFrame, steps: DataFrame, logs: DataFrame, on: list[str], environments: tuple[str, ...] = BRANCHED, task: str | None = None, won: Column | None = None) -> DataFrame:
+    """Traces with their siblings that may be branched: of these environments, with a task (the wanted one, if given), and, if `won` is given, where it holds."""
+    rows = siblings(traces, steps, logs, on).where(F.lower(strip(F.col("env_name"))).isin(*environments) & (strip(F.col("task_or_env_params")) != ""))
+    rows = rows if task is None else rows.where(strip(F.col("task_or_env_params")) == task)
+    return rows if won is None else rows.where(F.coalesce(won, F.lit(False)))

@@ -54,3 +54,8 @@ def check_request(before: dict, now: dict) -> None:
     differs = sorted(k for k in (before.keys() | now.keys()) - set(MAY_DIFFER) if (k in before, before.get(k)) != (k in now, now.get(k)))
     if differs:
         raise ValueError(f"not the request of the run: {', '.join(differs)}")
+
+
+def complete(records: DataFrame, key: list[str] = KEY, order: str = "ord") -> DataFrame:
+    """The last complete record of each key; keys without one have none."""
+    return latest(records.where(is_complete(F.col("status"), F.col("files_exist"))), key, order)

@@ -99,3 +99,48 @@ def shuffled(rows: DataFrame, key: list[str], seed: str, epoch: int = 0) -> Data
     It is the order of a hash, not that of a generator that holds all rows. Rows of one key stand together.
     """
     return rows.orderBy(F.xxhash64(F.lit(seed), F.lit(epoch), *key), *key)
+
+
+def checked_plan(plan: DataFrame, rows: int, index: str = "row_idx") -> DataFrame:
+    """plan, or an error: it has rows, and each names one of the `rows` rows by a whole number. Nothing is dropped in a join."""
+    if plan.isEmpty():
+        raise ValueError("the plan has no rows")
+    at = F.col(index).try_cast("bigint")
+    wrong = F.concat(F.lit(f"{index} "), F.coalesce(F.col(index).cast("string"), F.lit("null")), F.lit(f" is out of range for {rows} rows"))
+    sound = F.when((at >= 0) & (at < rows) & (at.cast("string") == F.col(index).cast("string")), True).otherwise(F.raise_error(wrong).cast("boolean"))
+    return plan.where(sound)
+
+
+def plan_report(plan: DataFrame, rows: int, index: str = "row_idx", mode: str = "mode") -> DataFrame:
+    """One row: rows of the plan and of the source, different ones among the former, how often rows are taken on average of all
+    and of those that are, and how many the plan takes in each mode (unknown without one), in order of the modes."""
+    named = plan.select(index, F.coalesce(F.nullif(F.col(mode).cast("string"), F.lit("")), F.lit("unknown")).alias("_m"))
+    sums = named.groupBy(index).agg(F.count(F.lit(1)).alias("c")).agg(F.coalesce(F.sum("c"), F.lit(0)).alias("plan_rows"), F.count(F.lit(1)).alias("distinct_rows"))
+    modes = named.groupBy("_m").agg(F.count(F.lit(1)).alias("n")).agg(F.map_from_entries(F.array_sort(F.collect_list(F.struct("_m", "n")))).alias("mode_counts"))  # a row a mode
+    n, some = F.col("plan_rows"), F.col("distinct_rows")
+    found = sums.crossJoin(F.broadcast(modes))  # one row each
+    return found.select("plan_rows", F.lit(rows).cast("bigint").alias("source_rows"), "distinct_rows", (n / rows if rows else F.lit(0.0)).alias("resample_ratio"), F.when(some > 0, n / some).otherwise(0.0).alias("reuse_ratio"), "mode_counts")
+
+
+def of_requested_task(rows: DataFrame, wanted: str | None, task: str = "task_id") -> DataFrame:
+    """Rows of the wanted task, named whole or by what follows its last slash; all for none. A name that fits none or several is an error."""
+    if wanted is None:
+        return rows
+    if not (name := wanted.strip()):
+        raise ValueError("the task's name is empty")
+    own = F.coalesce(F.nullif(F.col(task).cast("string"), F.lit("")), F.lit("unknown"))
+    fits = rows.select(own.alias("t")).where((F.col("t") == name) | F.col("t").endswith("/" + name)).distinct().orderBy("t").limit(6).collect()
+    names = [r["t"] for r in fits]
+    if name not in names and len(names) != 1:
+        raise ValueError(f"{name} is ambiguous: {', '.join(names)}" if names else f"no rows of task {name}")
+    return rows.where(own == (name if name in names else names[0]))
+
+
+def by_trajectory(rows: DataFrame, order: str) -> DataFrame:
+    """rebalanced() over trajectories, or families where a row names none; a row with neither is an error."""
+    own = F.coalesce(F.nullif(strip(F.col("trajectory_id")), F.lit("")), F.nullif(strip(F.col("family_id")), F.lit("")))
+    return rebalanced(rows.withColumn("_group", F.coalesce(own, F.raise_error(F.lit("a row names neither trajectory nor family")).cast("string"))), "_group", order).drop("_group")
+
+
+def training_rows(rows: DataFrame) -> DataFrame:
+    return rows.select("prompt", "completion")

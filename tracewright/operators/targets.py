@@ -76,3 +76,9 @@ def gap_loss(rows: DataFrame, beta: float = 0.1, weight: float = 1.0, floor_weig
     low = F.coalesce(F.avg(F.when(tie, short("chosen_reward") + short("rejected_reward"))), F.lit(0.0)) * 0.5
     summed = rows.crossJoin(F.broadcast(aim)).agg(pref.alias("pref_loss"), (match + floor_weight * low).alias("div_loss"))
     return summed.withColumn("loss", F.col("pref_loss") + weight * F.col("div_loss"))
+
+
+def window_means(metrics: DataFrame, values: list[str], every: int, step: str = "step") -> DataFrame:
+    """Of each window of `every` steps its last step and the means of what was stored in it; windows without any have no row."""
+    at = F.floor(F.col(step) / every).cast("bigint")
+    return metrics.groupBy(at.alias("window")).agg(F.max(step).alias(step), *(F.avg(v).alias(v) for v in values))

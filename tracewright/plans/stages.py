@@ -87,6 +87,62 @@ def stages_between(first: str = "base", last: str = "eval") -> list[str]:
     return list(STAGES[STAGES.index(first) : STAGES.index(last) + 1])
 
 
+#: Of each stage, the section of a configuration that is its own, and what it says of models and of the run.
+OWN = {
+    "base": ("base", ("expert_model", "expert_base_url"), ("seed", "num_workers", "cuda_visible_devices")),
+    "sft": ("sft", ("target_model",), ("seed", "cuda_visible_devices")),
+    "collect": ("collection", ("expert_model", "target_model", "expert_base_url", "target_base_url"), ("seed", "num_workers", "cuda_visible_devices")),
+    "build": ("dataset", ("target_model", "reference_model"), ("cuda_visible_devices",)),
+    "train": ("training", ("target_model", "reference_model"), ("seed", "cuda_visible_devices")),
+    "eval": ("evaluation", ("target_model", "target_base_url"), ("cuda_visible_devices",)),
+}
+
+
+def config_of(config: dict, stage: str) -> dict:
+    """What of a whole configuration a stage's manifest says; a section or value that is lacking is an error."""
+    if stage not in OWN:
+        raise ConfigError(f"no stage {stage}")
+    section, models, runtime = OWN[stage]
+    try:
+        benchmark = config["benchmark"]
+        pooled = stage != "eval" and benchmark.get("train_task_filters")
+        scope = {
+            "name": benchmark["name"], "task_scope": benchmark.get("task_group") if pooled else benchmark.get("task_filter"), "task_group": benchmark.get("task_group"), "train_task_filters": benchmark.get("train_task_filters"),
+            "evaluation_task_filter": benchmark.get("task_filter") if stage == "eval" else None, "upstream_path": benchmark.get("upstream_path"),
+        }
+        return {"stage": stage, "benchmark": scope, section: dict(config[section]), "models": {k: config["models"][k] for k in models}, "runtime": {k: config["runtime"][k] for k in runtime}}
+    except KeyError as e:
+        raise ConfigError(f"the configuration lacks {e.args[0]}") from e
+
+
+@dataclass
+class Runner:
+    """Runs stages in order. Each is a registered function from what the stages before gave to a result."""
+
+    registry: Registry = field(default_factory=Registry)
+    dry_run: bool = False
+
+    def plan(self, first: str = "base", last: str = "eval") -> list[str]:
+        names = stages_between(first, last)
+        for n in names:
+            self.registry.get(n)
+        return names
+
+    def run(self, first: str = "base", last: str = "eval") -> dict:
+        """Results by stage, in order; only the plan, with nothing run, in a dry run. An error names its stage."""
+        names = self.plan(first, last)
+        if self.dry_run:
+            return dict.fromkeys(names)
+        done: dict = {}
+        for n in names:
+            try:
+                done[n] = self.registry.get(n)(dict(done))
+            except Exception as e:
+                e.add_note(f"in stage {n}")
+                raise
+        return done
+
+
 def manifest(stage: str, config: PairConfig, outputs: dict[str, int]) -> dict:
     """What a stage ran with and how many rows it wrote."""
     return {"stage": stage, "config": asdict(config), "outputs": outputs, "status": "ok"}

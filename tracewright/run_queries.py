@@ -4,9 +4,9 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from .functions import outcomes
+from .functions import outcomes, text
 from .functions import variants as V
-from .operators import branching, divpo, epochs, pairs, prompts, raw_runs, reports, statistics
+from .operators import branching, diversity, divpo, epochs, pairs, prompts, raw_runs, reports, sft, statistics, targets
 from .plans.scoring import scored_once
 from .queries import BRANCH, MOST_REPEATS, QUERIES, SQL, STATES, _at_states, _branches, _steps, _table, query
 from .sources import artifacts as typed
@@ -313,3 +313,40 @@ def stream_upserts(spark, d):
     rows.write.json(f"{root}/in")
     keep_buckets(records(spark, f"{root}/in", rows.schema, 2), f"{root}/ledger", f"{root}/checkpoint", buckets=8).awaitTermination()
     return held_rows(spark, f"{root}/ledger")
+
+
+@query("SELECT count(*) AS plan_rows, (SELECT count(*) FROM orders) AS source_rows, count(DISTINCT l_orderkey) AS distinct_rows, round(count(*) / (SELECT count(*) FROM orders), 9) AS resample_ratio, round(count(*) / count(DISTINCT l_orderkey), 9) AS reuse_ratio, (SELECT string_agg(m || '=' || n, ',' ORDER BY m) FROM (SELECT coalesce(nullif(l_shipmode, ''), 'unknown') AS m, count(*) AS n FROM lineitem GROUP BY ALL)) AS modes FROM lineitem".replace("l_shipmode", "l_returnflag"), with_steps=False)
+def plan_reports(spark, d):
+    """Order lines as a plan over orders, each line's flag its mode."""
+    plan = _table(spark, d, "lineitem").select(F.col("l_orderkey").alias("row_idx"), F.col("l_returnflag").alias("mode"))
+    found = sft.plan_report(plan, _table(spark, d, "orders").count())
+    modes = F.array_join(F.array_sort(F.transform(F.map_entries("mode_counts"), lambda e: F.concat(e["key"], F.lit("="), e["value"].cast("string")))), ",")
+    return found.select("plan_rows", "source_rows", "distinct_rows", F.round("resample_ratio", 9).alias("resample_ratio"), F.round("reuse_ratio", 9).alias("reuse_ratio"), modes.alias("modes"))
+
+
+@query("""+e AS (SELECT trajectory_id, task_slug, n_steps % 5 <> 0 AS ok, n_steps % 5 <> 0 AND terminal_progression >= 0.4 AS won, (SELECT string_agg(action, '>' ORDER BY step) FROM step s WHERE s.trajectory_id = t.trajectory_id) AS way FROM traj t),
+c AS (SELECT task_slug, way, count(*) AS c FROM e WHERE won GROUP BY ALL), h AS (SELECT task_slug, count(*) AS ways, exp(ln(sum(c)) - sum(c * ln(c)) / sum(c)) AS hill FROM c GROUP BY task_slug)
+SELECT e.task_slug, count(*) AS episode_count, count(*) FILTER (ok) AS valid_episode_count, count(*) FILTER (won) AS success_count, coalesce(any_value(ways), 0) AS raw_unique, round(coalesce(any_value(hill), 0), 7) AS raw_hill, coalesce(any_value(ways), 0) AS effective_unique,
+  round(coalesce(any_value(ways), 0) / greatest(count(*) FILTER (ok), 1), 9) AS effective_esd, round(coalesce(any_value(hill), 0) / greatest(count(*) FILTER (won), 1), 7) AS effective_h_wsd FROM e LEFT JOIN h USING (task_slug) GROUP BY e.task_slug""")
+def run_diversity(spark, d):
+    """Diversity of runs from episodes and steps, by the rule that leaves every action."""
+    steps = _steps(spark, d)
+    n = F.col("n_steps")
+    eps = ev.trajectories(steps).select("trajectory_id", "task_slug", (n % 5 != 0).alias("is_valid"), (F.col("terminal_progression") >= 0.4).alias("is_success"))
+    found = diversity.run_diversity(eps, steps, ["task_slug"], "none")
+    return found.select("task_slug", "episode_count", "valid_episode_count", "success_count", "raw_unique", F.round("raw_hill", 7).alias("raw_hill"), "effective_unique", F.round("effective_esd", 9).alias("effective_esd"), F.round("effective_h_wsd", 7).alias("effective_h_wsd"))
+
+
+@query("SELECT event_id // 100 AS \"window\", max(event_id) AS step, round(avg(value), 9) AS value FROM events GROUP BY 1", with_steps=False)
+def log_windows(spark, d):
+    rows = _table(spark, d, "events").select(F.col("event_id").alias("step"), "value")
+    return targets.window_means(rows, ["value"], 100).withColumn("value", F.round("value", 9))
+
+
+@query("SELECT page_id, sha256(coalesce(url, '') || CASE WHEN page_id % 4 = 3 THEN '' ELSE chr(10) || chr(10) || 'Available actions for this state:' || chr(10) || CASE page_id % 4 WHEN 0 THEN '- search[x]' WHEN 1 THEN '- click[back to search]' || chr(10) || '- click[' || page_id || ']' ELSE '- click[' || page_id || ']' END || CASE page_id % 4 WHEN 0 THEN chr(10) || chr(10) || 'This is the search page. Use one listed search[...] or a concise custom search[...] from the shopping instruction. Do not include words like ''instruction'' or ''find'' in the query.' ELSE chr(10) || chr(10) || 'Choose exactly one click[...] action from this list. Do not output search[...].' || CASE WHEN page_id % 4 = 1 THEN chr(10) || 'Search is not available on this page; choose click[back to search] before a new search.' ELSE '' END END END) AS prompt_sha256 FROM pages", with_steps=False)
+def page_prompts(spark, d):
+    """Pages as a shop's observations, with the actions that each kind of page has."""
+    rows, n = _table(spark, d, "pages"), F.col("page_id")
+    own = F.concat(F.lit("click["), n.cast("string"), F.lit("]"))
+    available = F.when(n % 4 == 0, F.array(F.lit("search[x]"))).when(n % 4 == 1, F.array(F.lit("click[back to search]"), own)).when(n % 4 == 2, F.array(own))
+    return rows.select("page_id", F.sha2(text.page_prompt(F.col("url"), available), 256).alias("prompt_sha256"))

@@ -121,3 +121,16 @@ def latest_run(names: list[str]) -> str:
     if not names:
         raise ValueError("no run folders")
     return max(names, key=lambda n: PurePosixPath(n).name)
+
+
+def with_ids(rows: DataFrame) -> DataFrame:
+    """rows, or an error where neither a trace nor its file's name says which episode it is."""
+    has = strip(F.col("episode_id")) != ""
+    return rows.where(F.when(has, True).otherwise(F.raise_error(F.concat(F.lit("no episode id in "), F.col("trace_path"))).cast("boolean")))
+
+
+def step_sequences(rows: DataFrame, column: str = "action_executed") -> DataFrame:
+    """folder, stem and the values of a step file's column that aren't blank, in order of steps."""
+    item = F.struct(F.col("step").try_cast("bigint").alias("at"), strip(F.col(column)).alias("v"))
+    packed = rows.groupBy("folder", "stem").agg(F.array_sort(F.collect_list(F.when(strip(F.col(column)) != "", item))).alias("_s"))
+    return packed.select("folder", "stem", F.transform("_s", lambda x: x["v"]).alias("values"))
