@@ -47,6 +47,11 @@ def _said(v: Column, f: Callable[[Column, Column], Column]) -> Column:
     return let(v, lambda x: let(F.struct(kind(x).alias("k"), F.try_variant_get(x, "$", "string").alias("s")), lambda o: f(o["k"], o["s"])))
 
 
+def plain(v: Column) -> Column:
+    """A scalar's text as it is; null for objects, lists and nulls."""
+    return _said(v, lambda k, s: F.when(~(k.startswith("OBJECT") | k.startswith("ARRAY") | (k == "VOID")), s))
+
+
 def text(v: Column) -> Column:
     """A value as text: True and False for flags, None for a JSON null, the JSON of objects and lists; null where there is none."""
     return _said(v, lambda k, s: F.when(k == "VOID", "None").when(k == "BOOLEAN", F.initcap(s)).when(k.isNotNull(), s))

@@ -10,7 +10,7 @@ from .operators import branching, diversity, divpo, epochs, pairs, prompts, raw_
 from .plans.scoring import scored_once
 from .queries import BRANCH, MOST_REPEATS, QUERIES, SQL, STATES, _at_states, _branches, _steps, _table, query
 from .sources import artifacts as typed
-from .sources import commits, strict_lines
+from .sources import commits, strict_lines, training_files
 from .sources import event_view as ev
 from .sources.shared import new_folder
 
@@ -350,3 +350,21 @@ def page_prompts(spark, d):
     own = F.concat(F.lit("click["), n.cast("string"), F.lit("]"))
     available = F.when(n % 4 == 0, F.array(F.lit("search[x]"))).when(n % 4 == 1, F.array(F.lit("click[back to search]"), own)).when(n % 4 == 2, F.array(own))
     return rows.select("page_id", F.sha2(text.page_prompt(F.col("url"), available), 256).alias("prompt_sha256"))
+
+
+@query(f"""WITH x AS (SELECT event_id % {LOTS} AS lot, event_id % 12 AS k, row_number() OVER (PARTITION BY event_id % {LOTS} ORDER BY event_id) AS line FROM events)
+SELECT lot, line, CASE k WHEN 3 THEN 'missing required fields: rejected' WHEN 5 THEN 'pair_weight must be above 0' WHEN 7 THEN 'chosen.action_text must be a text that isn''t empty' WHEN 9 THEN 'pair_type tie is not win_lose or win_win' WHEN 10 THEN 'chosen_target_prob must be in [0, 1]' ELSE 'invalid JSON' END AS reason FROM x WHERE k IN (3, 5, 7, 9, 10, 11)""", with_steps=False)
+def training_faults(spark, d):
+    """Files of balanced pairs made of events, some lines of which break a rule, and the faults that a trainer is told."""
+    k = F.col("event_id") % 12
+    side = lambda text: F.struct(text.alias("action_text"), F.lit(True).alias("success"))
+    row = F.to_json(F.struct(
+        F.when(k == 9, "tie").otherwise("win_lose").alias("pair_type"), F.col("event_type").alias("prompt"), side(F.when(k == 7, " ").otherwise("up")).alias("chosen"), F.when(k != 3, side(F.lit("down"))).alias("rejected"),
+        F.when(k == 5, "0").otherwise("1.5").alias("pair_weight"), F.when(k == 10, 1.01).otherwise(1.0).alias("chosen_target_prob"),
+    ))
+    rows = _table(spark, d, "events").select((F.col("event_id") % LOTS).alias("lot"), "event_id", F.when(k == 11, F.substring(row, 1, 30)).otherwise(row).alias("value"))
+    folder = f"{new_folder(spark, 'pairs')}/files"
+    rows.repartition(LOTS, "lot").sortWithinPartitions("lot", "event_id").select("lot", "value").write.partitionBy("lot").text(folder)
+    found = training_files.faults(spark, folder, "balanced_pair")
+    reason = F.when(F.col("reason").startswith("invalid JSON"), "invalid JSON").otherwise(F.col("reason"))
+    return found.select(F.regexp_extract("file", r"lot=(-?\d+)", 1).cast("long").alias("lot"), F.col("line").cast("long").alias("line"), reason.alias("reason"))

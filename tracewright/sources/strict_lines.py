@@ -70,6 +70,31 @@ def faults(spark: SparkSession, paths: str | list[str]) -> DataFrame:
     return found.where("reason is not null").join(ranges, ["file", "begin"]).select("file", (F.col("before") + F.col("at")).alias("line"), "reason", "text")
 
 
+def numbered(spark: SparkSession, paths: str | list[str]) -> DataFrame:
+    """file, line (from 1) and text, without white space at its ends, of each line that isn't blank, be it a row or none.
+
+    One look counts the lines of each range of bytes, another numbers them.
+    """
+    paths = [paths] if isinstance(paths, str) else paths
+    read = spark.read.text(paths).select(F.col("_metadata.file_path").alias("file"), F.col("_metadata.file_block_start").alias("begin"), "value")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        now, at = None, 0
+        for batch in batches:
+            found = []
+            for file, begin, text in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+                now, at = (file, begin), at + 1 if (file, begin) == now else 1
+                if text := text.strip():
+                    found.append((file, begin, at, text))
+            columns = list(zip(*found, strict=True)) or [()] * 4
+            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, (pa.string(), pa.int64(), pa.int64(), pa.string()), strict=True)], names=["file", "begin", "at", "text"])
+
+    lines = read.mapInArrow(run, "file string, begin bigint, at bigint, text string")
+    before = F.sum("lines").over(Window.partitionBy("file").orderBy("begin").rowsBetween(Window.unboundedPreceding, -1))
+    ranges = _scan(spark, paths).where("reason is null").select("file", "begin", F.coalesce(before, F.lit(0)).alias("before"))  # a row a range of bytes
+    return lines.join(ranges, ["file", "begin"]).select("file", (F.col("before") + F.col("at")).alias("line"), "text")
+
+
 def files_without_rows(spark: SparkSession, paths: str | list[str]) -> list[str]:
     """The files below the paths that have no rows, empty ones among them, in order. The driver holds file names, as Spark's listing does."""
     paths = [paths] if isinstance(paths, str) else paths
