@@ -653,12 +653,10 @@ def success_rates(spark, d):
     return records.successes(rows, ["week"]).withColumn("success_rate", F.round("success_rate", 9))
 
 
-@query(f"+{BRANCH} SELECT alt_traj_id, CASE WHEN status IS NULL THEN state_key ELSE 'go on' || chr(10) || chr(10) || coalesce(s.obs_pre, 0) END AS prompt FROM br JOIN traj b ON b.trajectory_id = base_traj_id LEFT JOIN step s ON s.trajectory_id = base_traj_id AND s.step = divergence_step WHERE status IS NULL OR s.step IS NOT NULL")
+@query(f"+{BRANCH} SELECT alt_traj_id, CASE WHEN status IS NULL OR s.step IS NULL THEN state_key ELSE 'go on' || chr(10) || chr(10) || coalesce(s.obs_pre, 0) END AS prompt FROM br LEFT JOIN step s ON s.trajectory_id = base_traj_id AND s.step = divergence_step")
 def branch_prompts(spark, d):
     steps = _steps(spark, d)
-    sizes = ev.trajectories(steps).where("trajectory_kind = 'base'").select(F.col("trajectory_id").alias("base_traj_id"), F.col("n_steps").alias("size"))
-    sets = _branches(spark, d).join(sizes, "base_traj_id").where("status is null or divergence_step < size")
-    known = sets.withColumn("base_traj_id", F.when(F.col("status").isNull(), F.lit("none")).otherwise(F.col("base_traj_id")))
+    known = _branches(spark, d).withColumn("base_traj_id", F.when(F.col("status").isNull(), F.lit("none")).otherwise(F.col("base_traj_id")))
     return records.with_prompts(known, ev.traces(steps).where("trajectory_kind = 'base'")).select("alt_traj_id", "prompt")
 
 
@@ -715,15 +713,16 @@ def valid_actions(spark, d):
     return _steps(spark, d).select("trajectory_id", "step", found["action"].alias("action"), found["missed"].alias("missed"), F.size(calls.without(space, F.array("turn_action"))).alias("others"))
 
 
-@query("SELECT conv_id, turn, 'Action: ' || CASE WHEN strpos(reverse(text), ':noitcA') > 0 THEN trim(right(text, strpos(reverse(text), ':noitcA') - 1)) ELSE CAST(turn AS VARCHAR) END AS scored FROM conversations WHERE text IS NOT NULL AND strpos(text, 'Action:') = 0", with_steps=False)
+@query("SELECT conv_id, turn, 'Action: ' || rtrim(turn || ' ' || substr(coalesce(text, ''), 1, 40), ' ' || chr(9) || chr(10) || chr(13)) AS scored FROM conversations", with_steps=False)
 def scored_texts(spark, d):
-    rows = _table(spark, d, "conversations").where("text is not null and instr(text, 'Action:') = 0")
-    return rows.select("conv_id", "turn", calls.scored_text(F.concat(F.lit("Action: no\n"), "text", F.lit("\nAction: "), F.col("turn").cast("string"), F.lit(" ")), action_only=True).alias("scored"))
+    rows = _table(spark, d, "conversations")
+    said = F.coalesce("text", F.lit(""))
+    return rows.select("conv_id", "turn", calls.scored_text(F.concat(said, F.lit("\nAction: no\nAction: "), "turn", F.lit(" "), F.substring(said, 1, 40)), action_only=True).alias("scored"))
 
 
-@query("SELECT trajectory_id AS episode_id, CAST(step AS INT) AS step, 'go on' AS instruction, CAST(obs_pre AS VARCHAR) AS observation_pre, action AS action_model, action AS action_executed, reward, progression, done AS terminated, done, false AS won, 0 AS input_tokens FROM step WHERE trajectory_kind = 'base'")
+@query("SELECT trajectory_id AS episode_id, CAST(step AS INT) AS step, 'go on' AS instruction, CAST(obs_pre AS VARCHAR) AS observation_pre, action AS action_model, action AS action_executed, reward, progression, done AS terminated, done, false AS won, 0 AS input_tokens FROM step")
 def trace_step_rows(spark, d):
-    found = calls.step_rows(ev.traces(_steps(spark, d)).where("trajectory_kind = 'base'"))
+    found = calls.step_rows(ev.traces(_steps(spark, d)))
     return found.select("episode_id", "step", "instruction", "observation_pre", "action_model", "action_executed", "reward", "progression", "terminated", "done", "won", "input_tokens")
 
 
