@@ -9,7 +9,7 @@ import os
 import re
 import uuid
 from collections.abc import Callable, Iterable, Iterator
-from functools import reduce
+from functools import lru_cache, reduce
 from typing import Any
 
 import pyarrow as pa
@@ -209,8 +209,20 @@ def calm() -> None:
     gc.set_threshold(500_000, 20, 100)
 
 
+_held: list[Callable] = []
+
+
+def per_worker(make: Callable) -> Callable:
+    """make, called once in a worker process and kept there until another operator asks for the room."""
+    kept = lru_cache(maxsize=1)(make)
+    _held.append(kept)
+    return kept
+
+
 def release() -> None:
-    """Give back to the system what earlier tasks of this worker have freed: the next stage's tables need the room."""
+    """Give back to the system what earlier tasks of this worker have freed, and what other operators keep in it."""
+    for kept in _held:
+        kept.cache_clear()
     gc.collect()
     pa.default_memory_pool().release_unused()
     with contextlib.suppress(OSError, AttributeError):  # a C library without it

@@ -19,7 +19,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import ascii_lower, cut, fresh, map_arrow, map_texts, slices, union
+from .common import ascii_lower, cut, fresh, map_arrow, map_texts, release, slices, union
 
 WORD = r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+"
 MOST_WINDOWS, MOST_BYTES = 2_000_000, 64 << 20
@@ -256,6 +256,7 @@ def decontaminate(docs: DataFrame, benchmark: DataFrame, remove: str = "spans",
     rows = docs if len(makers) == 1 else _with_hits(docs, makers, text, hits)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        release()
         scanner = makers[0]() if len(makers) == 1 else None
         for part in slices(batches, text):
             texts = part.column(i).to_pylist()

@@ -25,7 +25,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import LongType, StructField, StructType
 
-from .common import cut, fit_partitions, fresh, map_arrow, slices, whole_number
+from .common import cut, fit_partitions, fresh, map_arrow, release, slices, whole_number
 from .components import components
 
 WORDS, PERCENT = 4, 85
@@ -142,6 +142,7 @@ def described(docs: DataFrame, words: int = WORDS) -> DataFrame:
     """Kind 0: doc_id, n and signature of each row; kind 1: s1 a hash and n the texts of a batch that hold it, where these are many."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        release()
         for ids, sets in _gathered(batches, words):
             both = [signature(s) for s in sets]
             yield _rows(0, [0] * len(ids), ids, [len(s) for s in sets], [b[0] for b in both], [b[1] for b in both])
@@ -163,6 +164,7 @@ def _blocks(docs: DataFrame, heavy, parts: int, words: int, percent: int) -> Dat
     prefix may need them); kind 6: how many of a class's hashes fall together when they are cut short."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        release()
         hot = heavy.value
         for _, sets in _gathered(batches, words):
             one = [(k, s) for k, s in {signature(s): s for s in sets if len(s)}.items()]
@@ -262,6 +264,7 @@ def _counted(blocks: DataFrame, parts: int) -> DataFrame:
     """Of each range: what the classes share with others, as kind 4 (class, hash, count), dealt by class; kinds 3 and 6 go through."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        release()
         entries = _Entries()
         for batch in batches:
             kinds = batch.column(0).to_numpy()
@@ -307,6 +310,7 @@ def _prefixes(rows: DataFrame, percent: int) -> DataFrame:
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        release()
         held: dict[Name, tuple[int, bytes]] = {}
         size: dict[Name, int] = {}
         lost: dict[Name, int] = {}
@@ -524,6 +528,7 @@ def _links(met: DataFrame, words: int, percent: int) -> DataFrame:
         return found
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        release()
         key, held = None, ([], [], [], [])
 
         def out() -> pa.RecordBatch:

@@ -12,7 +12,6 @@ import re
 import zlib
 from collections.abc import Iterator
 from dataclasses import dataclass
-from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
@@ -20,7 +19,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
-from .common import Memo, cut, map_arrow, map_texts, slices
+from .common import Memo, cut, map_arrow, map_texts, per_worker, slices
 
 BITS = 18
 DIM = 1 << BITS
@@ -62,7 +61,7 @@ def mix(h: np.ndarray) -> np.ndarray:
     return h ^ (h >> np.uint64(29))
 
 
-@lru_cache(maxsize=1)
+@per_worker
 def codes() -> Memo:
     """One per worker process."""
     return Memo(code, MOST_WORDS)
