@@ -9,10 +9,17 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..sources.shared import kept
 from .candidates import STATE
 from .pairs import ALL_PAIRS
 
 
+def narrow(candidates: DataFrame) -> DataFrame:
+    """What counters need of candidates, written once: no prompts or responses, and what made them runs a single time."""
+    own = [*STATE, "trajectory_id", "trajectory_kind", "task_slug", "is_win", "quality_score", "post_divergence_call_count"]
+    return kept(candidates.select(*(c for c in own if c in candidates.columns)))
+
+
 def state_counts(candidates: DataFrame, most_repeats: int | None) -> DataFrame:
     """STATE, task_slug and, of each state: wins, those of quality (wb of the base, wa of alternatives) and losses (lb, la).
 
@@ -67,6 +74,7 @@ def filtered_statistics(candidates: DataFrame, most_repeats: int, usable: str =
 
     A state has one base. pseudo: pairs of the base's win with each alternative win count among the rows and trajectories.
     """
+    candidates = narrow(candidates)
     states = with_pairs(state_counts(candidates, most_repeats), usable)
     extra = F.col("pseudo") if pseudo else F.lit(0)
     counters = _rollup(states, {
@@ -94,6 +102,7 @@ def filtered_statistics(candidates: DataFrame, most_repeats: int, usable: str =
 def balanced_statistics(candidates: DataFrame, most_repeats: int, usable: str = ALL_PAIRS) -> DataFrame:
     """The counters of the balanced dataset: rows and states of each split (wins over losses, pairs of wins, positives), eligible
     wins, and different trajectories among wins, losses and positives. Pairs of wins take every win of quality."""
+    candidates = narrow(candidates)
     states = with_pairs(state_counts(candidates, most_repeats), usable)
     good, pairs = F.col("wb") + F.col("wa"), F.col("win_win") > 0
     one = lambda c: F.when(c, 1).otherwise(0)
