@@ -9,7 +9,8 @@ from __future__ import annotations
 
 import hashlib
 import heapq
-from collections.abc import Iterable, Iterator
+from array import array
+from collections.abc import Collection, Iterable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -18,21 +19,24 @@ from pyspark.sql import functions as F
 from pyspark.sql.pandas.types import to_arrow_type
 from pyspark.sql.types import StructType
 
-from .common import calm, gathered, map_arrow, release, slices, units
-from .wordbpe import BITS, MASK, NONE, WordBPE, load
+from .common import calm, gathered, map_arrow, release, slices, trim, units
+from .wordbpe import BITS, MASK, NONE, WordBPE, load, recent
 
 #: Bytes of text over which one index reaches.
 SEGMENT = 6 << 20
+#: Positions that go to the lists of an index at once.
+STRETCH = 1 << 17
 
 
 class PairIndex:
     """All words in one array of symbols, linked both ways, and the positions of each pair that merges, by rank."""
 
-    def __init__(self, bpe: WordBPE, words: list[str]):
+    def __init__(self, bpe: WordBPE, words: Collection[str]):
         self.keys, self.ranks = bpe.sorted_ranks
         raw = [w.encode("utf-8", "surrogatepass") for w in words]
         size = np.fromiter(map(len, raw), np.int64, len(raw))
         data = np.frombuffer(b"".join(raw), np.uint8)
+        del raw
         end = np.cumsum(size) - 1
         self.begin = end - size + 1
         self.symbol = np.array(bpe.inner, np.int32)[data]
@@ -43,7 +47,8 @@ class PairIndex:
         self.before[self.begin] = -1
         self.where: dict[int, list[np.ndarray]] = {}
         self.active: list[int] = []
-        self._extend(np.flatnonzero(self.after >= 0).astype(np.int32))
+        for at in range(0, len(data), STRETCH):
+            self._extend(np.flatnonzero(self.after[at : at + STRETCH] >= 0).astype(np.int32) + np.int32(at))
 
     def _extend(self, left: np.ndarray) -> None:
         """Add the pairs that begin at these positions to the lists of their ranks."""
@@ -102,13 +107,18 @@ class PairIndex:
         return self.symbol[stay], total[ends] - total[self.begin]
 
 
-def index_encode(bpe: WordBPE, words: list[str]) -> list[list[int]]:
-    """Ids of each word, all words merged together through one pair occurrence index."""
+def _merged(bpe: WordBPE, words: Collection[str]) -> tuple[np.ndarray, np.ndarray]:
+    """Ids of all words in order, and of each word how many, merged together through one pair occurrence index."""
     if not words:
-        return []
+        return np.empty(0, np.int32), np.empty(0, np.int64)
     index = PairIndex(bpe, words)
     index.merge(bpe.pairs)
-    flat, n = index.ids()
+    return index.ids()
+
+
+def index_encode(bpe: WordBPE, words: list[str]) -> list[list[int]]:
+    """Ids of each word, all words merged together through one pair occurrence index."""
+    flat, n = _merged(bpe, words)
     flat, at, found = flat.tolist(), 0, []
     for k in n.tolist():
         found.append(flat[at : at + k])
@@ -116,34 +126,47 @@ def index_encode(bpe: WordBPE, words: list[str]) -> list[list[int]]:
     return found
 
 
+class Lists:
+    """Lists of ids, one after the other in one array."""
+
+    def __init__(self, flat: np.ndarray, n: np.ndarray):
+        self.flat, self.n = flat, n
+        self.start = np.cumsum(n) - n
+
+    def of(self, which: np.ndarray) -> np.ndarray:
+        """The ids of these lists, in this order."""
+        n = self.n[which]
+        end = np.cumsum(n)
+        return self.flat[np.repeat(self.start[which] - end + n, n) + np.arange(end[-1] if len(end) else 0)]
+
+
 class Codec:
-    """Encodes and decodes the texts of a segment."""
+    """Encodes and decodes the texts of a segment.
+
+    What a worker keeps are the numbers of the distinct runs between white spaces, and of each run its ids in one array.
+    """
 
     def __init__(self, bpe: WordBPE, texts: Iterable[list[str]], arrays: bool = False):
-        new: set[str] = set()
+        self.tokens, self.decimals, self.arrays = bpe.tokens, bpe.decimals, arrays
+        self.runs: dict[str, int] = {}
         for some in texts:
             for x in some:
-                new.update(units(x))
-        runs = list(new)
-        parts = [bpe.parts(r) for r in runs]
-        words = list({w for p in parts for special, w in p if not special})
-        tokens, special = bpe.tokens, bpe.special
-        known = {}
-        for w, ids in zip(words, index_encode(bpe, words), strict=True):
-            known[w] = self._coded(ids, tokens, arrays)
-        one = {s: self._coded([i], tokens, arrays) for s, i in special.items()}
-        #: Of each run between white spaces: number of tokens, ids as decimals, decoded text, and the ids' bytes.
-        self.runs: dict[str, tuple[int, str, str, bytes]] = {}
-        for r, p in zip(runs, parts, strict=True):
-            if len(p) == 1:
-                self.runs[r] = one[p[0][1]] if p[0][0] else known[p[0][1]]
-            else:
-                got = [one[w] if is_special else known[w] for is_special, w in p]
-                self.runs[r] = (sum(g[0] for g in got), " ".join(g[1] for g in got), " ".join(g[2] for g in got), b"".join(g[3] for g in got))
-
-    @classmethod
-    def _coded(cls, ids: list[int], tokens: dict[int, str], arrays: bool) -> tuple[int, str, str, bytes]:
-        return len(ids), " ".join(map(str, ids)), cls.decode(ids, tokens), np.array(ids, "<i4").tobytes() if arrays else b""
+                self.runs.update(dict.fromkeys(units(x), 0))
+        special = {s: -1 - k for k, s in enumerate(bpe.special)}
+        words: dict[str, int] = {}
+        parts, ends = array("q"), array("q", [0])
+        for k, r in enumerate(self.runs):
+            self.runs[r] = k
+            for is_special, w in bpe.parts(r):
+                parts.append(special[w] if is_special else words.setdefault(w, len(words)))
+            ends.append(len(parts))
+        flat, n = _merged(bpe, words)
+        one = np.array(list(bpe.special.values())[::-1], np.int32)  # numbered from the end
+        every = Lists(np.append(flat, one), np.append(n, np.ones(len(one), n.dtype)))
+        del words
+        part = np.frombuffer(parts, np.int64) if parts else np.empty(0, np.int64)
+        total = np.append(0, np.cumsum(every.n[part]))
+        self.ids = Lists(every.of(part), np.diff(total[np.frombuffer(ends, np.int64)]))
 
     @staticmethod
     def decode(ids: list[int], tokens: dict[int, str]) -> str:
@@ -152,13 +175,14 @@ class Codec:
 
     def text(self, text: str) -> tuple[int, str, str, list[bytes]]:
         """Number of tokens, ids as decimals joined by a space, the decoded text, and the ids' bytes in pieces."""
-        got = [self.runs[u] for u in units(text)]
-        got = [g for g in got if g[0]]
-        return sum([g[0] for g in got]), " ".join([g[1] for g in got]), " ".join([g[2] for g in got]), [g[3] for g in got]
+        found = units(text)
+        ids = self.ids.of(np.fromiter(map(self.runs.__getitem__, found), np.int64, len(found)))
+        numbers = ids.tolist()
+        return len(numbers), self.decode(numbers, self.decimals), self.decode(numbers, self.tokens), [ids.astype("<i4").tobytes()] if self.arrays else []
 
 
 def _map_coded(docs: DataFrame, path: str, text: str, keep: list[str], schema: str, make) -> DataFrame:
-    """docs[keep] and what make(list of coded texts) gives, a segment of a partition at a time."""
+    """docs[keep] and what make(coded texts of a slice) gives, a segment of a partition at a time."""
     types = {f.name: to_arrow_type(f.dataType) for f in StructType.fromDDL(schema)}
     arrays = "ids" in types
 
@@ -166,23 +190,26 @@ def _map_coded(docs: DataFrame, path: str, text: str, keep: list[str], schema: s
         calm()
         release()
         bpe = load(path)
+        recent()
+        trim()  # of what reading the file and the tables took
         strings = lambda part: [x or "" for x in part.column(part.schema.get_field_index(text)).to_pylist()]
         for group in gathered(slices(batches, text), text, SEGMENT):
             codec = Codec(bpe, map(strings, group), arrays)
             for part in group:
-                made = make([codec.text(x) for x in strings(part)])
+                made = make(map(codec.text, strings(part)))
                 columns = {k: part.column(part.schema.get_field_index(k)) for k in keep}
                 yield pa.RecordBatch.from_pydict(columns | {k: v if isinstance(v, pa.Array) else pa.array(v, types[k]) for k, v in made.items()})
+            del codec  # before the next one is made
+            trim()
 
     kept = [f"`{k}` {docs.schema[k].dataType.simpleString()}" for k in keep]
     return map_arrow(docs.select(*(F.col(f"`{c}`") for c in [*keep, text])), run, ", ".join([*kept, schema]))
 
 
-def _lists(got: list[tuple[int, str, str, list[bytes]]]) -> pa.Array:
-    """The ids of each text, from their bytes."""
-    ends = np.cumsum([0, *(g[0] for g in got)])
-    flat = np.frombuffer(b"".join([b for g in got for b in g[3]]), "<i4")
-    return pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(flat, pa.int32()))
+def _lists(n: list[int], raw: list[bytes]) -> pa.Array:
+    """The ids of each text, from how many they are and their bytes."""
+    flat = np.frombuffer(b"".join(raw), "<i4")
+    return pa.ListArray.from_arrays(pa.array(np.cumsum([0, *n]), pa.int32()), pa.array(flat, pa.int32()))
 
 
 def encode(docs: DataFrame, path: str, text: str = "text", key: str = "doc_id") -> DataFrame:
@@ -191,7 +218,16 @@ def encode(docs: DataFrame, path: str, text: str = "text", key: str = "doc_id")
     A null text counts as empty: no ids, ''. Repeated rows give repeated rows; null keys stay; an empty table gives an empty
     one; other columns are left out, whatever their names.
     """
-    return _map_coded(docs, path, text, [key], "ids array<int>, decoded string", lambda got: {"ids": _lists(got), "decoded": [g[2] for g in got]})
+
+    def make(coded: Iterable[tuple[int, str, str, list[bytes]]]) -> dict[str, list | pa.Array]:
+        n, decoded, raw = [], [], []
+        for k, _, x, pieces in coded:
+            n.append(k)
+            decoded.append(x)
+            raw += pieces
+        return {"ids": _lists(n, raw), "decoded": decoded}
+
+    return _map_coded(docs, path, text, [key], "ids array<int>, decoded string", make)
 
 
 def decode(encoded: DataFrame, path: str) -> DataFrame:
@@ -217,9 +253,14 @@ def codec_digests(docs: DataFrame, path: str, text: str = "text", keep: list[str
 
     digest = lambda x: hashlib.sha256(x.encode("utf-8", "surrogatepass")).hexdigest()
 
-    def make(got: list[tuple[int, str, str, list[bytes]]]) -> dict[str, list]:
-        made = {"n_tokens": [g[0] for g in got], "ids_sha256": [digest(g[1]) for g in got], "decoded_sha256": [digest(g[2]) for g in got]}
-        return made | ({"ids": _lists(got)} if ids else {})
+    def make(coded: Iterable[tuple[int, str, str, list[bytes]]]) -> dict[str, list | pa.Array]:
+        n, of_ids, of_text, raw = [], [], [], []
+        for k, numbers, x, pieces in coded:
+            n.append(k)
+            of_ids.append(digest(numbers))
+            of_text.append(digest(x))
+            raw += pieces
+        return {"n_tokens": n, "ids_sha256": of_ids, "decoded_sha256": of_text} | ({"ids": _lists(n, raw)} if ids else {})
 
     schema = "n_tokens bigint, ids_sha256 string, decoded_sha256 string"
     return _map_coded(docs, path, text, keep or ["doc_id"], f"{schema}, ids array<int>" if ids else schema, make)

@@ -224,6 +224,11 @@ def release() -> None:
     for kept in _held:
         kept.cache_clear()
     gc.collect()
+    trim()
+
+
+def trim() -> None:
+    """Give back to the system what is free."""
     pa.default_memory_pool().release_unused()
     with contextlib.suppress(OSError, AttributeError):  # a C library without it
         ctypes.CDLL(None).malloc_trim(0)

@@ -7,7 +7,7 @@ import json
 import re
 import unicodedata
 from collections.abc import Callable
-from functools import lru_cache
+from functools import cached_property, lru_cache
 from itertools import pairwise
 
 import numpy as np
@@ -84,6 +84,11 @@ class WordBPE:
         self.cut = re.compile("|".join(map(re.escape, sorted(self.special, key=len, reverse=True)))) if self.special else None
         self.words = regex.compile(SPLIT).findall
 
+    @cached_property
+    def decimals(self) -> dict[int, str]:
+        """Each id as text."""
+        return {i: str(i) for i in self.tokens}
+
     def symbols(self, word: str) -> list[int]:
         """One symbol a byte; the last one ends the word."""
         raw = word.encode("utf-8", "surrogatepass")
